@@ -146,11 +146,15 @@ def start_values(points: DataFrame, keys: Sequence[str], models: Sequence[str] =
 # --- one pass -------------------------------------------------------------------------------------------------------
 
 _FACTS = ["train_end", "ymax", "xlo", "xhi"]
-_BOUNDS = {
-    "k": (C.by_curve(F.col("model"), lambda c: c.rate_bounds[0]), C.by_curve(F.col("model"), lambda c: c.rate_bounds[1])),
-    "t0": (F.col("xlo"), F.col("xhi")),
-    "d": tuple(F.lit(v) for v in C.ASYMMETRY_BOUNDS),
-}
+
+
+def _shape_bounds() -> dict[str, tuple[Column, Column]]:
+    model = F.col("model")
+    return {
+        "k": (C.by_curve(model, lambda c: c.rate_bounds[0]), C.by_curve(model, lambda c: c.rate_bounds[1])),
+        "t0": (F.col("xlo"), F.col("xhi")),
+        "d": (F.lit(C.ASYMMETRY_BOUNDS[0]), F.lit(C.ASYMMETRY_BOUNDS[1])),
+    }
 
 
 def _shape_sums(points: Points, state: DataFrame) -> DataFrame:
@@ -279,14 +283,14 @@ def _perturbed(keys: list[str], seed: int) -> dict[str, Column]:
         "t0": C.by_curve(F.col("model"), lambda c: c.fits_midpoint),
         "d": C.by_curve(F.col("model"), lambda c: c.fits_asymmetry),
     }
-    moved = {}
+    bounds, moved = _shape_bounds(), {}
     for name in SHAPE:
         noisy = F.col(name) * (F.lit(1.0) + spread * repeatable_normal(seed, F.lit(name), *ident))
-        moved[name] = F.when(fitted[name] & (F.col("start") > 0), clip(noisy, *_BOUNDS[name])).otherwise(F.col(name))
+        moved[name] = F.when(fitted[name] & (F.col("start") > 0), clip(noisy, *bounds[name])).otherwise(F.col(name))
     return moved
 
 
-def _start_scores(points: Points, fits: DataFrame, folds: DataFrame, select_on: str) -> DataFrame:
+def start_scores(points: Points, fits: DataFrame, folds: DataFrame, select_on: str) -> DataFrame:
     """R2 of every start on the rows that choose between starts."""
     keys = points.keys
     rows = "pos >= test_start AND pos < test_end" if select_on == "test" else "pos < train_end"
@@ -297,6 +301,27 @@ def _start_scores(points: Points, fits: DataFrame, folds: DataFrame, select_on:
     return metrics.score(scored, [*keys, *FIT_ID]).select(*keys, *FIT_ID, F.col("r2").alias("score"))
 
 
+def enough_rows(tasks: DataFrame) -> Column:
+    """A fold with fewer training rows than the curve has parameters is skipped."""
+    return F.col("train_end") >= C.by_curve(F.col("model"), lambda c: len(c.parameters))
+
+
+def fold_status(folds: DataFrame, keys: Sequence[str], models: Sequence[str] = C.CURVE_NAMES) -> DataFrame:
+    """Which curves each fold can fit: status ok or skipped."""
+    each = folds.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    status = F.when(enough_rows(each), F.lit("ok")).otherwise(F.lit("skipped"))
+    return each.select(*keys, "model", "fold", "train_end", status.alias("status"))
+
+
+def best_fold_params(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Parameters of each curve's best-scoring fold, the earlier one on ties; they seed the final fit."""
+    ranked = scored.where(F.col("score").isNotNull() & F.col("params").isNotNull())
+    best = F.max_by(F.struct("params", "fold"), F.struct("score", -F.col("fold"))).alias("best")
+    return ranked.groupBy(*keys, "model").agg(best).select(
+        *keys, "model", F.col("best.fold").alias("best_fold"), F.col("best.params").alias("fold_best")
+    )
+
+
 def fit_curves(
     target: DataFrame | Points,
     folds: DataFrame | None = None,
@@ -332,13 +357,13 @@ def fit_curves(
     per_fold = initial.select(*keys, "model", "n", "ymax", "xlo", "xhi", "initial_params").join(
         folds.select(*keys, "fold", "train_end"), keys
     )
-    enough = F.col("train_end") >= C.by_curve(F.col("model"), lambda c: len(c.parameters))
+    enough = enough_rows(per_fold)
     seeds = F.explode(F.sequence(F.lit(0), F.lit(options.starts - 1)))
     tasks = per_fold.where(enough).withColumn("start", seeds).withColumns(_shape_of("initial_params"))
     fits = _iterate(points, tasks.withColumns(_perturbed(keys, options.seed)), options, options.tolerance)
 
     scored = fits.where(F.col("status") == "ok").join(
-        _start_scores(points, fits, folds, options.select_on), [*keys, *FIT_ID]
+        start_scores(points, fits, folds, options.select_on), [*keys, *FIT_ID]
     )
     order = F.struct("score", -F.col("start"))
     winners = (
@@ -365,11 +390,7 @@ def fit_curves(
         .checkpoint()
     )
 
-    lead = (
-        fold_params.where(F.col("score").isNotNull())
-        .groupBy(*keys, "model")
-        .agg(F.max_by("params", F.struct("score", -F.col("fold"))).alias("fold_best"))
-    )
+    lead = best_fold_params(fold_params, keys)
     seeded = initial.join(lead, [*keys, "model"], "left").withColumn(
         "seed_params", F.coalesce("fold_best", "initial_params")
     )

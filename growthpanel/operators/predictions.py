@@ -12,7 +12,7 @@ from growthpanel.functions.columns import with_keys
 from growthpanel.operators.folds import FULL, fold_rows
 from growthpanel.operators.metrics import MEASURES, fold_summary, score
 
-USABLE = F.col("params").isNotNull()
+USABLE = "params IS NOT NULL"
 
 
 def curve_predictions(rows: DataFrame, params: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
