@@ -29,6 +29,8 @@ RATE_HIGH = {name: curve.rate_bounds[1] for name, curve in CURVES.items()}
 FITS_MIDPOINT = {name: curve.fits_midpoint for name, curve in CURVES.items()}
 FITS_ASYMMETRY = {name: curve.fits_asymmetry for name, curve in CURVES.items()}
 FIRST_DAMPING, LEAST_DAMPING, MOST_DAMPING = 1e-2, 1e-9, 1e9
+# a step that may go less than this share of its way to a height bound counts as being at the bound
+NEAR_BOUND = 0.1
 
 
 def fresh_memory() -> list[float]:
@@ -81,8 +83,8 @@ def _outer(a, b):
 def next_shape(gram, shape, damping, absolute, height_range, low, high, may_move):
     """Trial shape after one step from an accepted shape, and the decrease of the error the linear model predicts.
 
-    alpha and beta are projected out. If the height is at a bound, or the step would take it there, the height is set to
-    the bound and only the remaining direction is projected out.
+    alpha and beta are projected out. A step that would take the height past a bound ends at the bound. If the height is
+    at a bound or next to it, it is set to the bound and only the remaining direction is projected out.
     """
     alpha, beta, height, held, _ = linear_pair(gram, absolute, *height_range)
     n, su, suu = gram[:, 0, 0, None], gram[:, 0, 1, None], gram[:, 1, 1, None]
@@ -101,7 +103,8 @@ def next_shape(gram, shape, damping, absolute, height_range, low, high, may_move
     d_alpha = -(beta[:, None] * ones * step).sum(1) / n[:, 0] - d_beta * su[:, 0] / n[:, 0]
     expected = height + np.where(absolute, d_alpha + d_beta, d_beta)
     bound = np.clip(expected, *height_range)
-    hold = held | (bound != expected)
+    share = np.divide(bound - height, expected - height, out=np.ones_like(height), where=expected != height)
+    hold = held | (share < NEAR_BOUND)
 
     left = np.where(absolute[:, None], ones - with_u, ones)
     length = np.maximum(np.where(absolute[:, None], n - 2 * su + suu, n), np.finfo(float).tiny)
@@ -110,7 +113,7 @@ def next_shape(gram, shape, damping, absolute, height_range, low, high, may_move
     shifted = slope - (np.where(held, height, bound) - height)[:, None] * crossing
     held_step = _solve(one, shifted, diagonal, free, damping) / size
 
-    step = np.where(hold[:, None], held_step, step)
+    step = np.where(hold[:, None], held_step, step * np.clip(share, NEAR_BOUND, 1.0)[:, None])
     trial = np.where(may_move, np.clip(shape + step, low, high), shape)
     matrix = np.where(hold[:, None, None], one, both)
     moved = (trial - shape) * size

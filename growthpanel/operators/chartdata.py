@@ -102,13 +102,13 @@ def residual_density(resid: DataFrame, keys: Sequence[str] = (), grid: int = 200
     bandwidth = F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     points = facts.withColumns(
         {"bandwidth": bandwidth, "point": F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))}
-    ).withColumn("at", F.col("low") + (F.col("high") - F.col("low")) * F.col("point") / F.lit(float(grid - 1)))
-    z = (F.col("at") - F.col("residual")) / F.col("bandwidth")
+    ).withColumn("residual_at", F.col("low") + (F.col("high") - F.col("low")) * F.col("point") / F.lit(float(grid - 1)))
+    z = (F.col("residual_at") - F.col("residual")) / F.col("bandwidth")
     kernel = F.exp(F.lit(-0.5) * z * z) / (F.col("bandwidth") * F.lit(math.sqrt(2.0 * math.pi)))
     pairs = points.join(resid.select(*by, "residual"), by)
-    averaged = pairs.groupBy(*by, "point", "at", "n", "width").agg(F.avg(kernel).alias("density"))
+    averaged = pairs.groupBy(*by, "point", "residual_at", "n", "width").agg(F.avg(kernel).alias("density"))
     return averaged.select(
-        *by, "point", "at", "density", (F.col("density") * F.col("n") * F.col("width")).alias("scaled")
+        *by, "point", "residual_at", "density", (F.col("density") * F.col("n") * F.col("width")).alias("scaled")
     )
 
 

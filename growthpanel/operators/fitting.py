@@ -41,7 +41,7 @@ GROUP_ROWS = 25_000
 class FitOptions:
     models: tuple[str, ...] = tuple(C.CURVE_NAMES)
     starts: int = 5
-    max_passes: int = 40
+    max_passes: int = 60
     tolerance: float = 1e-8
     final_tolerance: float = 1e-9
     seed: int = 42

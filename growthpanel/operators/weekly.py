@@ -28,8 +28,8 @@ def _rounded(value: Column, scale: int | None) -> Column:
 def _time_order(df: DataFrame) -> Column:
     """(ts, row_order) as one decimal: a struct would force sort-based aggregation of the raw rows."""
     micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(38,0)")
-    offset = F.lit(2**63).cast("decimal(38,0)")
-    return micros * F.lit(2**64).cast("decimal(38,0)") + F.col("row_order").cast("decimal(38,0)") + offset
+    # 10^19 exceeds every bigint, so the time always decides first
+    return micros * F.lit("10000000000000000000").cast("decimal(38,0)") + F.col("row_order").cast("decimal(38,0)")
 
 
 def resample_weeks(records: DataFrame, keys: Sequence[str] = (), scale: int | None = None) -> DataFrame:

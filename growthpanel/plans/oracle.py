@@ -122,7 +122,7 @@ average_metrics AS (SELECT k, model, place, {_SCORE} FROM average_preds GROUP BY
 metrics AS (
   SELECT k, model, place, 'Individual' AS type, 'test_folds' AS scope, test_rmse AS rmse, test_r2 AS r2, test_mae AS mae FROM curve_metrics
   UNION ALL SELECT k, model, place, 'Ensemble', 'full_in_sample', rmse, r2, mae FROM average_metrics),
-ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k, type ORDER BY r2 DESC, place) AS place_in_type FROM metrics),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k, type ORDER BY ROUND(r2, 9) DESC, place) AS place_in_type FROM metrics),
 best AS (SELECT k, type, model AS best_model, r2 AS best_score FROM ranked WHERE place_in_type = 1),
 scaled AS (
   SELECT *, (rmse - MIN(rmse) OVER s) / (MAX(rmse) OVER s - MIN(rmse) OVER s + 1e-10) AS a, (r2 - MIN(r2) OVER s) / (MAX(r2) OVER s - MIN(r2) OVER s + 1e-10) AS b,
@@ -222,7 +222,7 @@ bins AS (
 
 _TABLES: dict[str, str] = {
     "s4_write_tables": f"SELECT {_K}, {_day()}, {_r('number', 'number', 4)}, {_r('cumulative', 'cumulative', 4)}, {_r('m4', 'rolling_mean_4w', 4)}, {_r('m12', 'rolling_mean_12w', 4)}, CAST(MONTH(date) AS INTEGER) AS month, CAST(QUARTER(date) AS INTEGER) AS quarter, {_r('x', 'time_idx', 4)}, {_I} FROM flag_weekly",
-    "flagship_weekly_by_segment": f"SELECT k AS c_mktsegment, {_day()}, {_r('number', 'number')}, {_r('cumulative', 'cumulative')}, {_r('m4', 'rolling_mean_4w')}, {_r('m12', 'rolling_mean_12w')}, CAST(MONTH(date) AS INTEGER) AS month, CAST(QUARTER(date) AS INTEGER) AS quarter, {_r('x', 'time_idx')}, {_I} FROM segment_weekly",
+    "flagship_weekly_by_segment": f"SELECT k AS c_mktsegment, {_day()}, {_r('number', 'number', 4)}, {_r('cumulative', 'cumulative', 4)}, {_r('m4', 'rolling_mean_4w', 4)}, {_r('m12', 'rolling_mean_12w', 4)}, CAST(MONTH(date) AS INTEGER) AS month, CAST(QUARTER(date) AS INTEGER) AS quarter, {_r('x', 'time_idx')}, {_I} FROM segment_weekly",
     "p1_validate": f"SELECT {_K}, COUNT(*) AS rows FROM flag_weekly GROUP BY k",
     "p2_fold_subset": f"SELECT {_K}, fold, role, {_I}, {_r('x', 'x')}, {_r('y', 'y')} FROM flag_roles",
     "p3_last_fold": "SELECT k AS o_custkey, role, COUNT(*) AS rows, CAST(MIN(pos) AS INTEGER) AS first_pos, CAST(MAX(pos) AS INTEGER) AS last_pos FROM (SELECT k, pos, role FROM cust_roles WHERE fold = splits - 1 UNION ALL SELECT k, pos, 'train' FROM cust_target WHERE k IN (SELECT k FROM cust_plan WHERE status <> 'ok')) GROUP BY k, role",
@@ -340,9 +340,9 @@ SELECT e.k AS l_returnflag, e.model, e.bin, {_r('low + width * e.bin', 'left_edg
 FROM every_bin e LEFT JOIN counted c ON c.k = e.k AND c.model = e.model AND c.bin = e.bin"""
 
 ORACLE["d3_density"] = _WITH.rstrip() + "," + _BINS + f""",
-grid AS (SELECT *, std * POW(n, -0.2) AS h, low + (high - low) * point / 199.0 AS at FROM (SELECT *, CAST(unnest(range(200)) AS INTEGER) AS point FROM bins))
-SELECT g.k AS l_returnflag, g.model, point, {_r('at', 'at', 3)}, {_r('AVG(EXP(-0.5 * ((at - residual) / h) * ((at - residual) / h)) / (h * SQRT(2 * PI()))) * ANY_VALUE(n) * ANY_VALUE(width)', 'scaled', 3)}
-FROM grid g JOIN resid r ON r.k = g.k AND r.model = g.model GROUP BY g.k, g.model, point, at"""
+grid AS (SELECT *, std * POW(n, -0.2) AS h, low + (high - low) * point / 199.0 AS residual_at FROM (SELECT *, CAST(unnest(range(200)) AS INTEGER) AS point FROM bins))
+SELECT g.k AS l_returnflag, g.model, point, {_r('residual_at', 'residual_at', 3)}, {_r('AVG(EXP(-0.5 * ((residual_at - residual) / h) * ((residual_at - residual) / h)) / (h * SQRT(2 * PI()))) * ANY_VALUE(n) * ANY_VALUE(width)', 'scaled', 3)}
+FROM grid g JOIN resid r ON r.k = g.k AND r.model = g.model GROUP BY g.k, g.model, point, residual_at"""
 
 ORACLE["s1_load"] = f"SELECT o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS ts, {_r('o_totalprice', 'number')}, CAST(o_orderkey AS DOUBLE) AS cumulative FROM orders"
 ORACLE["s2_select_columns"] = f"SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS ts, {_r('o_totalprice', 'number')}, CAST(o_orderkey AS DOUBLE) AS cumulative FROM orders"
