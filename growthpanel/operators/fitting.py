@@ -218,9 +218,9 @@ def _fit_short(points: Points, tasks: DataFrame, options: FitOptions, tolerance:
     )
     asked = F.collect_list(F.struct("fold", "start", "train_end", *SHAPE)).alias("fits")
     groups = tasks.groupBy(*keys, "model", "ymax", "xlo", "xhi").agg(asked).join(weeks, keys)
-    if points.small:
-        parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        groups = groups.repartition(parts, *keys, "model")
+    # few bytes but much work: spread over all partitions, by an expression that no earlier partitioning can stand in for
+    parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups.repartition(parts, F.xxhash64(*keys, "model"))
     solve = partial(fit_groups, tolerance=tolerance, max_passes=options.max_passes)
     return groups.mapInPandas(solve, schema=_begin(tasks, keys).schema)
 
