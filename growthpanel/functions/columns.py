@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 SINGLE_KEY = "series"
 
 
+#: columns the steps add; a key of the same name would be confused with them
+RESERVED = frozenset(
+    "date ts number cumulative row_order pos x y n k d t0 block fold role status start train_end test_start test_end "
+    "ymax ymin xlo xhi xmid u e d1 d2 d3 model params pred type scope rmse r2 mae score memory fits alpha beta passes "
+    "done converged draw".split()
+)
+
+
 def nan_to_null(value: Column) -> Column:
     """NaN is the reference's missing value; Spark's aggregates only skip NULL."""
     return F.when(~F.isnan(value), value)
@@ -34,6 +42,12 @@ def with_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]
     return df.withColumn(SINGLE_KEY, F.lit("all")), [SINGLE_KEY]
 
 
+def check_key_names(keys: Sequence[str]) -> None:
+    clash = RESERVED.intersection(keys)
+    if clash:
+        raise ValueError(f"rename the key columns {sorted(clash)}: the weekly and model tables use these names")
+
+
 def require(df: DataFrame, columns: Sequence[str], what: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from growthpanel.functions import curves as C
-from growthpanel.functions.columns import clip, with_keys
+from growthpanel.functions.columns import check_key_names, clip, with_keys
 from growthpanel.functions.noise import repeatable_normal
 from growthpanel.functions.step import COLUMNS, PAIRS, SHAPE, SUMS, fit_groups, fresh_memory, step_fits
 from growthpanel.operators import metrics
@@ -86,6 +86,7 @@ class Points:
 
 def hold_points(target: DataFrame, keys: Sequence[str] = (), broadcast_rows: int = BROADCAST_ROWS) -> Points:
     """Persist the points partitioned by series, and measure them once to choose how to fit them."""
+    check_key_names(keys)
     target, keys = with_keys(target, keys)
     parts = int(target.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points = (

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from growthpanel.functions.columns import require, with_keys
+from growthpanel.functions.columns import check_key_names, require, with_keys
 from growthpanel.operators.weekly import fill_missing
 
 #: fold number of fits and metrics that use the whole series
@@ -26,6 +26,7 @@ def prepare_target(weekly: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
     A series whose target is still missing or infinite gets ``status='invalid_target'`` instead of ending the run.
     """
+    check_key_names(keys)
     require(weekly, ["time_idx", "cumulative", "pos"], "the weekly table")
     weekly, keys = with_keys(weekly, keys)
     ordered = Window.partitionBy(*keys).orderBy("pos")

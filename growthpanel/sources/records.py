@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from growthpanel.functions.columns import nan_to_null, require, with_keys
+from growthpanel.functions.columns import check_key_names, nan_to_null, require, with_keys
 
 MISSING_KEY = "(missing)"
 
@@ -79,6 +79,7 @@ def select_records(
     """
     if mode not in ("strict", "permissive"):
         raise ValueError(f"mode must be 'strict' or 'permissive', not {mode!r}")
+    check_key_names(keys)
     require(df, [*keys, date, number, *filter(None, [cumulative, order_by])], "the input")
     strict = mode == "strict"
     ts = F.col(date) if _is_time(df, date) else _checked(_timestamp(date, date_format), F.col(date), date, strict)
