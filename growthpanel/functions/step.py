@@ -31,6 +31,8 @@ FITS_ASYMMETRY = {name: curve.fits_asymmetry for name, curve in CURVES.items()}
 FIRST_DAMPING, LEAST_DAMPING, MOST_DAMPING = 1e-2, 1e-9, 1e9
 # a step that may go less than this share of its way to a height bound counts as being at the bound
 NEAR_BOUND = 0.1
+# fits stepped together in one task
+BLOCK = 64
 
 
 def fresh_memory() -> list[float]:
@@ -197,33 +199,55 @@ def _shape_columns(model: str, x, k, t0, d):
 
 def _weekly_sums(model: str, x, y, weight, shape):
     k, t0, d = (shape[:, [i]] for i in range(3))
-    u, d1, d2, d3 = _shape_columns(model, x[None, :], k, t0, d)
-    columns = np.stack([np.ones_like(u), u, d1, d2, d3, np.broadcast_to(y, u.shape)], axis=1)
+    u, d1, d2, d3 = _shape_columns(model, x, k, t0, d)
+    columns = np.stack([np.ones_like(u), u, d1, d2, d3, y], axis=1)
     gram = np.matmul(columns * weight[:, None, :], columns.transpose(0, 2, 1))
     return np.column_stack([gram[:, i, j] for i, j in PAIRS])
 
 
 def fit_groups(batches: Iterator[pd.DataFrame], tolerance: float, max_passes: int) -> Iterator[pd.DataFrame]:
-    """All passes for one series and curve per row: its weeks (x, y) and the fits asked for."""
+    """All passes for one series and curve per row: its weeks (x, y) and the fits asked for.
+
+    Fits of a batch run side by side in blocks of one curve, so that a pass costs a few array operations per block.
+    """
     for rows in batches:
-        for position in range(len(rows)):
-            row = rows.iloc[[position]]
-            fits = pd.DataFrame(list(row["fits"].iloc[0]))
-            repeated = pd.concat([row.drop(columns=["fits", "x", "y"])] * len(fits), ignore_index=True)
-            with np.errstate(all="ignore"):
-                yield _fit_group(repeated.join(fits), row["x"].iloc[0], row["y"].iloc[0], tolerance, max_passes)
-
-
-def _fit_group(fits: pd.DataFrame, x, y, tolerance: float, max_passes: int) -> pd.DataFrame:
-    x, y, count = np.asarray(x, float), np.asarray(y, float), len(fits)
-    model, limits = fits["model"].iloc[0], _curve_limits(fits)
-    weight = (np.arange(len(x))[None, :] < fits["train_end"].to_numpy()[:, None]).astype(float)
+        if not len(rows):
+            continue
+        weeks_of = rows[["x", "y"]].to_numpy()
+        facts = rows.drop(columns=["x", "y", "fits"])
+        counts = rows["fits"].map(len).to_numpy()
+        owner = np.repeat(np.arange(len(rows)), counts)
+        asked = pd.DataFrame([fit for fits in rows["fits"] for fit in fits])
+        flat = facts.iloc[owner].reset_index(drop=True).join(asked)
+        for _, same_curve in flat.groupby("model", sort=False):
+            for begin in range(0, len(same_curve), BLOCK):
+                block = same_curve.iloc[begin : begin + BLOCK]
+                series = [weeks_of[i] for i in owner[block.index.to_numpy()]]
+                with np.errstate(all="ignore"):
+                    yield _fit_block(block.reset_index(drop=True), series, tolerance, max_passes)
+
+
+def _padded(arrays, width: int) -> np.ndarray:
+    table = np.zeros((len(arrays), width))
+    for row, values in zip(table, arrays):
+        row[: len(values)] = values
+    return table
+
+
+def _fit_block(fits: pd.DataFrame, series, tolerance: float, max_passes: int) -> pd.DataFrame:
+    """Fits of one curve, each with the (x, y) of its series; only training rows have weight."""
+    trained = fits["train_end"].to_numpy()
+    width = int(trained.max())
+    x, y = (_padded([pair[i][:width] for pair in series], width) for i in range(2))
+    weight = (np.arange(width)[None, :] < trained[:, None]).astype(float)
+    x, y = x * weight, y * weight
+    count, model, limits = len(fits), fits["model"].iloc[0], _curve_limits(fits)
     trial, best = fits[SHAPE].to_numpy(float), np.tile(fresh_memory(), (count, 1))
     passes, converged, moving = np.zeros(count, int), np.zeros(count, bool), np.arange(count)
     for _ in range(max_passes):
         absolute, (low_height, high_height), low, high, may_move = limits
         part = (absolute[moving], (low_height[moving], high_height[moving]), low[moving], high[moving], may_move[moving])
-        sums = _weekly_sums(model, x, y, weight[moving], trial[moving])
+        sums = _weekly_sums(model, x[moving], y[moving], weight[moving], trial[moving])
         trial[moving], best[moving], done, settled = advance(trial[moving], best[moving], sums, part, tolerance)
         passes[moving] += 1
         converged[moving] = settled

@@ -33,8 +33,8 @@ FIT_ID = ["model", "fold", "start"]
 #: weekly rows up to which the points are broadcast to the fits (some 20 MB); beyond it both sides are co-partitioned
 BROADCAST_ROWS = 200_000
 
-#: weeks up to which one task may hold a whole series (400 kB of numbers, 480 years); longer ones are fitted by aggregation
-GROUP_ROWS = 25_000
+#: weeks up to which one task may hold a whole series (80 kB of numbers, 96 years); longer ones are fitted by aggregation
+GROUP_ROWS = 5_000
 
 
 @dataclass(frozen=True)
@@ -60,8 +60,10 @@ class Fits:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make a local one only for a session that names none."""
+    """Use the cluster's shared checkpoint folder; make one only for a local session that names none."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="growthpanel-"))
 
 
