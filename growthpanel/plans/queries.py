@@ -141,12 +141,13 @@ class Inputs:
 
     def best(self, kind: str) -> DataFrame:
         """Scores are compared to nine digits: at their start shapes two of the curves are the same."""
-        rows = self.metrics.withColumn("r2", F.round("r2", 9))
-        return selection.best_model(rows.where(F.col("type") == kind), FLAG)
+        rows = self.metrics.withColumn("r2", F.round("r2", 9)).where(F.col("type") == kind)
+        return self._once(f"best {kind}", lambda: selection.best_model(rows, FLAG))
 
     @property
     def best_params(self) -> DataFrame:
-        return forecast.best_curve_params(self.quick_full, self.best("Individual"), FLAG)
+        best = self.best("Individual")
+        return self._once("best_params", lambda: forecast.best_curve_params(self.quick_full, best, FLAG))
 
     @property
     def future(self) -> DataFrame:
@@ -543,7 +544,7 @@ def f7_exponential_optimum(spark, folder):
 
 @query
 def f8_no_folds(spark, folder):
-    """Customer nations by order month are long enough for folds; here folds are withheld: train measures only."""
+    """Folds withheld: one fit of the whole series, train measures only."""
     i = Inputs.of(spark, folder)
     fits = fitting.fit_curves(i.points, None, options=FITTED)
     return tidy(predictions.curve_metrics(i.target, i.folds.limit(0), fits.params, FLAG), 4)
