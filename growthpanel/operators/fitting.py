@@ -342,7 +342,7 @@ def fit_curves(
     points = target if isinstance(target, Points) else hold_points(target, keys, options.broadcast_rows)
     keys = points.keys
     ensure_checkpoint_dir(points.df.sparkSession)
-    starts = start_values(points.df, keys, options.models).persist(StorageLevel.MEMORY_AND_DISK)
+    starts = start_values(points.df, keys, options.models).checkpoint()
 
     first_tasks = starts.withColumns(
         {"fold": F.lit(FULL), "start": F.lit(0), "train_end": F.col("n"), **_shape_of("start_params")}
@@ -352,7 +352,7 @@ def fit_curves(
     usable = F.when(F.col("status") == "ok", F.col("params")).otherwise(F.col("start_params"))
     initial = base.join(
         first.select(*keys, "model", "params", "status", "sse", "converged"), [*keys, "model"], "left"
-    ).withColumn("initial_params", usable)
+    ).withColumn("initial_params", usable).checkpoint()
 
     if folds is None:
         return Fits(_final_rows(initial, keys, "initial_params"), initial, keys)

@@ -22,6 +22,7 @@ from growthpanel.functions import curves as C
 from growthpanel.functions.columns import with_keys
 from growthpanel.operators.averaging import combine, components
 from growthpanel.operators.features import FEATURES, fit_scaler, make_features, scale, time_context
+from growthpanel.operators.fitting import ensure_checkpoint_dir
 from growthpanel.operators.folds import fold_rows
 from growthpanel.operators.metrics import fold_summary, score
 
@@ -98,7 +99,8 @@ def tree_cv_metrics(
 ) -> DataFrame:
     """Mean test measures over folds per series and tree model."""
     target, keys = with_keys(target, keys)
-    scales = target_scale(target, keys).persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(target.sparkSession)
+    scales = target_scale(target, keys).checkpoint()
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     scored = []
     last = folds.agg(F.max("fold")).first()[0]
@@ -143,10 +145,11 @@ def train_trees(
     """Grid search and final training on all weeks, per tree model."""
     target, keys = with_keys(target, keys)
     valid = target.where(F.col("status") == "ok").select(*keys, "pos", "x", "y")
-    parts = components(params, keys, component_fit)
-    context, scales = time_context(valid, keys), target_scale(target, keys)
+    ensure_checkpoint_dir(target.sparkSession)
+    parts = components(params, keys, component_fit).checkpoint()
+    context, scales = time_context(valid, keys).checkpoint(), target_scale(target, keys).checkpoint()
     features = make_features(valid, parts, context, keys)
-    scaler = fit_scaler(features, keys).persist(StorageLevel.MEMORY_AND_DISK)
+    scaler = fit_scaler(features, keys).checkpoint()
     rows = _labelled(scale(features, scaler, keys), scales, keys)
     rows = inner_fold(rows, keys, options.inner_folds).persist(StorageLevel.MEMORY_AND_DISK)
     trained = {}

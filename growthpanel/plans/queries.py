@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +64,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self._made = spark, folder, {}
+        fitting.ensure_checkpoint_dir(spark)
 
     @classmethod
     def of(cls, spark: SparkSession, folder: str) -> Inputs:
@@ -79,7 +79,8 @@ class Inputs:
     def _once(self, name: str, make: Callable[[], object]):
         if name not in self._made:
             made = make()
-            self._made[name] = made.persist(StorageLevel.MEMORY_AND_DISK) if isinstance(made, DataFrame) else made
+            # written once: plans on top stay small, and a lost executor does not bring the raw rows back
+            self._made[name] = made.checkpoint() if isinstance(made, DataFrame) else made
         return self._made[name]
 
     def shipped(self, keys: list[str]) -> DataFrame:
@@ -180,7 +181,6 @@ class Inputs:
 
     def scratch(self) -> str:
         """A new folder on the shared storage of the session."""
-        fitting.ensure_checkpoint_dir(self.spark)
         return f"{self.spark.sparkContext.getCheckpointDir()}/growthpanel-{uuid.uuid4().hex}"
 
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from growthpanel.functions.columns import with_keys
 from growthpanel.operators import averaging, chartdata, forecast, reports, selection, trees
-from growthpanel.operators.fitting import FitOptions, fit_curves, hold_points
+from growthpanel.operators.fitting import FitOptions, ensure_checkpoint_dir, fit_curves, hold_points
 from growthpanel.operators.folds import make_folds, prepare_target, validate_panel
 from growthpanel.operators.predictions import curve_metrics, curve_predictions, full_fit
 from growthpanel.operators.trees import TreeEnsemble, TreeOptions
@@ -109,22 +108,26 @@ class Trained:
 
 
 def train(records: DataFrame, keys: Sequence[str] = (), options: TrainingOptions = TrainingOptions()) -> Trained:
-    """Run every step on records from ``select_records``."""
+    """Run every step on records from ``select_records``.
+
+    Tables that later steps share are checkpointed: at most a few rows per series, week and model, written once, so that
+    plans on top stay small and a lost executor does not bring the raw rows back.
+    """
     records, keys = with_keys(records, keys)
-    hold = StorageLevel.MEMORY_AND_DISK
-    weekly = weekly_panel(records, keys, options.scale).persist(hold)
+    ensure_checkpoint_dir(records.sparkSession)
+    weekly = weekly_panel(records, keys, options.scale).checkpoint()
     validate_panel(weekly)
-    target = prepare_target(weekly, keys).persist(hold)
-    folds = make_folds(target, keys, options.n_splits, options.gap).persist(hold)
+    target = prepare_target(weekly, keys).checkpoint()
+    folds = make_folds(target, keys, options.n_splits, options.gap).checkpoint()
     valid = target.where(F.col("status") == "ok")
 
     points = hold_points(target, keys, options.fit.broadcast_rows)
     params = fit_curves(points, folds, options=options.fit).params.checkpoint()
-    by_curve = curve_metrics(valid, folds, params, keys).persist(hold)
+    by_curve = curve_metrics(valid, folds, params, keys).checkpoint()
     curve_preds = curve_predictions(valid, full_fit(params), keys)
 
-    parts = averaging.components(params, keys, options.component_fit)
-    weights = averaging.component_weights(valid, folds, parts, keys).persist(hold)
+    parts = averaging.components(params, keys, options.component_fit).checkpoint()
+    weights = averaging.component_weights(valid, folds, parts, keys).checkpoint()
     ensemble_preds = averaging.average_predictions(valid.drop("status"), parts, weights, keys)
     ensemble_metrics = averaging.average_metrics(ensemble_preds, keys)
 
@@ -137,9 +140,10 @@ def train(records: DataFrame, keys: Sequence[str] = (), options: TrainingOptions
         ensemble_preds = averaging.combine(ensemble_preds, *tree_preds)
 
     metrics = selection.combined_metrics(by_curve, ensemble_metrics, keys).checkpoint()
-    best_curve = selection.best_model(metrics.where(F.col("type") == "Individual"), keys)
-    best_ensemble = selection.best_model(metrics.where(F.col("type") == "Ensemble"), keys)
+    best_curve = selection.best_model(metrics.where(F.col("type") == "Individual"), keys).checkpoint()
+    best_ensemble = selection.best_model(metrics.where(F.col("type") == "Ensemble"), keys).checkpoint()
 
+    ensemble_preds = ensemble_preds.checkpoint()
     future = forecast.horizon(valid, keys, options.horizon_weeks)
     chosen = forecast.best_curve_params(full_fit(params), best_curve, keys)
     ahead = averaging.average_predictions(future, parts, weights, keys)
