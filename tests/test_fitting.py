@@ -66,7 +66,7 @@ def test_all_folds_are_there_and_metrics_follow(exact, fits):
 
 def test_long_series_take_the_aggregating_path_to_the_same_result(spark, exact):
     two = exact.where("sid IN ('Logistic', 'Exponential')")
-    options = {"models": ("Exponential", "Logistic"), "starts": 2, "max_passes": 12}
+    options = {"models": ("Exponential", "Logistic"), "starts": 2, "max_passes": 5}
     folds = make_folds(two, ["sid"], n_splits=2)
     short = fit_curves(two, folds, ["sid"], FitOptions(**options)).params
     long = fit_curves(two, folds, ["sid"], FitOptions(group_rows=10, broadcast_rows=1, **options)).params
@@ -78,7 +78,7 @@ def test_long_series_take_the_aggregating_path_to_the_same_result(spark, exact):
 
 def test_mixed_lengths_split_between_the_paths(spark, exact):
     part = exact.where("sid = 'Logistic'").union(exact.where("sid = 'Gompertz' AND pos < 100"))
-    options = FitOptions(models=("Logistic",), max_passes=10, group_rows=150)
+    options = FitOptions(models=("Logistic",), max_passes=6, group_rows=150)
     found = fit_curves(part, None, ["sid"], options).params.collect()
     assert sorted(r["sid"] for r in found) == ["Gompertz", "Logistic"]
     assert all(r["status"] == "ok" for r in found)
