@@ -12,7 +12,7 @@ from growthpanel.functions.columns import clip, ratio, with_keys
 from growthpanel.functions.noise import normal_quantile
 from growthpanel.operators.folds import last_fold_rows
 from growthpanel.operators.metrics import score
-from growthpanel.operators.selection import ENSEMBLES, combined_metrics, melt_metrics, model_order, overall_score, top_per_group
+from growthpanel.operators.selection import ENSEMBLES, combined_metrics, melt_metrics, overall_score, top_per_group
 
 
 def residuals(predictions: DataFrame) -> DataFrame:
@@ -258,8 +258,3 @@ def exploratory_panels(weekly: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     boxes = ["q1", "median", "q3", "low_whisker", "high_whisker", "outliers"]
     by_year = panel(yearly_distribution(weekly, keys), "by_year", "year", boxes)
     return over_time.unionByName(by_month).unionByName(by_year)
-
-
-def plot_order(metrics: DataFrame) -> DataFrame:
-    """Add the order in which models are listed."""
-    return metrics.withColumn("plot_order", model_order(F.col("model")))

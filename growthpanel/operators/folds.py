@@ -69,17 +69,16 @@ def split_count(n: Column, n_splits: int = 5) -> Column:
 def fold_plan(target: DataFrame, keys: Sequence[str] = (), n_splits: int = 5, gap: int = 4) -> DataFrame:
     """One row per series: weeks ``n``, folds ``k``, test block length ``block`` and a status."""
     target, keys = with_keys(target, keys)
-    sizes = target.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"), F.min("status").alias("target_status"))
+    sizes = target.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"), F.bool_and(F.col("status") == "ok").alias("valid"))
     planned = sizes.withColumn("k", split_count(F.col("n"), n_splits))
     planned = planned.withColumn("block", F.floor(F.col("n") / (F.col("k") + 1)).cast("int"))
     fits = (F.col("k") < F.col("n")) & (F.col("n") - gap - F.col("k") * F.col("block") > 0)
-    status = F.col("target_status")
     return planned.select(
         *keys,
         "n",
         "k",
         "block",
-        F.when(status != "ok", status)
+        F.when(~F.col("valid"), F.lit("invalid_target"))
         .when(fits, F.lit("ok"))
         .otherwise(F.lit("too_few_rows"))
         .alias("status"),
