@@ -250,6 +250,7 @@ _TABLES: dict[str, str] = {
     "f2_linear_pair": f"SELECT {_K}, model, CAST(fold AS INTEGER) AS fold, CAST(position AS INTEGER) AS position, {_r('value', 'value')} FROM (SELECT k, model, fold, unnest(range(len(params))) AS position, unnest(params) AS value FROM params)",
     "f4_skipped_folds": "SELECT k AS o_custkey, model, fold, train_end, CASE WHEN train_end >= size THEN 'ok' ELSE 'skipped' END AS status FROM cust_folds CROSS JOIN (VALUES ('Exponential', 3), ('Logistic', 4), ('Richards', 5), ('Gompertz', 4)) AS m(model, size)",
     "f6_best_fold": f"SELECT {_K}, model, fold AS best_fold, {_r('height', 'first_param')} FROM (SELECT p.*, ROW_NUMBER() OVER (PARTITION BY p.k, p.model ORDER BY m.r2 DESC, m.fold) AS rank FROM params p JOIN fold_metrics m ON m.k = p.k AND m.model = p.model AND m.fold = p.fold AND m.role = 'test') WHERE rank = 1",
+    "f9_statuses": "SELECT model, 'ok' AS status, COUNT(*) AS fits FROM ranges CROSS JOIN models GROUP BY model",
     "a1_rmse": f"SELECT {_K}, model, fold, role, {_r('rmse', 'rmse', 3)}, n FROM fold_metrics",
     "a2_mae": f"SELECT {_K}, model, fold, role, {_r('mae', 'mae', 3)}, n FROM fold_metrics",
     "a3_r2": f"SELECT {_K}, model, fold, role, {_r('r2', 'r2', 5)}, n FROM fold_metrics",
