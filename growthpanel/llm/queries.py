@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from growthpanel.llm import simhash
+from growthpanel.llm import secret_scan, simhash
 from growthpanel.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,11 @@ def query(function):
 @query
 def op1_simhash(spark, folder):
     return simhash.simhash_components(table(spark, folder, "documents"))
+
+
+@query
+def op10_secrets(spark, folder):
+    return secret_scan.secret_digest(secret_scan.scan_secrets(table(spark, folder, "documents")))
+
+
+ORACLE["op10_secrets"] = secret_scan.duckdb_sql()
