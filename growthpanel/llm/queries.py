@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from growthpanel.llm import mixing, secret_scan, simhash
+from growthpanel.llm import mixing, secret_scan, simhash, toxicity
 from growthpanel.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op4_mixing(spark, folder):
     return mixing.mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op5_toxicity(spark, folder):
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op10_secrets(spark, folder):
     return secret_scan.secret_digest(secret_scan.scan_secrets(table(spark, folder, "documents")))
