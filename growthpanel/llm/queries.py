@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from growthpanel.llm import mixing, secret_scan, simhash, toxicity
+from growthpanel.llm import binary_ids, mixing, secret_scan, simhash, toxicity
 from growthpanel.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op5_toxicity(spark, folder):
     return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op8_token_files(spark, folder):
+    return binary_ids.encode_and_read(table(spark, folder, "documents"))
+
+
 @query
 def op10_secrets(spark, folder):
     return secret_scan.secret_digest(secret_scan.scan_secrets(table(spark, folder, "documents")))
