@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from growthpanel.llm import binary_ids, mixing, secret_scan, simhash, toxicity
+from growthpanel.llm import binary_ids, mixing, packing, secret_scan, simhash, toxicity
 from growthpanel.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op1_simhash(spark, folder):
     return simhash.simhash_components(table(spark, folder, "documents"))
 
 
+@query
+def op3_packing(spark, folder):
+    return packing.pack_digest(table(spark, folder, "documents"))
+
+
 @query
 def op4_mixing(spark, folder):
     return mixing.mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
