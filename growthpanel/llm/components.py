@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from growthpanel.llm.shared import Shelf
 
 
+def spanning_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer links that connect what the links (a, b) of one comparison connect: one per end but the first."""
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if len(a) < len(nodes):
+        return a, b
+    x, y, top = places[: len(a)], places[len(a) :], np.arange(len(nodes))
+    while True:
+        new = top.copy()
+        np.minimum.at(new, x, top[y])
+        np.minimum.at(new, y, top[x])
+        new = new[new]
+        if (new == top).all():
+            break
+        top = new
+    moved = np.flatnonzero(top != np.arange(len(nodes)))
+    return nodes[moved], nodes[top[moved]]
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node beside it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

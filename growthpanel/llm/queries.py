@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from growthpanel.llm import binary_ids, mixing, packing, secret_scan, simhash, toxicity
+from growthpanel.llm import binary_ids, mixing, neighbours, packing, secret_scan, simhash, toxicity, vector_dedup
 from growthpanel.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,11 @@ def op1_simhash(spark, folder):
     return simhash.simhash_components(table(spark, folder, "documents"))
 
 
+@query
+def op2_neighbours(spark, folder):
+    return neighbours.nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op3_packing(spark, folder):
     return packing.pack_digest(table(spark, folder, "documents"))
@@ -38,6 +44,11 @@ def op5_toxicity(spark, folder):
     return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op6_vector_dedup(spark, folder):
+    return vector_dedup.vector_components(table(spark, folder, "embeddings"))
+
+
 @query
 def op8_token_files(spark, folder):
     return binary_ids.encode_and_read(table(spark, folder, "documents"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from growthpanel.llm.components import connected_components
+from growthpanel.llm.components import connected_components, spanning_links
 from growthpanel.llm.shared import Shelf
 
 #: words of a shingle, seed of its hash
@@ -67,24 +67,6 @@ def _cell(value: Column) -> Column:
     return key.cast("int")
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Positions of links that alone connect what all of them connect."""
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(up, up)
-        return x
-
-    used = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = top(x), top(y)
-        if x != y:
-            parent[y] = x
-            used.append(i)
-    return used
-
-
 def compare_tiles(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between two tiles (or within one): enough of them to connect all that lie within the radius."""
     a, b = [], []
@@ -94,11 +76,7 @@ def compare_tiles(left: np.ndarray, right: np.ndarray, same: bool, radius: int)
             x, y = x[x + i < y], y[x + i < y]
         a.append(left[x + i])
         b.append(right[y])
-    a, b = np.concatenate(a), np.concatenate(b)
-    if len(a) >= len(left) + len(right):
-        used = _forest(a, b)
-        a, b = a[used], b[used]
-    return a, b
+    return spanning_links(np.concatenate(a), np.concatenate(b))
 
 
 def _compare(radius: int):
