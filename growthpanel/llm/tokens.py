@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: words and runs that a worker remembers, each, besides those of one text
-_KNOWN = 800_000
+_KNOWN = 500_000
 #: Latin-1 letters, where upper and lower case pair one to one
 _LATIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _plain = re.compile(r"[\t-\r -&(-~¡-ÿ]*")
