@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from growthpanel.llm.shared import Shelf
+
 #: most labelled rows that a fit reads, taken by a hash of the doc_id
 SAMPLE = 20_000
 #: a term is a word of letters, or its first letters in these numbers, so that inflected forms share what is learned
@@ -27,15 +29,16 @@ _letters = re.compile(r"[^\W\d_]+")
 
 
 def terms(word: str) -> list[int]:
-    """Hashes of a word and of its beginnings."""
-    return [crc32(word.encode())] + [crc32(f"^{word[:n]}".encode()) for n in PREFIXES if len(word) > n]
+    """Hashes of a word and of its beginnings, as signed 32-bit integers."""
+    parts = [word, *(f"^{word[:n]}" for n in PREFIXES if len(word) > n)]
+    return [(crc32(p.encode()) ^ 0x80000000) - 0x80000000 for p in parts]
 
 
 def words(text: str) -> set[str]:
     return set(_letters.findall(text.lower()))
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _terms(texts: pa.Array) -> pa.Array:
     known: dict[str, list[int]] = {}
     out = []
@@ -49,7 +52,7 @@ def _terms(texts: pa.Array) -> pa.Array:
                 hashes = known[word] = terms(word)
             found.update(hashes)
         out.append(sorted(found))
-    return pa.array(out, pa.list_(pa.int64()))
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 @dataclass
@@ -86,7 +89,14 @@ def _places(rows: list[np.ndarray], vocabulary: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 42) -> Machine:
+def telling_terms(terms: np.ndarray, rows: np.ndarray, toxic: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
+    """The terms, sorted, that are in enough rows and whose chi-square against the label is large enough."""
+    spread = np.maximum(rows * (n - rows) * float(n_toxic) * (n - n_toxic), 1e-9)
+    chi2 = n * (toxic * float(n) - rows * float(n_toxic)) ** 2 / spread
+    return np.sort(terms[(rows >= LEAST_ROWS) & (chi2 >= LEAST_CHI2)])
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, vocabulary: np.ndarray, seed: int = 42) -> Machine:
     """A machine from the term hashes and 0/1 labels of some texts. With one class alone, every score is that class's.
 
     Adagrad steps; linear weights are pulled to zero (terms that say nothing add nothing to long texts), factors are
@@ -96,12 +106,6 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 42) -> Machine:
     if not len(rows) or labels.min() == labels.max():
         sure = -40.0 if not len(rows) or labels.max() == 0 else 40.0
         return Machine(np.empty(0, np.int64), np.empty(0), np.empty((0, FACTORS)), sure)
-    all_terms, inverse, counts = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    toxic = np.bincount(inverse, np.repeat(labels, [len(r) for r in rows]), len(all_terms))
-    n, t = len(rows), labels.sum()
-    rest = np.maximum(counts * (n - counts) * t * (n - t), 1e-9)
-    chi2 = n * (toxic * n - counts * t) ** 2 / rest
-    vocabulary = all_terms[(counts >= min(LEAST_ROWS, n)) & (chi2 >= LEAST_CHI2)]
     places = _places(rows, vocabulary)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
@@ -157,18 +161,31 @@ def _cut(z: np.ndarray, labels: np.ndarray) -> float:
     return float((z[k] + below[k]) / 2)
 
 
-def sample_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Term hashes and labels of at most ``sample`` rows that may be learned from: crc32 of the doc_id modulo 3 is not 1.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
+    """A machine from at most ``sample`` rows that may be learned from: crc32 of the doc_id modulo 3 is not 1.
 
-    ``sample`` bounds what is broadcast (16 bytes a row) and what the driver gets. Rows with a null doc_id or label
-    are not learned from; a doc_id with several labels counts as toxic if any says so.
+    ``sample`` bounds what is broadcast (16 bytes a row) and what the driver gets: the counts of the terms that are in
+    several rows, and of each row the terms that tell. Rows with a null doc_id or label are not learned from; a doc_id
+    with several labels counts as toxic if any says so.
     """
+    shelf = Shelf(docs.sparkSession)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", _terms("text").alias("terms"))
-    taken = rows.toPandas().sort_values("doc_id", kind="stable")
-    return [np.asarray(t, np.int64) for t in taken.terms], taken.toxic.to_numpy(float)
+    rows = shelf.keep(rows, "sample")
+    n, n_toxic = rows.agg(F.count("toxic"), F.sum("toxic")).first()
+    each = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("toxic").alias("rows"), F.sum("toxic").alias("toxic"))
+    each = each.where(F.col("rows") >= LEAST_ROWS).toPandas()
+    vocabulary = telling_terms(*(each[c].to_numpy(np.int64) for c in ("term", "rows", "toxic")), n, n_toxic or 0)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def telling(terms: pa.Array) -> pa.Array:
+        return pa.array([np.intersect1d(np.array(t, np.int64), vocabulary) for t in terms.to_pylist()], pa.list_(pa.int32()))
+
+    taken = rows.select("doc_id", "toxic", telling("terms").alias("terms")).toPandas().sort_values("doc_id", kind="stable")
+    shelf.forget(rows)
+    return fit([np.asarray(t, np.int64) for t in taken.terms], taken.toxic.to_numpy(float), vocabulary)
 
 
 def scorer(machine: Machine, docs: DataFrame):
@@ -207,7 +224,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     a null doc_id is not held out. Null and empty texts get the score of a text without known terms. Without labels,
     or with labels of one class, every row gets that class (none: not toxic).
     """
-    machine = fit(*sample_terms(docs, labels, sample))
+    machine = train(docs, labels, sample)
     score = scorer(machine, docs)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     scored = docs.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), score("text").alias("score"))
@@ -216,7 +233,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that score below the limit, with all columns."""
-    score = scorer(fit(*sample_terms(docs, labels, sample)), docs)
+    score = scorer(train(docs, labels, sample), docs)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     return docs.select(row, score("text").alias("score")).where(F.col("score") < REJECT).select("row.*")
 
