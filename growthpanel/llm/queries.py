@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthpanel.llm import binary_ids, mixing, neighbours, packing, secret_scan, simhash, toxicity, vector_dedup
+from growthpanel.llm import binary_ids, mixing, neighbours, packing, page_text, secret_scan, simhash, toxicity, vector_dedup
 from growthpanel.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ def op8_token_files(spark, folder):
     return binary_ids.encode_and_read(table(spark, folder, "documents"))
 
 
+@query
+def op9_page_text(spark, folder):
+    return page_text.extract_main_text(table(spark, folder, "pages"))
+
+
 @query
 def op10_secrets(spark, folder):
     return secret_scan.secret_digest(secret_scan.scan_secrets(table(spark, folder, "documents")))
