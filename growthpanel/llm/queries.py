@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthpanel.llm import binary_ids, mixing, neighbours, packing, page_text, secret_scan, simhash, toxicity, vector_dedup
+from growthpanel.llm import binary_ids, mixing, neighbours, packing, page_text, secret_scan, simhash, substrings, toxicity, vector_dedup
 from growthpanel.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,11 @@ def op6_vector_dedup(spark, folder):
     return vector_dedup.vector_components(table(spark, folder, "embeddings"))
 
 
+@query
+def op7_substrings(spark, folder):
+    return substrings.repeated_digest(table(spark, folder, "documents"))
+
+
 @query
 def op8_token_files(spark, folder):
     return binary_ids.encode_and_read(table(spark, folder, "documents"))
