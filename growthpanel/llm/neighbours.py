@@ -8,6 +8,7 @@ from math import log2, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,7 +180,7 @@ def _best(kind: str, k: int):
             if not len(q) or not len(c):
                 continue
             x = np.frombuffer(b"".join(g["data"].to_pylist()), kind).reshape(len(uid), -1).astype(np.float64)
-            ids = g["vec_id"].to_pandas().fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
+            ids = pc.fill_null(g["vec_id"], np.iinfo(np.int64).max).to_numpy()
             square = (x * x).sum(1)
             for i in range(0, len(q), 128):
                 some = q[i : i + 128]
