@@ -157,7 +157,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] | None = None, see
     All columns stay; rows that the mix does not take go. Rows that are alike in doc_id, text and source are taken
     equally often. Rows without words give nothing.
     """
-    shares = mix_sources(docs, weights, seed=seed).groupBy("mix_key", "doc_id", "source").agg((F.sum("taken") / F.sum("size")).alias("share"))
+    shares = mix_sources(docs, weights, seed=seed).where("size > 0").groupBy("mix_key", "doc_id", "source").agg((F.sum("taken") / F.sum("size")).alias("share"))
     # the top 32 bits order the stream; the chance comes from another hash
     chance = F.pmod(F.xxhash64(F.lit(seed + 1), "mix_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = shares.select(F.col("mix_key").alias("k"), F.col("doc_id").alias("d"), F.col("source").alias("s"), F.floor(F.col("share") + chance).cast("int").alias("times"))
