@@ -88,19 +88,3 @@ def by_curve(model: Column, value_of) -> Column:
         value = F.lit(value_of(curve))
         chosen = F.when(model == curve.name, value) if chosen is None else chosen.when(model == curve.name, value)
     return chosen
-
-
-# Shape of a curve and its derivatives by k, t0 and d, as SQL over the columns model, x, k, t0, d.
-# They come in two projections: EXPONENT first, so that every exp() is evaluated once per row.
-EXPONENT = "exp(least(greatest(-k * (x - t0), -340D), 340D)) AS e"
-SHAPE = (
-    "CASE model WHEN 'Exponential' THEN 1D / e WHEN 'Gompertz' THEN exp(-e) "
-    "ELSE exp(-log1p(e) / d) END AS u"
-)
-DERIVATIVES = (
-    "CASE model WHEN 'Exponential' THEN x * u WHEN 'Gompertz' THEN u * e * (x - t0) "
-    "ELSE u / d * (e / (1D + e)) * (x - t0) END AS d1",
-    "CASE model WHEN 'Exponential' THEN 0D WHEN 'Gompertz' THEN -u * e * k "
-    "ELSE -u / d * (e / (1D + e)) * k END AS d2",
-    "CASE model WHEN 'Richards' THEN u * log1p(e) / (d * d) ELSE 0D END AS d3",
-)

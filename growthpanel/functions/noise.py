@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def _uniform(*parts: Column) -> Column:
-    """A number in (0, 1) that depends on the values of ``parts`` only, never on partitioning."""
-    top_bits = F.shiftrightunsigned(F.xxhash64(*parts), 11)
-    return (top_bits.cast("double") + F.lit(0.5)) / F.lit(float(2**53))
+    """A number in (0, 1) from the text of ``parts`` only, never from partitioning: 52 bits of its MD5."""
+    digits = F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
 def repeatable_normal(seed: int, *parts: Column) -> Column:

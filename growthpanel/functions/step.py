@@ -31,8 +31,10 @@ FITS_ASYMMETRY = {name: curve.fits_asymmetry for name, curve in CURVES.items()}
 FIRST_DAMPING, LEAST_DAMPING, MOST_DAMPING = 1e-2, 1e-9, 1e9
 # a step that may go less than this share of its way to a height bound counts as being at the bound
 NEAR_BOUND = 0.1
-# fits stepped together in one task
-BLOCK = 64
+# fits stepped together in one task, and numbers that their padded weeks may have, however long a series is
+BLOCK, CELLS = 64, 1 << 18
+# weeks whose products are summed at a time: every length is added up in the same steps
+SLICE = 512
 
 
 def fresh_memory() -> list[float]:
@@ -163,26 +165,6 @@ def advance(trial, best, sums, limits, tolerance):
     return proposed, memory, done, settled | still
 
 
-def step_fits(batches: Iterator[pd.DataFrame], tolerance: float) -> Iterator[pd.DataFrame]:
-    """One pass for fits whose sums Spark has aggregated."""
-    for rows in batches:
-        if not len(rows):
-            continue
-        rows = rows.reset_index(drop=True)
-        limits = _curve_limits(rows)
-        best = np.stack(rows["memory"].to_numpy()).astype(float)
-        with np.errstate(all="ignore"):
-            trial, best, done, converged = advance(
-                rows[SHAPE].to_numpy(float), best, rows[SUMS].to_numpy(float), limits, tolerance
-            )
-            alpha, beta, *_ = linear_pair(np.nan_to_num(_products(best[:, 7:])), limits[0], *limits[1])
-        out = rows.drop(columns=SUMS)
-        out[SHAPE], out["memory"] = trial, list(best)
-        out["alpha"], out["beta"], out["passes"] = alpha, beta, rows["passes"] + 1
-        out["done"], out["converged"] = done, converged
-        yield out
-
-
 def _shape_columns(model: str, x, k, t0, d):
     """Shape and its derivatives by k, t0 and d for several trial shapes (rows) at all points (columns)."""
     e = np.exp(np.clip(-k * (x - t0), -340.0, 340.0))
@@ -197,12 +179,30 @@ def _shape_columns(model: str, x, k, t0, d):
     return u, slope * (x - t0), -slope * k, u * log_part / (d * d) if model == "Richards" else np.zeros_like(e)
 
 
-def _weekly_sums(model: str, x, y, weight, shape):
-    k, t0, d = (shape[:, [i]] for i in range(3))
-    u, d1, d2, d3 = _shape_columns(model, x, k, t0, d)
-    columns = np.stack([np.ones_like(u), u, d1, d2, d3, y], axis=1)
-    gram = np.matmul(columns * weight[:, None, :], columns.transpose(0, 2, 1))
-    return np.column_stack([gram[:, i, j] for i, j in PAIRS])
+def _slices(trained):
+    """Slices of weeks and the fits that have training rows there."""
+    for begin in range(0, int(trained.max()), SLICE):
+        yield slice(begin, begin + SLICE), np.flatnonzero(trained > begin)
+
+
+def _weekly_sums(model: str, x, y, weight, trained, shape):
+    sums = np.zeros((len(shape), len(PAIRS)))
+    for part, some in _slices(trained):
+        u, d1, d2, d3 = _shape_columns(model, x[some, part], *(shape[some][:, [i]] for i in range(3)))
+        columns = np.stack([np.ones_like(u), u, d1, d2, d3, y[some, part]], axis=1)
+        gram = np.matmul(columns * weight[some, None, part], columns.transpose(0, 2, 1))
+        sums[some] += np.column_stack([gram[:, i, j] for i, j in PAIRS])
+    return sums
+
+
+def _squared_error(model: str, x, y, weight, trained, shape, alpha, beta):
+    """From the residuals themselves, not from differences of large sums."""
+    total = np.zeros(len(shape))
+    for part, some in _slices(trained):
+        u = _shape_columns(model, x[some, part], *(shape[some][:, [i]] for i in range(3)))[0]
+        rest = (y[some, part] - alpha[some, None] - beta[some, None] * u) * weight[some, part]
+        total[some] += (rest * rest).sum(1)
+    return total
 
 
 def fit_groups(batches: Iterator[pd.DataFrame], tolerance: float, max_passes: int) -> Iterator[pd.DataFrame]:
@@ -220,25 +220,35 @@ def fit_groups(batches: Iterator[pd.DataFrame], tolerance: float, max_passes: in
         asked = pd.DataFrame([fit for fits in rows["fits"] for fit in fits])
         flat = facts.iloc[owner].reset_index(drop=True).join(asked)
         for _, same_curve in flat.groupby("model", sort=False):
-            for begin in range(0, len(same_curve), BLOCK):
-                block = same_curve.iloc[begin : begin + BLOCK]
+            for block in _blocks(same_curve):
                 series = [weeks_of[i] for i in owner[block.index.to_numpy()]]
                 with np.errstate(all="ignore"):
                     yield _fit_block(block.reset_index(drop=True), series, tolerance, max_passes)
 
 
+def _blocks(fits: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    begin, width = 0, 0
+    lengths = fits["train_end"].to_numpy()
+    for i, length in enumerate(lengths):
+        width = max(width, int(length))
+        if i > begin and (i - begin == BLOCK or (i - begin + 1) * width > CELLS):
+            yield fits.iloc[begin:i]
+            begin, width = i, int(length)
+    yield fits.iloc[begin:]
+
+
 def _padded(arrays, width: int) -> np.ndarray:
     table = np.zeros((len(arrays), width))
     for row, values in zip(table, arrays):
-        row[: len(values)] = values
+        row[: min(width, len(values))] = values[:width]
     return table
 
 
 def _fit_block(fits: pd.DataFrame, series, tolerance: float, max_passes: int) -> pd.DataFrame:
     """Fits of one curve, each with the (x, y) of its series; only training rows have weight."""
     trained = fits["train_end"].to_numpy()
-    width = int(trained.max())
-    x, y = (_padded([pair[i][:width] for pair in series], width) for i in range(2))
+    width = -(-int(trained.max()) // SLICE) * SLICE
+    x, y = (_padded([pair[i] for pair in series], width) for i in range(2))
     weight = (np.arange(width)[None, :] < trained[:, None]).astype(float)
     x, y = x * weight, y * weight
     count, model, limits = len(fits), fits["model"].iloc[0], _curve_limits(fits)
@@ -247,7 +257,7 @@ def _fit_block(fits: pd.DataFrame, series, tolerance: float, max_passes: int) ->
     for _ in range(max_passes):
         absolute, (low_height, high_height), low, high, may_move = limits
         part = (absolute[moving], (low_height[moving], high_height[moving]), low[moving], high[moving], may_move[moving])
-        sums = _weekly_sums(model, x[moving], y[moving], weight[moving], trial[moving])
+        sums = _weekly_sums(model, x[moving], y[moving], weight[moving], trained[moving], trial[moving])
         trial[moving], best[moving], done, settled = advance(trial[moving], best[moving], sums, part, tolerance)
         passes[moving] += 1
         converged[moving] = settled
@@ -255,4 +265,7 @@ def _fit_block(fits: pd.DataFrame, series, tolerance: float, max_passes: int) ->
         if not len(moving):
             break
     alpha, beta, *_ = linear_pair(np.nan_to_num(_products(best[:, 7:])), limits[0], *limits[1])
-    return fits.assign(memory=list(best), alpha=alpha, beta=beta, passes=passes, done=True, converged=converged)
+    fine = np.isfinite(best[:, 3])
+    best[fine, 3] = _squared_error(model, x, y, weight, trained, best[:, :3], alpha, beta)[fine]
+    done = ~np.isin(np.arange(count), moving)
+    return fits.assign(memory=list(best), alpha=alpha, beta=beta, passes=passes, done=done, converged=converged)

@@ -46,7 +46,7 @@ def curve_features(rows: DataFrame, params: DataFrame, keys: Sequence[str] = ())
     wide = params.where(USABLE).groupBy(*keys).pivot("model", C.CURVE_NAMES).agg(F.first("params"))
     wide = wide.select(*keys, *[F.col(m).alias(f"{m}_params") for m in C.CURVE_NAMES])
     named = {m: C.evaluate(m, F.col("x"), F.col(f"{m}_params")) for m in C.CURVE_NAMES}
-    return rows.join(wide, keys).withColumns(named).drop(*[f"{m}_params" for m in C.CURVE_NAMES])
+    return rows.join(wide, keys, "left").withColumns(named).drop(*[f"{m}_params" for m in C.CURVE_NAMES])
 
 
 def make_features(rows: DataFrame, params: DataFrame, context: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -68,4 +68,4 @@ def scale(features: DataFrame, scaler: DataFrame, keys: Sequence[str] = (), name
     features, keys = with_keys(features, keys)
     scaled = {n: (F.col(n) - F.col(f"{n}_mean")) / F.col(f"{n}_scale") for n in names}
     used = [c for n in names for c in (f"{n}_mean", f"{n}_scale")]
-    return features.join(scaler.select(*keys, *used), keys).withColumns(scaled).drop(*used)
+    return features.join(scaler.select(*keys, *used), keys, "left").withColumns(scaled).drop(*used)

@@ -4,18 +4,17 @@ A fit is one row: series, curve, fold, start and a trial shape (k, t0, d). From
 derivatives and y over the training rows follow the best ``alpha`` and ``beta``, the squared error, and a damped
 Gauss-Newton step for the shape (variable projection, ``functions/step.py``).
 
-Two ways get the sums, with the same step. A weekly series is as long as the calendar, not as the input, so normally
-one task holds the weeks of one series and runs all its passes: one job, nothing shuffled but weeks, and each fit stops
-by itself. A series longer than ``group_rows`` is never gathered: each pass joins its points to the fits, sums their
-products with an ordinary aggregation and writes the state, a row per fit, to the checkpoint folder.
+A weekly series is as long as the calendar, not as the input: all weeks from year 1 to 9999 are 8 MB of numbers. So one task
+holds the weeks of one series and runs all passes of its fits, whatever its length; each fit stops by itself.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
-from functools import partial, reduce
+from dataclasses import dataclass
+from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,30 +23,22 @@ from pyspark.sql import functions as F
 from growthpanel.functions import curves as C
 from growthpanel.functions.columns import check_key_names, clip, with_keys
 from growthpanel.functions.noise import repeatable_normal
-from growthpanel.functions.step import COLUMNS, PAIRS, SHAPE, SUMS, fit_groups, fresh_memory, step_fits
+from growthpanel.functions.step import SHAPE, fit_groups, fresh_memory
 from growthpanel.operators import metrics
 from growthpanel.operators.folds import FULL
 
 FIT_ID = ["model", "fold", "start"]
 
-#: weekly rows up to which the points are broadcast to the fits (some 20 MB); beyond it both sides are co-partitioned
-BROADCAST_ROWS = 200_000
-
-#: weeks up to which one task may hold a whole series (80 kB of numbers, 96 years); longer ones are fitted by aggregation
-GROUP_ROWS = 5_000
-
 
 @dataclass(frozen=True)
 class FitOptions:
     models: tuple[str, ...] = tuple(C.CURVE_NAMES)
     starts: int = 5
-    max_passes: int = 60
+    max_passes: int = 200
     tolerance: float = 1e-8
     final_tolerance: float = 1e-9
     seed: int = 42
     select_on: str = "test"
-    broadcast_rows: int = BROADCAST_ROWS
-    group_rows: int = GROUP_ROWS
 
 
 @dataclass(frozen=True)
@@ -60,34 +51,23 @@ class Fits:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only for a local session that names none."""
+    """Use the cluster's shared checkpoint folder; make one only for a session of one process that names none."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="growthpanel-"))
 
 
 @dataclass(frozen=True)
 class Points:
-    """Valid weekly points, held for the fits.
-
-    ``small`` says that broadcasting them is safe, ``longest`` is the number of weeks in the longest series.
-    """
+    """Valid weekly points, held for the fits."""
 
     df: DataFrame
     keys: list[str]
-    small: bool
-    longest: int
-
-    def side(self) -> DataFrame:
-        return F.broadcast(self.df) if self.small else self.df
-
-    def where(self, condition: Column) -> Points:
-        return replace(self, df=self.df.where(condition))
 
 
-def hold_points(target: DataFrame, keys: Sequence[str] = (), broadcast_rows: int = BROADCAST_ROWS) -> Points:
-    """Persist the points partitioned by series, and measure them once to choose how to fit them."""
+def hold_points(target: DataFrame, keys: Sequence[str] = ()) -> Points:
+    """Persist the points, partitioned by series."""
     check_key_names(keys)
     target, keys = with_keys(target, keys)
     parts = int(target.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -98,8 +78,7 @@ def hold_points(target: DataFrame, keys: Sequence[str] = (), broadcast_rows: int
         .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    size = points.agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("longest")).first()
-    return Points(points, keys, size["rows"] <= broadcast_rows, size["longest"] or 0)
+    return Points(points, keys)
 
 
 def series_facts(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -160,21 +139,6 @@ def _shape_bounds() -> dict[str, tuple[Column, Column]]:
     }
 
 
-def _shape_sums(points: Points, state: DataFrame) -> DataFrame:
-    """Sums of products of 1, shape, derivatives and y over the training rows of each fit."""
-    fit = [*points.keys, *FIT_ID]
-    pairs = state.select(*fit, "train_end", *SHAPE).join(points.side(), points.keys).where("pos < train_end")
-    rows = pairs.selectExpr(*fit, "x", "y", *SHAPE, C.EXPONENT, C.SHAPE, *C.DERIVATIVES)
-    terms = {**{c: F.col(c) for c in COLUMNS[1:]}, "one": F.lit(1.0)}
-    products = [F.sum(terms[COLUMNS[i]] * terms[COLUMNS[j]]).alias(name) for (i, j), name in zip(PAIRS, SUMS)]
-    return rows.groupBy(*fit).agg(*products)
-
-
-def _one_pass(points: Points, state: DataFrame, tolerance: float) -> DataFrame:
-    joined = _shape_sums(points, state).join(state, [*points.keys, *FIT_ID])
-    return joined.mapInPandas(partial(step_fits, tolerance=tolerance), schema=state.schema)
-
-
 def _begin(tasks: DataFrame, keys: list[str]) -> DataFrame:
     """Fresh state for tasks: keys, model, fold, start, facts and the first shape."""
     return tasks.select(
@@ -191,28 +155,8 @@ def _begin(tasks: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _fit_long(points: Points, tasks: DataFrame, options: FitOptions, tolerance: float) -> DataFrame:
-    """Pass after pass over the fits still moving, for series of any length.
-
-    The state goes to the checkpoint folder after each pass: no lineage grows, and the driver only sees one count.
-    """
-    keys = points.keys
-    parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = [*keys, *FIT_ID] if points.small else keys
-    active = _begin(tasks, keys).repartition(parts, *place)
-    finished: list[DataFrame] = []
-    for number in range(options.max_passes):
-        state = _one_pass(points, active, tolerance).checkpoint()
-        last = number == options.max_passes - 1
-        finished.append(state if last else state.where("done"))
-        active = state.where("NOT done").repartition(parts, *place)
-        if last or state.where("NOT done").isEmpty():
-            break
-    return reduce(DataFrame.unionByName, finished)
-
-
-def _fit_short(points: Points, tasks: DataFrame, options: FitOptions, tolerance: float) -> DataFrame:
-    """All passes of one series and curve in one task: its weeks are at most ``group_rows`` rows."""
+def _fit(points: Points, tasks: DataFrame, max_passes: int, tolerance: float) -> DataFrame:
+    """All passes of one series and curve in one task."""
     keys = points.keys
     weeks = (
         points.df.groupBy(*keys)
@@ -224,33 +168,45 @@ def _fit_short(points: Points, tasks: DataFrame, options: FitOptions, tolerance:
     # few bytes but much work: spread over all partitions, by an expression that no earlier partitioning can stand in for
     parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = groups.repartition(parts, F.xxhash64(*keys, "model"))
-    solve = partial(fit_groups, tolerance=tolerance, max_passes=options.max_passes)
+    solve = partial(fit_groups, tolerance=tolerance, max_passes=max_passes)
     return groups.mapInPandas(solve, schema=_begin(tasks, keys).schema)
 
 
 def _iterate(points: Points, tasks: DataFrame, options: FitOptions, tolerance: float) -> DataFrame:
-    """Run the fits asked for; one row per fit with its parameters."""
-    keys = points.keys
+    """Run the fits asked for; one row per fit with its parameters. One that hits the limit of passes has not converged."""
+    fitted = _fitted(points, tasks, options.max_passes, tolerance)
+    stopped = ~F.col("done") & (F.col("status") == "ok")
+    return fitted.withColumn("status", F.when(stopped, F.lit("not_converged")).otherwise(F.col("status"))).drop("done")
+
+
+def _fitted(points: Points, tasks: DataFrame, max_passes: int, tolerance: float) -> DataFrame:
     ensure_checkpoint_dir(tasks.sparkSession)
-    short = F.col("n") <= options.group_rows
-    if points.longest <= options.group_rows:
-        fitted = _fit_short(points, tasks, options, tolerance).checkpoint()
-    else:
-        grouped = _fit_short(points.where(short), tasks.where(short), options, tolerance).checkpoint()
-        fitted = grouped.unionByName(_fit_long(points.where(~short), tasks.where(~short), options, tolerance))
+    fitted = _fit(points, tasks, max_passes, tolerance).checkpoint()
     sse = F.get("memory", F.lit(len(SHAPE)))
     ok = ~F.isnan(sse) & (sse < float("inf"))
     return fitted.select(
-        *keys,
+        *points.keys,
         *FIT_ID,
         _public_params().alias("params"),
-        F.greatest(F.when(ok, sse), F.lit(0.0)).alias("sse"),
+        F.when(ok, sse).otherwise(F.lit(0.0)).alias("sse"),
         "converged",
         "passes",
+        "done",
         F.when(ok, F.lit("ok")).otherwise(F.lit("failed")).alias("status"),
     )
 
 
+def linear_pairs(points: Points, shapes: DataFrame) -> DataFrame:
+    """Best bounded height and offset, in closed form, of curves whose shapes are given.
+
+    ``shapes``: keys, model, fold, train_end (rows to fit), k, t0 and d, one row per fit. Yields the parameters like
+    ``fit_curves``: keys, model, fold, params, sse, converged, status.
+    """
+    facts = series_facts(points.df, points.keys).select(*points.keys, "ymax", "xlo", "xhi")
+    fitted = _fitted(points, shapes.join(facts, points.keys).withColumn("start", F.lit(0)), 1, 0.0)
+    return fitted.select(*points.keys, "model", "fold", "params", "sse", F.lit(True).alias("converged"), "status")
+
+
 def _public_params() -> Column:
     """Accepted shape and its linear pair in each curve's own parameter order."""
     k, t0, d = (F.get("memory", F.lit(i)) for i in range(len(SHAPE)))
@@ -298,7 +254,7 @@ def start_scores(points: Points, fits: DataFrame, folds: DataFrame, select_on: s
     keys = points.keys
     rows = "pos >= test_start AND pos < test_end" if select_on == "test" else "pos < train_end"
     ranged = fits.join(folds.select(*keys, "fold", "train_end", "test_start", "test_end"), [*keys, "fold"])
-    pairs = ranged.join(points.side(), keys).where(rows)
+    pairs = ranged.join(points.df, keys).where(rows)
     pred = C.evaluate_by_name(F.col("model"), F.col("x"), F.col("params"))
     scored = pairs.select(*keys, *FIT_ID, "y", pred.alias("pred"))
     return metrics.score(scored, [*keys, *FIT_ID]).select(*keys, *FIT_ID, F.col("r2").alias("score"))
@@ -334,12 +290,13 @@ def fit_curves(
     """Fit every curve to every series: whole series, then each fold from several starts, then the final fit.
 
     Starts and the seed of the final fit are chosen by test R2, as in the reference; ``select_on='train'`` avoids that
-    look at test data. Without folds the first fit is the final one. ``max_passes=1`` stops at the start shape with its
-    best linear pair. A fit that fails or has too few rows has a status; it never ends the run.
+    look at test data. Without folds the first fit is the final one. A fit that fails, does not converge or has too few
+    rows has a status; it never ends the run. A first fit without success gives way to the start values, a fold without
+    one to the first fit, and a final fit is left out.
     """
     if options.select_on not in ("test", "train"):
         raise ValueError("select_on must be 'test' or 'train'")
-    points = target if isinstance(target, Points) else hold_points(target, keys, options.broadcast_rows)
+    points = target if isinstance(target, Points) else hold_points(target, keys)
     keys = points.keys
     ensure_checkpoint_dir(points.df.sparkSession)
     starts = start_values(points.df, keys, options.models).checkpoint()
@@ -407,8 +364,8 @@ def fit_curves(
 
 
 def _final_rows(rows: DataFrame, keys: list[str], fallback: str | None) -> DataFrame:
-    failed = F.col("status").isNull() | (F.col("status") != "ok")
-    params = F.when(~failed, F.col("params"))
+    status = F.coalesce("status", F.lit("failed"))
+    params = F.when(status == "ok", F.col("params"))
     return rows.select(
         *keys,
         "model",
@@ -416,5 +373,5 @@ def _final_rows(rows: DataFrame, keys: list[str], fallback: str | None) -> DataF
         (params if fallback is None else F.col(fallback)).alias("params"),
         "sse",
         F.coalesce("converged", F.lit(False)).alias("converged"),
-        F.when(failed, F.lit("failed")).otherwise(F.lit("ok")).alias("status"),
+        status.alias("status"),
     )

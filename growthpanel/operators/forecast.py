@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from growthpanel.functions import curves as C
@@ -46,7 +46,7 @@ def noisy_params(best: DataFrame, keys: Sequence[str] = (), draws: int = 1000, s
         F.get("params", F.lit(i)) * (F.lit(1.0) + F.lit(spread) * repeatable_normal(seed, F.lit(i), *ident))
         for i in range(max(len(c.parameters) for c in C.CURVES.values()))
     ]
-    return drawn.withColumn("params", F.array(*noisy))
+    return drawn.withColumn("params", F.filter(F.array(*noisy), lambda v: v.isNotNull()))
 
 
 def param_noise_interval(
@@ -60,23 +60,26 @@ def param_noise_interval(
 ) -> DataFrame:
     """Mean and percentile bounds of the best curve under parameter noise, per future week.
 
-    The interval shows the effect of 5 % parameter noise only, not the residual variance.
-    Draws and weeks meet on the series key and are aggregated in place.
+    The interval shows the effect of 5 % parameter noise only, not the residual variance. The draws of a series are one
+    array that each of its weeks meets; nothing is exploded.
     """
     future, keys = with_keys(future, keys)
     low, high = (1.0 - confidence) / 2.0, (1.0 + confidence) / 2.0
-    pairs = future.select(*keys, "pos", "x").join(noisy_params(best, keys, draws, spread, seed), keys)
-    pred = C.evaluate_by_name(F.col("model"), F.col("x"), F.col("params"))
-    drawn = pairs.select(*keys, "pos", pred.alias("pred"))
-    summary = drawn.groupBy(*keys, "pos").agg(
-        F.avg("pred").alias("mean_pred"), F.percentile("pred", F.array(F.lit(low), F.lit(high))).alias("bounds")
-    )
-    return summary.select(
-        *keys,
-        "pos",
-        "mean_pred",
-        F.get("bounds", F.lit(0)).alias("lower_bound_ci"),
-        F.get("bounds", F.lit(1)).alias("upper_bound_ci"),
+    drawn = noisy_params(best, keys, draws, spread, seed).groupBy(*keys, "model").agg(F.collect_list("params").alias("drawn"))
+    value = F.transform("drawn", lambda params: C.evaluate_by_name(F.col("model"), F.col("x"), params))
+    weeks = future.select(*keys, "pos", "x").join(drawn, keys)
+    weeks = weeks.withColumn("preds", F.sort_array(F.filter(value, lambda v: v.isNotNull())))
+
+    def bound(share: float) -> Column:
+        """Between the two draws next to that share of the way, like a percentile over rows."""
+        at = F.lit(share) * (F.size("preds") - 1)
+        below = F.floor(at).cast("int")
+        first, second = F.get("preds", below), F.get("preds", F.ceil(at).cast("int"))
+        return first + (second - first) * (at - below)
+
+    mean = F.aggregate("preds", F.lit(0.0), lambda total, v: total + v) / F.nullif(F.size("preds"), F.lit(0))
+    return weeks.select(
+        *keys, "pos", mean.alias("mean_pred"), bound(low).alias("lower_bound_ci"), bound(high).alias("upper_bound_ci")
     )
 
 

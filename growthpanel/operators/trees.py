@@ -1,13 +1,16 @@
 """Random forest and gradient boosting on the curve and time features, trained by MLlib over the whole panel.
 
-All series train one model: features are standardised per series, and with more than one series the target is divided
-by the series' maximum. A single series is used as it is. Sizes default to the reference's and are all parameters.
+All series train one model: features are standardised per series, and the target is divided by the series' maximum, which
+does not change how the trees of a single series split. A series that lacks a curve is not learned from; its predictions
+are NULL, with a status. Sizes default to the reference's and are all parameters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -67,11 +70,9 @@ def _regressor(name: str, trees: int, depth: int, options: TreeOptions):
 
 
 def target_scale(target: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """What the target of each series is divided by: its maximum in a panel, 1 for a single series."""
+    """What the target of each series is divided by: its maximum."""
     target, keys = with_keys(target, keys)
     highest = target.where(F.col("status") == "ok").groupBy(*keys).agg(F.max("y").alias("top"))
-    if len(highest.take(2)) < 2:
-        return highest.select(*keys, F.lit(1.0).alias("target_scale"))
     return highest.select(*keys, F.when(F.col("top") > 0, F.col("top")).otherwise(F.lit(1.0)).alias("target_scale"))
 
 
@@ -103,8 +104,7 @@ def tree_cv_metrics(
     scales = target_scale(target, keys).checkpoint()
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     scored = []
-    last = folds.agg(F.max("fold")).first()[0]
-    for fold in range(0 if last is None else last + 1):
+    for (fold,) in folds.select("fold").distinct().orderBy("fold").collect():  # as many rows as there are splits
         rows = _labelled(fold_features(target, folds, params, fold, keys), scales, keys)
         rows = assembler.transform(rows).persist(StorageLevel.MEMORY_AND_DISK)
         train, test = rows.where(F.col("role") == "train"), rows.where(F.col("role") == "test")
@@ -116,7 +116,8 @@ def tree_cv_metrics(
             model = _regressor(name, options.trees, depth, options).fit(train)
             predicted = model.transform(test).withColumn("pred", F.col("prediction") * F.col("target_scale"))
             measured = score(predicted, keys).withColumns({"model": F.lit(name), "fold": F.lit(fold)})
-            scored.append(measured)
+            scored.append(measured.checkpoint())
+        rows.unpersist()
     if not scored:
         schema = target.select(*keys, F.lit("").alias("model"), *[F.lit(0.0).alias(m) for m in ("rmse", "r2", "mae")])
         return schema.limit(0)
@@ -178,16 +179,19 @@ def train_trees(
 
 
 def tree_predictions(rows: DataFrame, ensemble: TreeEnsemble) -> DataFrame:
-    """Features at any x, scaled as in training, then the model: rows with ``model`` and ``pred``."""
+    """Features at any x, scaled as in training, then the model: every row with ``model``, ``pred`` and ``tree_status``.
+
+    A row that lacks a feature, as when a curve of its series could not be fitted, has a NULL prediction and the status
+    ``missing_curve``.
+    """
     keys = ensemble.keys
     features = make_features(rows, ensemble.params, ensemble.context, keys)
-    scaled = scale(features, ensemble.scaler, keys).join(ensemble.target_scale, keys).dropna(subset=FEATURES)
-    predicted = ensemble.pipeline.transform(scaled)
-    return predicted.select(
-        *rows.columns,
-        F.lit(ensemble.name).alias("model"),
-        (F.col("prediction") * F.col("target_scale")).alias("pred"),
-    )
+    scaled = scale(features, ensemble.scaler, keys).join(ensemble.target_scale, keys, "left")
+    complete = reduce(and_, (F.col(f"`{c}`").isNotNull() for c in [*FEATURES, "target_scale"]))
+    whole = scaled.withColumn("tree_status", F.when(complete, F.lit("ok")).otherwise(F.lit("missing_curve")))
+    predicted = ensemble.pipeline.transform(whole.na.fill(0.0, subset=FEATURES))
+    value = F.when(F.col("tree_status") == "ok", F.col("prediction") * F.col("target_scale"))
+    return predicted.select(*rows.columns, F.lit(ensemble.name).alias("model"), value.alias("pred"), "tree_status")
 
 
 def importances(spark: SparkSession, ensembles: dict[str, TreeEnsemble]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Gap-free weekly series from dated records.
 
-Raw rows meet only hash aggregation, which combines before the shuffle, so a key with a third of all rows
+Raw rows meet one aggregation by series and week, which combines before the shuffle, so a key with a third of all rows
 costs one partial row per task and week. Ordered windows run afterwards, on weeks: their groups are as long as the
 calendar, whatever the size of the input.
 """
@@ -25,11 +25,20 @@ def _rounded(value: Column, scale: int | None) -> Column:
     return value if scale is None else F.round(value, scale)
 
 
+def _micros(df: DataFrame) -> Column:
+    """Time as a number: of a timestamp without zone its wall time, whatever the session's zone and its clock changes."""
+    if isinstance(df.schema["ts"].dataType, T.TimestampNTZType):
+        # by its fields: functions of two timestamps would first give it the session's zone
+        seconds = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.expr("extract(SECOND FROM ts)")
+        return F.unix_date(F.to_date("ts")).cast("long") * 86_400_000_000 + (seconds * 1_000_000).cast("long")
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
 def _time_order(df: DataFrame) -> Column:
     """(ts, row_order) as one decimal: a struct would force sort-based aggregation of the raw rows."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(38,0)")
     # 10^19 exceeds every bigint, so the time always decides first
-    return micros * F.lit("10000000000000000000").cast("decimal(38,0)") + F.col("row_order").cast("decimal(38,0)")
+    micros = _micros(df).cast("decimal(38,0)") * F.lit("10000000000000000000").cast("decimal(38,0)")
+    return micros + F.col("row_order").cast("decimal(38,0)")
 
 
 def resample_weeks(records: DataFrame, keys: Sequence[str] = (), scale: int | None = None) -> DataFrame:
@@ -51,9 +60,9 @@ def resample_weeks(records: DataFrame, keys: Sequence[str] = (), scale: int | No
     if "row_order" in records.columns:
         last = F.max_by("cumulative", F.when(present, _time_order(dated)))
         return dated.groupBy(*keys, "date").agg(total, last.alias("cumulative"))
-    by_time = dated.groupBy(*keys, "date", "ts").agg(F.sum("number").alias("number"), F.max("cumulative").alias("cumulative"))
-    last = F.max_by("cumulative", F.when(present, F.col("ts")))
-    return by_time.groupBy(*keys, "date").agg(total, last.alias("cumulative"))
+    # sorts locally, as the maximum of a struct does, but combines before the shuffle: one partial row per task and week
+    last = F.max(F.when(present, F.struct("ts", "cumulative")))["cumulative"]
+    return dated.groupBy(*keys, "date").agg(total, last.alias("cumulative"))
 
 
 def fill_calendar(weeks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -72,7 +72,7 @@ models AS (SELECT * FROM (VALUES ('Exponential', 0), ('Logistic', 1), ('Richards
 shaped AS (
   SELECT t.k, t.pos, t.x, t.y, m.model, m.place, f.ymax, f.xmid,
     CASE model WHEN 'Exponential' THEN exp(0.005 * x) WHEN 'Gompertz' THEN exp(-exp(-0.01 * (x - xmid)))
-      ELSE 1 / (1 + exp(-0.01 * (x - xmid))) END AS u
+      WHEN 'Richards' THEN pow(1 + exp(-0.02 * (x - xmid)), -1 / 0.5) ELSE 1 / (1 + exp(-0.01 * (x - xmid))) END AS u
   FROM flag_target t JOIN facts f ON f.k = t.k CROSS JOIN models m),
 ranges AS (SELECT k, fold, train_end FROM flag_folds UNION ALL SELECT k, -1, n FROM facts),
 sums AS (
@@ -87,7 +87,7 @@ offsets AS (
 params AS (
   SELECT k, model, place, fold, height, alpha, xmid, CASE WHEN model = 'Gompertz' THEN height - alpha ELSE height END AS beta,
     CASE model WHEN 'Exponential' THEN [height, 0.005::DOUBLE, alpha] WHEN 'Logistic' THEN [height, 0.01::DOUBLE, xmid, alpha]
-      WHEN 'Richards' THEN [height, 0.01::DOUBLE, xmid, 1::DOUBLE, alpha] ELSE [height, 0.01::DOUBLE, xmid, alpha] END AS params
+      WHEN 'Richards' THEN [height, 0.02::DOUBLE, xmid, 0.5::DOUBLE, alpha] ELSE [height, 0.01::DOUBLE, xmid, alpha] END AS params
   FROM offsets)"""
 
 _SCORE = """SQRT(AVG((y - pred) * (y - pred))) AS rmse,
@@ -122,7 +122,7 @@ average_metrics AS (SELECT k, model, place, {_SCORE} FROM average_preds GROUP BY
 metrics AS (
   SELECT k, model, place, 'Individual' AS type, 'test_folds' AS scope, test_rmse AS rmse, test_r2 AS r2, test_mae AS mae FROM curve_metrics
   UNION ALL SELECT k, model, place, 'Ensemble', 'full_in_sample', rmse, r2, mae FROM average_metrics),
-ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k, type ORDER BY ROUND(r2, 9) DESC, place) AS place_in_type FROM metrics),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k, type ORDER BY r2 DESC, place) AS place_in_type FROM metrics),
 best AS (SELECT k, type, model AS best_model, r2 AS best_score FROM ranked WHERE place_in_type = 1),
 scaled AS (
   SELECT *, (rmse - MIN(rmse) OVER s) / (MAX(rmse) OVER s - MIN(rmse) OVER s + 1e-10) AS a, (r2 - MIN(r2) OVER s) / (MAX(r2) OVER s - MIN(r2) OVER s + 1e-10) AS b,
@@ -133,7 +133,7 @@ long_metrics AS (
 ends AS (SELECT k, MAX(date) AS last_date, MAX(x) AS last_x, MAX(pos) AS last_pos FROM flag_target GROUP BY k),
 future AS (SELECT k, CAST(last_date + CAST(7 * i AS INTEGER) AS DATE) AS date, CAST(last_pos + i AS INTEGER) AS pos, last_x + i AS x FROM ends CROSS JOIN (SELECT unnest(range(1, 261)) AS i)),
 future_shape AS (
-  SELECT f.*, m.model, CASE m.model WHEN 'Exponential' THEN exp(0.005 * x) WHEN 'Gompertz' THEN exp(-exp(-0.01 * (x - xmid))) ELSE 1 / (1 + exp(-0.01 * (x - xmid))) END AS u
+  SELECT f.*, m.model, CASE m.model WHEN 'Exponential' THEN exp(0.005 * x) WHEN 'Gompertz' THEN exp(-exp(-0.01 * (x - xmid))) WHEN 'Richards' THEN pow(1 + exp(-0.02 * (x - xmid)), -1 / 0.5) ELSE 1 / (1 + exp(-0.01 * (x - xmid))) END AS u
   FROM future f JOIN facts USING (k) CROSS JOIN models m),
 future_curve AS (
   SELECT s.k, s.date, s.pos, s.x, s.model, p.alpha + p.beta * s.u AS pred FROM future_shape s
@@ -245,12 +245,13 @@ _TABLES: dict[str, str] = {
     "j1_fold_membership": f"SELECT k AS o_custkey, fold, role, COUNT(*) AS rows, CAST(MIN(pos) AS INTEGER) AS first_pos, {_r('MAX(y)', 'max_y')} FROM cust_roles GROUP BY ALL",
     "g1_exponential": f"SELECT {_K}, {_I}, {_r('ymax / 2 * exp(0.005 * x) + ymin', 'value')} FROM flag_target JOIN facts USING (k)",
     "g2_logistic": f"SELECT {_K}, {_I}, {_r('1.2 * ymax / (1 + exp(-0.01 * (x - xmid))) + ymin', 'value')} FROM flag_target JOIN facts USING (k)",
-    "g3_richards": f"SELECT {_K}, {_I}, {_r('1.2 * ymax / (1 + exp(-0.01 * (x - xmid))) + ymin', 'value')} FROM flag_target JOIN facts USING (k)",
+    "g3_richards": f"SELECT {_K}, {_I}, nu, {_r('1.2 * ymax / pow(1 + exp(-0.01 * (x - xmid)), 1 / nu) + ymin', 'value')} FROM flag_target JOIN facts USING (k) CROSS JOIN (VALUES (0.5::DOUBLE), (2.0::DOUBLE)) AS v(nu)",
     "g4_gompertz": f"SELECT {_K}, {_I}, {_r('ymin + (1.2 * ymax - ymin) * exp(-exp(-0.01 * (x - xmid)))', 'value')} FROM flag_target JOIN facts USING (k)",
     "f2_linear_pair": f"SELECT {_K}, model, CAST(fold AS INTEGER) AS fold, CAST(position AS INTEGER) AS position, {_r('value', 'value')} FROM (SELECT k, model, fold, unnest(range(len(params))) AS position, unnest(params) AS value FROM params)",
     "f4_skipped_folds": "SELECT k AS o_custkey, model, fold, train_end, CASE WHEN train_end >= size THEN 'ok' ELSE 'skipped' END AS status FROM cust_folds CROSS JOIN (VALUES ('Exponential', 3), ('Logistic', 4), ('Richards', 5), ('Gompertz', 4)) AS m(model, size)",
     "f6_best_fold": f"SELECT {_K}, model, fold AS best_fold, {_r('height', 'first_param')} FROM (SELECT p.*, ROW_NUMBER() OVER (PARTITION BY p.k, p.model ORDER BY m.r2 DESC, m.fold) AS rank FROM params p JOIN fold_metrics m ON m.k = p.k AND m.model = p.model AND m.fold = p.fold AND m.role = 'test') WHERE rank = 1",
-    "f9_statuses": "SELECT model, 'ok' AS status, COUNT(*) AS fits FROM ranges CROSS JOIN models GROUP BY model",
+    "f9_statuses": "SELECT model, status, COUNT(*) AS fits FROM (SELECT k AS o_custkey, model, fold, train_end, CASE WHEN train_end >= size THEN 'ok' ELSE 'skipped' END AS status FROM cust_folds CROSS JOIN (VALUES ('Exponential', 3), ('Logistic', 4), ('Richards', 5), ('Gompertz', 4)) AS m(model, size)) GROUP BY ALL",
+    "f9_fit_statuses": f"SELECT {_K}, model, COUNT(*) AS fits, true AS sound FROM ranges CROSS JOIN models GROUP BY k, model",
     "a1_rmse": f"SELECT {_K}, model, fold, role, {_r('rmse', 'rmse', 3)}, n FROM fold_metrics",
     "a2_mae": f"SELECT {_K}, model, fold, role, {_r('mae', 'mae', 3)}, n FROM fold_metrics",
     "a3_r2": f"SELECT {_K}, model, fold, role, {_r('r2', 'r2', 5)}, n FROM fold_metrics",
@@ -272,12 +273,11 @@ _TABLES: dict[str, str] = {
     "b1_secondary_measure": f"SELECT {_K}, model AS best_model, {_r('r2', 'best_score', 5)} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY r2 DESC, place) AS rank FROM metrics) WHERE rank = 1",
     "b2_combined_metrics": f"SELECT {_K}, model, type, scope, {_r('rmse', 'rmse', 3)}, {_r('r2', 'r2', 5)}, {_r('mae', 'mae', 3)} FROM metrics",
     "b3_overall_score": f"SELECT {_K}, model, {_r('overall_score', 'overall_score', 5)} FROM overall",
-    "b4_top_models": f"SELECT {_K}, CAST(rank AS INTEGER) AS rank, model, fold, {_r('rmse', 'rmse', 3)} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY rmse, model) AS rank FROM fold_metrics WHERE role = 'test' AND model <> 'Richards') WHERE rank <= 3",
+    "b4_top_models": f"SELECT {_K}, CAST(rank AS INTEGER) AS rank, model, fold, {_r('rmse', 'rmse', 3)} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY rmse, model) AS rank FROM fold_metrics WHERE role = 'test') WHERE rank <= 3",
     "b5_melt": f"SELECT {_K}, model, metric, {_r('score', 'score', 3)} FROM long_metrics",
     "h1_horizon": f"SELECT {_K}, {_day()}, pos, {_r('x', 'x', 6)} FROM future",
     "h2_curve_forecast": f"SELECT {_K}, pos, model, {_r('pred', 'pred')} FROM future_curve",
     "h3_ensemble_forecast": f"SELECT {_K}, pos, model, {_r('pred', 'pred')} FROM future_ensemble",
-    "h6_forecast_table": f"SELECT c.k AS l_returnflag, {_day('date')}, {_r('c.x', 'time_idx')}, {_r('c.pred', 'best_model_forecast')}, {_r('e.pred', 'best_ensemble_forecast')}, {_r('c.pred', 'lower_bound_ci')}, {_r('c.pred', 'upper_bound_ci')} FROM future_curve c JOIN future_ensemble e ON e.k = c.k AND e.pos = c.pos",
     "r1_coefficients": f"SELECT {_K}, model AS \"Model\", unnest(names) AS \"Parameter\", {_r('unnest(params)', '\"Value\"')} FROM (SELECT *, CASE model WHEN 'Exponential' THEN ['a', 'b', 'c'] WHEN 'Richards' THEN ['L', 'k', 't0', 'nu', 'c_offset'] ELSE ['L', 'k', 't0', 'c_offset'] END AS names FROM params WHERE fold = -1)",
     "r2_standalone_metrics": f"SELECT {_K}, model AS \"Model\", {_r('test_rmse', _QUOTED['rmse'], 3)}, {_r('test_r2', _QUOTED['r2'], 5)}, {_r('test_mae', _QUOTED['mae'], 3)} FROM curve_metrics",
     "r3_ensemble_inputs": _wide([*_CURVES, SIMPLE], _BOTH).format(extra=""),
@@ -349,9 +349,34 @@ ORACLE["s1_load"] = f"SELECT o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS
 ORACLE["s2_select_columns"] = f"SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS ts, {_r('o_totalprice', 'number')}, CAST(o_orderkey AS DOUBLE) AS cumulative FROM orders"
 ORACLE["s3_parse_dates"] = "SELECT o_orderstatus, COUNT(*) AS rows, COUNT(*) FILTER (TRY_CAST(CASE WHEN o_orderstatus = 'P' THEN 'P' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS DATE) IS NULL) AS rejected FROM orders GROUP BY 1"
 ORACLE["w1_weekly_resample"] = f"SELECT event_type, strftime(d + CAST(7 - isodow(d) AS INTEGER), '%Y-%m-%d') AS date, {_r('SUM(value)', 'number')}, CAST(ARG_MAX(event_id, ts) AS DOUBLE) AS cumulative FROM (SELECT *, CAST(ts AS DATE) AS d FROM events) GROUP BY 1, 2"
+ORACLE["w1_weekly_by_time"] = ORACLE["w1_weekly_resample"]
 ORACLE["w1_weekly_last_of_day"] = f"SELECT k AS o_orderpriority, strftime(week, '%Y-%m-%d') AS date, {_r('SUM(v)', 'number')}, CAST(MAX(o_orderkey) FILTER (d = last_day) AS DOUBLE) AS cumulative FROM (SELECT *, MAX(d) OVER (PARTITION BY k, week) AS last_day FROM (SELECT o_orderpriority AS k, o_orderkey, o_totalprice AS v, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + CAST(7 - isodow(CAST(o_orderdate AS DATE)) AS INTEGER) AS week FROM orders)) GROUP BY k, week"
 ORACLE["c1_target_repair"] = f"""WITH r AS (SELECT event_type AS k, CAST(ts AS DATE) + CAST(7 - isodow(CAST(ts AS DATE)) AS INTEGER) AS date, ts, event_id, CASE WHEN event_type <> 'error' AND value > 20 THEN event_id END AS c FROM events),
 w AS (SELECT k, date, ARG_MAX(c, ts) FILTER (c IS NOT NULL) AS c FROM r GROUP BY k, date),
 f AS (SELECT k, date, COALESCE(LAST_VALUE(c IGNORE NULLS) OVER b, FIRST_VALUE(c IGNORE NULLS) OVER a) AS c FROM w
   WINDOW b AS (PARTITION BY k ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY k ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT k AS event_type, strftime(date, '%Y-%m-%d') AS date, CASE WHEN k = 'error' THEN 'invalid_target' ELSE 'ok' END AS status, CAST(MAX(c) OVER (PARTITION BY k ORDER BY date) AS DOUBLE) AS y FROM f"""
+
+
+def _noise(part: str) -> str:
+    digits = f"md5(concat_ws('|', '42', '{part}', i, k, model, draw))[1:13]"
+    return f"((CAST('0x' || {digits} AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
+# The best curve of each series with 1,000 draws of its parameters, and the curve of every draw in every future week.
+_DRAWS = f""",
+drawn AS (
+  SELECT p.k, p.model, d AS draw, i, p.params[i + 1] AS value FROM params p JOIN best b ON b.k = p.k AND b.best_model = p.model AND b.type = 'Individual'
+  CROSS JOIN range(1000) AS r(d) CROSS JOIN range(5) AS s(i) WHERE p.fold = -1 AND i < len(p.params)),
+noisy AS (
+  SELECT k, model, draw, i, value * (1 + 0.05 * sqrt(-2 * ln({_noise("radius")})) * cos(2 * pi() * {_noise("angle")})) AS value FROM drawn),
+noisy_lists AS (SELECT k, model, draw, list(value ORDER BY i) AS p FROM noisy GROUP BY ALL),
+draw_preds AS (
+  SELECT f.k, f.pos, CASE n.model WHEN 'Exponential' THEN p[1] * exp(p[2] * f.x) + p[3] WHEN 'Logistic' THEN p[1] / (1 + exp(-p[2] * (f.x - p[3]))) + p[4]
+    WHEN 'Richards' THEN p[1] / pow(1 + exp(-p[2] * (f.x - p[3])), 1 / p[4]) + p[5] ELSE p[4] + (p[1] - p[4]) * exp(-exp(-p[2] * (f.x - p[3]))) END AS pred
+  FROM future f JOIN noisy_lists n ON n.k = f.k),
+bounds AS (SELECT k, pos, AVG(pred) AS mean_pred, QUANTILE_CONT(pred, 0.025) AS low, QUANTILE_CONT(pred, 0.975) AS high FROM draw_preds GROUP BY ALL)"""
+_AHEAD = _WITH.rstrip() + _DRAWS
+ORACLE["h4_noisy_parameters"] = _AHEAD + f"\nSELECT {_K}, model, CAST(i AS INTEGER) AS position, {_r('AVG(value)', 'mean', 4)}, {_r('STDDEV_POP(value)', 'std', 4)} FROM noisy GROUP BY k, model, i"
+ORACLE["h5_interval"] = _AHEAD + f"\nSELECT {_K}, {_I}, {_r('mean_pred', 'mean_pred')}, {_r('low', 'lower_bound_ci')}, {_r('high', 'upper_bound_ci')} FROM bounds"
+ORACLE["h6_forecast_table"] = _AHEAD + f"\nSELECT c.k AS l_returnflag, {_day('date')}, {_r('c.x', 'time_idx')}, {_r('c.pred', 'best_model_forecast')}, {_r('e.pred', 'best_ensemble_forecast')}, {_r('b.low', 'lower_bound_ci')}, {_r('b.high', 'upper_bound_ci')} FROM future_curve c JOIN future_ensemble e ON e.k = c.k AND e.pos = c.pos JOIN bounds b ON b.k = c.k AND b.pos = c.pos"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from growthpanel.functions.columns import with_keys
 from growthpanel.operators import averaging, chartdata, forecast, reports, selection, trees
 from growthpanel.operators.fitting import FitOptions, ensure_checkpoint_dir, fit_curves, hold_points
-from growthpanel.operators.folds import make_folds, prepare_target, validate_panel
+from growthpanel.operators.folds import FULL, fold_plan, make_folds, prepare_target, validate_panel
 from growthpanel.operators.predictions import curve_metrics, curve_predictions, full_fit
 from growthpanel.operators.trees import TreeEnsemble, TreeOptions
 from growthpanel.operators.weekly import weekly_panel
@@ -52,6 +52,7 @@ class Trained:
     curve_predictions: DataFrame
     ensemble_predictions: DataFrame
     forecast: DataFrame
+    status: DataFrame
     tree_ensembles: dict[str, TreeEnsemble] = field(default_factory=dict)
 
     def reports(self) -> dict[str, DataFrame]:
@@ -68,6 +69,7 @@ class Trained:
             "weighted_parameters_table": reports.weighted_parameters(self.params, self.weights, keys),
             "overall_evaluation_metrics": reports.overall_metrics(self.metrics, keys),
             "forecast_results_next_5_years": self.forecast,
+            "series_status": self.status,
         }
         for name in [*self.tree_ensembles, *averaging.AVERAGES]:
             tables[f"ensemble_input_table_{name}"] = reports.ensemble_input_table(
@@ -107,6 +109,24 @@ class Trained:
             save_ensemble(ensemble, f"{folder}/models")
 
 
+def series_status(target: DataFrame, params: DataFrame, keys: Sequence[str] = (), n_splits: int = 5, gap: int = 4) -> DataFrame:
+    """One row per series: weeks, folds, fitted curves and what keeps it from being treated in full.
+
+    ``status`` is that of the folds (``too_few_rows``, ``invalid_target``), else ``missing_curve`` if one of the curves has no
+    fit to the whole series or to a fold, which leaves the series out of the tree models, else ``ok``.
+    """
+    target, keys = with_keys(target, keys)
+    plan = fold_plan(target, keys, n_splits, gap)
+    whole = F.col("params").isNotNull() & (F.col("fold") == FULL)
+    fits = params.groupBy(*keys).agg(
+        F.count_if(whole).cast("int").alias("curves"), F.count_if(F.col("params").isNull()).cast("int").alias("missing_fits")
+    )
+    rows = plan.join(fits, keys, "left").na.fill(0, subset=["curves", "missing_fits"])
+    missing = (F.col("missing_fits") > 0) | (F.col("curves") == 0)
+    status = F.when(F.col("status") != "ok", F.col("status")).when(missing, F.lit("missing_curve")).otherwise(F.lit("ok"))
+    return rows.select(*keys, "n", "k", "curves", "missing_fits", status.alias("status"))
+
+
 def train(records: DataFrame, keys: Sequence[str] = (), options: TrainingOptions = TrainingOptions()) -> Trained:
     """Run every step on records from ``select_records``.
 
@@ -121,7 +141,7 @@ def train(records: DataFrame, keys: Sequence[str] = (), options: TrainingOptions
     folds = make_folds(target, keys, options.n_splits, options.gap).checkpoint()
     valid = target.where(F.col("status") == "ok")
 
-    points = hold_points(target, keys, options.fit.broadcast_rows)
+    points = hold_points(target, keys)
     params = fit_curves(points, folds, options=options.fit).params.checkpoint()
     by_curve = curve_metrics(valid, folds, params, keys).checkpoint()
     curve_preds = curve_predictions(valid, full_fit(params), keys)
@@ -136,7 +156,7 @@ def train(records: DataFrame, keys: Sequence[str] = (), options: TrainingOptions
         by_tree = trees.tree_cv_metrics(valid, folds, params, keys, options.trees).withColumn("scope", F.lit("test_folds"))
         ensemble_metrics = averaging.combine(by_tree, ensemble_metrics)
         grown = trees.train_trees(valid, params, keys, options.trees, options.tree_component_fit)
-        tree_preds = [trees.tree_predictions(valid.drop("status"), e) for e in grown.values()]
+        tree_preds = [trees.tree_predictions(valid.drop("status"), e).drop("tree_status") for e in grown.values()]
         ensemble_preds = averaging.combine(ensemble_preds, *tree_preds)
 
     metrics = selection.combined_metrics(by_curve, ensemble_metrics, keys).checkpoint()
@@ -148,14 +168,15 @@ def train(records: DataFrame, keys: Sequence[str] = (), options: TrainingOptions
     chosen = forecast.best_curve_params(full_fit(params), best_curve, keys)
     ahead = averaging.average_predictions(future, parts, weights, keys)
     if grown:
-        ahead = averaging.combine(ahead, *[trees.tree_predictions(future, e) for e in grown.values()])
+        ahead = averaging.combine(ahead, *[trees.tree_predictions(future, e).drop("tree_status") for e in grown.values()])
     ahead = ahead.join(best_ensemble.select(*keys, F.col("best_model").alias("model")), [*keys, "model"])
     interval = forecast.param_noise_interval(
         future, chosen, keys, options.draws, options.confidence, seed=options.seed
     )
     table = forecast.forecast_table(future, chosen, ahead, interval, keys)
+    status = series_status(target, params, keys, options.n_splits, options.gap).checkpoint()
     points.df.unpersist()
     return Trained(
         keys, weekly, target, folds, params, by_curve, weights, metrics, best_curve, best_ensemble,
-        curve_preds, ensemble_preds, table, grown,
+        curve_preds, ensemble_preds, table, status, grown,
     )

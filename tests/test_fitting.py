@@ -64,24 +64,48 @@ def test_all_folds_are_there_and_metrics_follow(exact, fits):
     assert all(r["folds"] == 5 and r["train_r2"] > 0.999 for r in measured)
 
 
-def test_long_series_take_the_aggregating_path_to_the_same_result(spark, exact):
-    two = exact.where("sid IN ('Logistic', 'Exponential')")
-    options = {"models": ("Exponential", "Logistic"), "starts": 2, "max_passes": 5}
-    folds = make_folds(two, ["sid"], n_splits=2)
-    short = fit_curves(two, folds, ["sid"], FitOptions(**options)).params
-    long = fit_curves(two, folds, ["sid"], FitOptions(group_rows=10, broadcast_rows=1, **options)).params
-    found = {(r["sid"], r["model"], r["fold"]): r for r in long.collect()}
-    for row in short.collect():
-        other = found[row["sid"], row["model"], row["fold"]]
-        assert other["sse"] == pytest.approx(row["sse"], rel=1e-5, abs=1.0)
-
-
-def test_mixed_lengths_split_between_the_paths(spark, exact):
-    part = exact.where("sid = 'Logistic'").union(exact.where("sid = 'Gompertz' AND pos < 100"))
-    options = FitOptions(models=("Logistic",), max_passes=6, group_rows=150)
-    found = fit_curves(part, None, ["sid"], options).params.collect()
-    assert sorted(r["sid"] for r in found) == ["Gompertz", "Logistic"]
-    assert all(r["status"] == "ok" for r in found)
+def test_short_and_very_long_series_get_the_fits_they_get_alone(spark):
+    rng = np.random.default_rng(11)
+    frames = {}
+    for name, weeks in (("short", 300), ("long", 6000)):
+        x = np.arange(float(weeks))
+        y = 9e4 / (1 + np.exp(-0.02 * (x - weeks / 3))) + 100 * np.sqrt(x)
+        frames[name] = (x, np.maximum.accumulate(y + rng.normal(0, 200, weeks)))
+    both = _target(spark, frames)
+    options = FitOptions(starts=2)
+    panel = fit_curves(both, make_folds(both, ["sid"], n_splits=2), ["sid"], options).params
+    found = {(r["sid"], r["model"], r["fold"]): r for r in panel.collect()}
+    assert len(found) == 2 * 4 * 3
+    for name in frames:
+        one = both.where(F.col("sid") == name)
+        for row in fit_curves(one, make_folds(one, ["sid"], n_splits=2), ["sid"], options).params.collect():
+            other = found[name, row["model"], row["fold"]]
+            assert row["status"] == other["status"] and row["params"] == pytest.approx(other["params"], rel=1e-9)
+            assert row["sse"] is None or row["sse"] == pytest.approx(other["sse"], rel=1e-9)
+
+
+def test_the_error_is_that_of_the_residuals(spark, exact):
+    one = exact.where("sid = 'Gompertz'")
+    pandas = one.orderBy("pos").toPandas()
+    fits = fit_curves(one, None, ["sid"], FitOptions(models=("Logistic", "Gompertz")))
+    params = fits.params
+    pred = one.drop("status").crossJoin(params.select("model", "params", "sse"))
+    value = C.evaluate_by_name(F.col("model"), F.col("x"), F.col("params"))
+    sums = pred.groupBy("model", "sse").agg(F.sum((F.col("y") - value) * (F.col("y") - value)).alias("direct")).collect()
+    assert len(pandas) == WEEKS
+    for row in sums:
+        assert row["sse"] == pytest.approx(row["direct"], rel=1e-6, abs=1e-9)
+
+
+def test_a_fit_at_the_limit_of_passes_has_not_converged(spark, exact):
+    one = exact.where("sid = 'Richards'")
+    folds = make_folds(one, ["sid"])
+    found = fit_curves(one, folds, ["sid"], FitOptions(models=("Richards",), starts=1, max_passes=2))
+    status = {r["fold"]: (r["status"], r["params"]) for r in found.params.collect()}
+    assert status[FULL] == ("not_converged", None)
+    assert all(status[k][0] == "start_values" and status[k][1] for k in range(5))
+    first = found.initial.first()
+    assert first["status"] == "not_converged" and first["initial_params"] == first["start_params"]
 
 
 def test_a_series_gets_the_same_fit_alone_and_in_a_panel(spark, exact, fits):

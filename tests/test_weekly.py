@@ -92,3 +92,24 @@ def test_raw_rows_meet_only_hash_aggregation(spark):
     records = select_records(lineitem, ["l_returnflag"], "l_shipdate", "l_quantity", "l_tax", order_by="l_orderkey")
     plan = resample_weeks(records, ["l_returnflag"])._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and plan.count("Exchange") == 1 and "Window" not in plan
+
+
+def test_a_clock_change_does_not_reorder_rows(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.sql(
+            "SELECT 'a' AS sid, CAST(t AS TIMESTAMP_NTZ) AS ts, 1.0D AS number, c AS cumulative, CAST(c AS BIGINT) AS row_order "
+            "FROM VALUES ('2024-03-10 02:30:00', 10.0D), ('2024-03-10 03:00:00', 20.0D) AS v(t, c)"
+        )
+        assert resample_weeks(rows, ["sid"]).first()["cumulative"] == 20.0
+        assert resample_weeks(rows.drop("row_order"), ["sid"]).first()["cumulative"] == 20.0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_raw_rows_are_combined_before_the_only_exchange(spark):
+    records = _records(spark, [("a", "2024-01-01T00:00:00", 1.0, 9.0)])
+    plan = resample_weeks(records, ["sid"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "partial_sum" in plan.split("Exchange hashpartitioning")[1]
