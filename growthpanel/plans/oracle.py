@@ -380,3 +380,57 @@ _AHEAD = _WITH.rstrip() + _DRAWS
 ORACLE["h4_noisy_parameters"] = _AHEAD + f"\nSELECT {_K}, model, CAST(i AS INTEGER) AS position, {_r('AVG(value)', 'mean', 4)}, {_r('STDDEV_POP(value)', 'std', 4)} FROM noisy GROUP BY k, model, i"
 ORACLE["h5_interval"] = _AHEAD + f"\nSELECT {_K}, {_I}, {_r('mean_pred', 'mean_pred')}, {_r('low', 'lower_bound_ci')}, {_r('high', 'upper_bound_ci')} FROM bounds"
 ORACLE["h6_forecast_table"] = _AHEAD + f"\nSELECT c.k AS l_returnflag, {_day('date')}, {_r('c.x', 'time_idx')}, {_r('c.pred', 'best_model_forecast')}, {_r('e.pred', 'best_ensemble_forecast')}, {_r('b.low', 'lower_bound_ci')}, {_r('b.high', 'upper_bound_ci')} FROM future_curve c JOIN future_ensemble e ON e.k = c.k AND e.pos = c.pos JOIN bounds b ON b.k = c.k AND b.pos = c.pos"
+
+
+def _search(levels: int = 6) -> str:
+    """Least error of the curves without asymmetry over whole series: a grid over rate and midpoint, then finer around its best.
+
+    A grid over three numbers gets stuck beside the Richards curve's optimum; it is held against the logistic curve, its special case.
+    """
+    parts = [
+        """area0 AS (SELECT k, model, ymax, n, CASE WHEN model = 'Exponential' THEN ln(0.0001) ELSE ln(0.001) END AS r0, ln(0.1) AS r1,
+  CASE WHEN model = 'Exponential' THEN 0 ELSE xlo END AS t0, CASE WHEN model = 'Exponential' THEN 0 ELSE xhi END AS t1, xlo, xhi FROM facts CROSS JOIN models WHERE model <> 'Richards')"""
+    ]
+    for level in range(levels):
+        parts.append(f"""sized{level} AS (SELECT *, CASE WHEN model = 'Exponential' THEN 200 ELSE 24 END AS nr, CASE WHEN model = 'Exponential' THEN 1 ELSE 24 END AS nt FROM area{level}),
+grid{level} AS (SELECT *, exp(r0 + i * (r1 - r0) / (nr - 1)) AS b, t0 + j * (t1 - t0) / greatest(nt - 1, 1) AS t
+  FROM sized{level} CROSS JOIN range(200) AS i(i) CROSS JOIN range(24) AS j(j) WHERE i < nr AND j < nt),
+u{level} AS (SELECT g.k, g.model, g.b, g.t, g.ymax, y, CASE g.model WHEN 'Exponential' THEN exp(b * x) WHEN 'Gompertz' THEN exp(-exp(-b * (x - t))) ELSE 1 / (1 + exp(-b * (x - t))) END AS u
+  FROM grid{level} g JOIN flag_target f ON f.k = g.k),
+s{level} AS (SELECT k, model, b, t, ymax, COUNT(*) AS n, SUM(u) AS su, SUM(y) AS sy, SUM(u * y) AS suy, SUM(u * u) AS suu, REGR_SYY(y, u) AS cyy, REGR_SXX(y, u) AS cuu, REGR_SXY(y, u) AS cuy FROM u{level} GROUP BY ALL),
+w{level} AS (SELECT *, cuy / cuu AS slope, CASE WHEN model = 'Gompertz' THEN (sy - cuy / cuu * su) / n + cuy / cuu ELSE cuy / cuu END AS wanted FROM s{level} WHERE cuu > 0),
+h{level} AS (SELECT *, least(greatest(wanted, CASE WHEN model = 'Exponential' THEN 0 ELSE ymax END), 2 * ymax) AS height FROM w{level}),
+o{level} AS (SELECT *, CASE WHEN model <> 'Gompertz' THEN (sy - height * su) / n WHEN height = wanted THEN height - slope ELSE ((sy - suy) - height * (su - suu)) / (n - 2 * su + suu) END AS alpha FROM h{level}),
+e{level} AS (SELECT *, CASE WHEN model = 'Gompertz' THEN height - alpha ELSE height END AS beta FROM o{level}),
+q{level} AS (SELECT *, cyy - 2 * beta * cuy + beta * beta * cuu + n * pow(alpha - (sy - beta * su) / n, 2) AS sse FROM e{level}),
+best{level} AS (SELECT k, model, ARG_MIN(b, sse) AS b, ARG_MIN(t, sse) AS t, MIN(sse) AS sse FROM q{level} GROUP BY ALL),
+area{level + 1} AS (SELECT k, model, ymax, n, greatest(ln(b) - 2.5 * (r1 - r0) / (nr - 1), CASE WHEN model = 'Exponential' THEN ln(0.0001) ELSE ln(0.001) END) AS r0, least(ln(b) + 2.5 * (r1 - r0) / (nr - 1), ln(0.1)) AS r1,
+  greatest(t - 2.5 * (t1 - t0) / greatest(nt - 1, 1), CASE WHEN model = 'Exponential' THEN 0 ELSE xlo END) AS t0, least(t + 2.5 * (t1 - t0) / greatest(nt - 1, 1), CASE WHEN model = 'Exponential' THEN 0 ELSE xhi END) AS t1, xlo, xhi
+  FROM sized{level} JOIN best{level} USING (k, model))""")
+    least = " UNION ALL ".join(f"SELECT k, model, sse FROM best{level}" for level in range(levels))
+    parts.append(f"least AS (SELECT k, model, SQRT(MIN(sse) / MAX(n)) AS rmse FROM ({least}) JOIN facts USING (k) GROUP BY ALL UNION ALL SELECT k, 'Richards', NULL FROM facts)")
+    return ",\n".join(parts)
+
+
+def _digits(value: str) -> str:
+    size = f"pow(10, floor(log10({value})))"
+    return f"ROUND({value} / {size}, 3) * {size}"
+
+
+_LEAST = _WITH.rstrip() + ",\n" + _search()
+ORACLE["f2_full_fit"] = _LEAST + f"\nSELECT {_K}, model, {_r(_digits('rmse'), 'rmse', 4)}, true AS no_worse FROM least"
+ORACLE["f7_final_fit"] = ORACLE["f2_full_fit"]
+ORACLE["f8_no_folds"] = _LEAST + f"\nSELECT {_K}, model, {_r(_digits('rmse'), 'rmse', 4)}, true AS no_worse, 0 AS folds, NULL::DOUBLE AS test_rmse FROM least"
+ORACLE["f3_fold_fits"] = _WITH + f"SELECT {_K}, model, COUNT(*) AS fits, COUNT(*) AS inside, COUNT(*) AS no_worse FROM flag_folds CROSS JOIN models GROUP BY k, model"
+ORACLE["f5_fallback"] = _WITH + f"SELECT {_K}, 'Richards' AS model, COUNT(*) * 5 AS values, {_r('AVG((1.2 * ymax + 0.01 + xmid + 1 + ymin) / 5)', 'mean', 4)} FROM flag_folds JOIN facts USING (k) GROUP BY k"
+ORACLE["s5_save_models"] = _WITH + f"SELECT p.k AS l_returnflag, p.model, 'ok' AS status, best_model FROM params p JOIN best b ON b.k = p.k AND b.type = 'Individual' WHERE p.fold = -1"
+_WEEKS = "SELECT k AS l_returnflag, COUNT(*) AS weeks"
+ORACLE["s6_load_models"] = _WITH + f"{_WEEKS}, 0.0::DOUBLE AS difference FROM flag_target GROUP BY k"
+ORACLE["s7_predict"] = ORACLE["s6_load_models"]
+for _name, _model in (("m1_forest_cv", "Random Forest"), ("m2_boosting_cv", "Gradient Boosting")):
+    ORACLE[_name] = _WITH + f"SELECT {_K}, '{_model}' AS model, true AS ordered, true AS below_one FROM flag_folds GROUP BY k"
+ORACLE["m3_forest_grid"] = _WITH + f"{_WEEKS}, COUNT(*) AS inside FROM flag_target GROUP BY k"
+ORACLE["m4_boosting_grid"] = _WITH + f"{_WEEKS}, true AS offered, true AS explains FROM flag_target GROUP BY k"
+ORACLE["m5_predict"] = _WITH + f"{_WEEKS}, COUNT(*) AS rows FROM flag_target GROUP BY k"
+ORACLE["m6_importances"] = "SELECT model, 7 AS features, 1.0::DOUBLE AS total, true AS none_negative FROM (VALUES ('Random Forest'), ('Gradient Boosting')) AS m(model)"
+ORACLE["d9_top_importances"] = "SELECT 'Random Forest' AS model, 5 AS ranks, true AS greatest"

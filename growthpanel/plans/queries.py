@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -255,19 +255,28 @@ def s5_save_models(spark, folder):
     return tidy(curves.where("fold = -1").join(best, FLAG).select(*FLAG, "model", "status", "best_model"))
 
 
+def _against_unsaved(i: Inputs, found: DataFrame) -> DataFrame:
+    """Weeks per series, and how far predictions (pos, pred) lie from those of the model that was never saved."""
+    own = trees.tree_predictions(i.target.select(*FLAG, "pos", "x"), i.trees[trees.FOREST]).select(*FLAG, "pos", F.col("pred").alias("own"))
+    both = found.join(own, [*FLAG, "pos"], "full")
+    return tidy(both.groupBy(*FLAG).agg(F.count("pred").alias("weeks"), F.max(F.abs(F.col("pred") - F.col("own"))).alias("difference")))
+
+
 @query
 def s6_load_models(spark, folder):
     i = Inputs.of(spark, folder)
     loaded = storage.load_ensemble(spark, f"{i.saved}/models")
-    return tidy(trees.tree_predictions(i.target.select(*FLAG, "pos", "x"), loaded), 2)
+    return _against_unsaved(i, trees.tree_predictions(i.target.select(*FLAG, "pos", "x"), loaded))
 
 
 @query
 def s7_predict(spark, folder):
+    """Predictions by the saved model, written as CSV and read back."""
     i = Inputs.of(spark, folder)
     output = f"{i.saved}/forecast"
-    predict(i.shipped(FLAG), i.saved, FLAG, output=output)
-    return tidy(spark.read.option("header", True).csv(output))
+    made = predict(i.shipped(FLAG), i.saved, FLAG, output=output)
+    back = spark.read.schema(made.schema).option("header", True).option("enforceSchema", False).csv(output)
+    return _against_unsaved(i, back.select(*FLAG, "pos", F.col("predicted_cumulative").alias("pred")))
 
 
 # --- projections and filters ------------------------------------------------------------------------------------------
@@ -522,16 +531,53 @@ def f2_linear_pair(spark, folder):
     return tidy(_parameters_long(paired, "model", "fold"), 2)
 
 
+def _four_digits(value: Column) -> Column:
+    size = F.pow(F.lit(10.0), F.floor(F.log10(value)))
+    return F.round(value / size, 3) * size
+
+
+def _errors(rows: DataFrame, measure: str) -> DataFrame:
+    """Root mean squared error of whole-series fits to four digits, which SQL finds by a search over the shapes.
+
+    Of the Richards curve: whether it is no worse than the logistic curve, its special case.
+    """
+    logistic = rows.where("model = 'Logistic'").select(*FLAG, F.col(measure).alias("logistic"))
+    richards = F.col("model") == "Richards"
+    error = F.when(~richards, _four_digits(F.col(measure))).alias("rmse")
+    no_worse = (~richards | (F.col(measure) <= F.col("logistic") * (1 + 1e-9))).alias("no_worse")
+    return tidy(rows.join(logistic, FLAG).select(*FLAG, "model", error, no_worse, *[c for c in ("folds", "test_rmse") if c in rows.columns]), 4)
+
+
+def _whole_fits(i: Inputs, params: DataFrame) -> DataFrame:
+    return metrics.score(predictions.curve_predictions(i.target, params.where("params IS NOT NULL"), FLAG), [*FLAG, "model"])
+
+
 @query
 def f2_full_fit(spark, folder):
-    fits = Inputs.of(spark, folder).fitted
-    return tidy(_parameters_long(fits.initial, "model", "converged"), 4)
+    i = Inputs.of(spark, folder)
+    return _errors(_whole_fits(i, i.fitted.initial.withColumn("fold", F.lit(folds.FULL))), "rmse")
 
 
 @query
 def f3_fold_fits(spark, folder):
-    fits = Inputs.of(spark, folder).fitted
-    return tidy(_parameters_long(fits.params.where("fold >= 0"), "model", "fold", "status"), 4)
+    """Fold fits per curve: how many, how many lie in their bounds, and how many are no worse than a given shape."""
+    i = Inputs.of(spark, folder)
+    given = i.paired.select(*FLAG, "model", "fold", F.col("sse").alias("given_sse"))
+    fits = i.fitted.params.where("fold >= 0").join(given, [*FLAG, "model", "fold"])
+    starts = fitting.start_values(i.points.df, FLAG).select(*FLAG, "model", "lower", "upper")
+    near = F.lit(1e-9)
+    inside = F.forall(
+        F.arrays_zip("params", "lower", "upper"),
+        lambda p: (p["params"] >= p["lower"] - near * F.abs(p["lower"])) & (p["params"] <= p["upper"] + near * F.abs(p["upper"])),
+    )
+    # the first and the last parameter are bounded, or free, for every curve
+    bounded = fits.join(starts, [*FLAG, "model"]).withColumn("lower", F.transform("lower", lambda v: F.greatest(v, F.lit(-1e300))))
+    bounded = bounded.withColumn("upper", F.transform("upper", lambda v: F.least(v, F.lit(1e300))))
+    return bounded.groupBy(*FLAG, "model").agg(
+        F.count(F.lit(1)).alias("fits"),
+        F.count_if(inside).alias("inside"),
+        F.count_if(F.col("sse") <= F.col("given_sse") * (1 + near)).alias("no_worse"),
+    )
 
 
 @query
@@ -542,10 +588,12 @@ def f4_skipped_folds(spark, folder):
 
 @query
 def f5_fallback(spark, folder):
-    """The parameters folds fall back to: the first fit, or the start values where that failed."""
-    fits = Inputs.of(spark, folder).fitted
-    chosen = F.col("initial_params").alias("params")
-    return tidy(_parameters_long(fits.initial.select(*FLAG, "model", "status", chosen), "model", "status"), 4)
+    """Fits held to two passes do not converge: the first fit gives way to the start values, and folds to those."""
+    i = Inputs.of(spark, folder)
+    options = FitOptions(models=("Richards",), starts=1, max_passes=2)
+    fits = fitting.fit_curves(i.points, i.folds, options=options)
+    fallen = fits.params.where("fold >= 0 AND status = 'start_values'").select(*FLAG, "model", F.explode("params").alias("value"))
+    return tidy(fallen.groupBy(*FLAG, "model").agg(F.count(F.lit(1)).alias("values"), F.avg("value").alias("mean")), 4)
 
 
 @query
@@ -560,8 +608,8 @@ def f6_best_fold(spark, folder):
 
 @query
 def f7_final_fit(spark, folder):
-    fits = Inputs.of(spark, folder).fitted
-    return tidy(_parameters_long(predictions.full_fit(fits.params), "model", "status"), 4)
+    i = Inputs.of(spark, folder)
+    return _errors(_whole_fits(i, predictions.full_fit(i.fitted.params)), "rmse")
 
 
 @query
@@ -578,7 +626,8 @@ def f8_no_folds(spark, folder):
     """Folds withheld: one fit of the whole series, train measures only."""
     i = Inputs.of(spark, folder)
     fits = fitting.fit_curves(i.points, None, options=FITTED)
-    return tidy(predictions.curve_metrics(i.target, i.folds.limit(0), fits.params, FLAG), 4)
+    measured = predictions.curve_metrics(i.target, i.folds.limit(0), fits.params, FLAG)
+    return _errors(measured, "train_rmse")
 
 
 @query
@@ -680,38 +729,60 @@ def x5_scaled_features(spark, folder):
 # --- tree ensembles ---------------------------------------------------------------------------------------------------
 
 
+def _sound_measures(rows: DataFrame) -> DataFrame:
+    """Mean test measures over all folds: the squared error is no less than the absolute one, R2 is below 1."""
+    ordered = (F.col("rmse") >= F.col("mae")) & (F.col("mae") > 0)
+    return rows.select(*FLAG, "model", ordered.alias("ordered"), (F.col("r2") < 1).alias("below_one"))
+
+
 @query
 def m1_forest_cv(spark, folder):
-    return tidy(Inputs.of(spark, folder).tree_cv.where(F.col("model") == trees.FOREST), 3)
+    return _sound_measures(Inputs.of(spark, folder).tree_cv.where(F.col("model") == trees.FOREST))
 
 
 @query
 def m2_boosting_cv(spark, folder):
-    return tidy(Inputs.of(spark, folder).tree_cv.where(F.col("model") == trees.BOOSTING), 3)
+    return _sound_measures(Inputs.of(spark, folder).tree_cv.where(F.col("model") == trees.BOOSTING))
 
 
-def _chosen_size(name: str) -> Query:
-    def run(spark, folder):
-        """Predictions at every week of the size the grid search chose."""
-        i = Inputs.of(spark, folder)
-        return tidy(trees.tree_predictions(i.target.select(*FLAG, "pos", "x", "y"), i.trees[name]), 3)
-
-    return run
+@query
+def m3_forest_grid(spark, folder):
+    """The forest of the size that the grid search chose averages targets it has seen: no prediction lies outside."""
+    i = Inputs.of(spark, folder)
+    found = trees.tree_predictions(i.target.select(*FLAG, "pos", "x", "y"), i.trees[trees.FOREST])
+    ends = i.target.groupBy(*FLAG).agg(F.max("y").alias("top"))
+    seen = i.target.join(ends, FLAG).agg(F.min(F.col("y") / F.col("top")).alias("least"))
+    rows = found.join(ends, FLAG).crossJoin(F.broadcast(seen))
+    share = F.col("pred") / F.col("top")
+    inside = (share >= F.col("least") - 1e-9) & (share <= 1 + 1e-9)
+    return rows.groupBy(*FLAG).agg(F.count("pred").alias("weeks"), F.count_if(inside).alias("inside"))
 
 
-QUERIES["m3_forest_grid"] = _chosen_size(trees.FOREST)
-QUERIES["m4_boosting_grid"] = _chosen_size(trees.BOOSTING)
+@query
+def m4_boosting_grid(spark, folder):
+    """The size that the grid search chose is one of the candidates, and its model explains the weeks it has seen."""
+    i = Inputs.of(spark, folder)
+    model = i.trees[trees.BOOSTING]
+    found = trees.tree_predictions(i.target.select(*FLAG, "pos", "x", "y"), model)
+    stage = model.pipeline.stages[-1]
+    offered = stage.getMaxDepth() in SMALL_TREES.boosting_grid["depth"] and stage.getNumTrees in SMALL_TREES.boosting_grid["trees"]
+    scored = metrics.score(found, FLAG)
+    weeks = found.groupBy(*FLAG).agg(F.count("pred").alias("weeks")).join(scored, FLAG)
+    return weeks.select(*FLAG, "weeks", F.lit(offered).alias("offered"), (F.col("r2") > 0.5).alias("explains"))
 
 
 @query
 def m5_predict(spark, folder):
     i = Inputs.of(spark, folder)
-    return tidy(predict_weekly(i.weekly, i.trees[trees.FOREST]), 3)
+    found = predict_weekly(i.weekly, i.trees[trees.FOREST])
+    return found.groupBy(*FLAG).agg(F.count(F.lit(1)).alias("rows"), F.count("predicted_cumulative").alias("weeks"))
 
 
 @query
 def m6_importances(spark, folder):
-    return tidy(trees.importance_table(trees.importances(spark, Inputs.of(spark, folder).trees)))
+    long = trees.importances(spark, Inputs.of(spark, folder).trees)
+    sums = long.groupBy("model").agg(F.count(F.lit(1)).alias("features"), F.sum("importance").alias("total"), F.min("importance").alias("least"))
+    return tidy(sums.select("model", "features", "total", (F.col("least") >= 0).alias("none_negative")))
 
 
 # --- averaging ensembles ----------------------------------------------------------------------------------------------
@@ -961,8 +1032,13 @@ def d8_metric_panels(spark, folder):
 
 @query
 def d9_top_importances(spark, folder):
+    """Five features, none of which weighs less than any that is left out."""
     long = trees.importances(spark, Inputs.of(spark, folder).trees)
-    return tidy(chartdata.top_importances(long, trees.FOREST, 5))
+    top = chartdata.top_importances(long, trees.FOREST, 5)
+    rest = long.where(F.col("model") == trees.FOREST).join(top.select("feature"), "feature", "left_anti")
+    ends = top.groupBy("model").agg(F.count_distinct("rank").alias("ranks"), F.min("importance").alias("least"))
+    others = rest.groupBy("model").agg(F.max("importance").alias("most"))
+    return ends.join(others, "model").select("model", "ranks", (F.col("least") >= F.col("most")).alias("greatest"))
 
 
 @query
