@@ -32,6 +32,8 @@ CATALOGUE = [
     "c3_split_count",
     "c4_folds",
     "f2_linear_pair",
+    "m1_forest_cv",
+    "m3_forest_grid",
     "f2_full_fit",
     "a4_fold_summary",
     "e6_component_report",
@@ -65,7 +67,7 @@ def supplier_run(spark: SparkSession, timings: dict[str, float]) -> None:
     target = prepare_target(weekly, keys)
     folds = make_folds(target, keys).persist()
     points = timed("panel_points", lambda: hold_points(target, keys))
-    options = FitOptions(starts=2)
+    options = FitOptions()
     params = timed("panel_fit_by_supplier", lambda: fit_curves(points, folds, options=options).params.checkpoint())
     scored = curve_metrics(target, folds, params, keys).persist()
     timed("panel_metrics_by_supplier", lambda: consume(scored))
@@ -81,7 +83,7 @@ def supplier_run(spark: SparkSession, timings: dict[str, float]) -> None:
         named = scored.select(*keys, "model", F.col("test_r2").alias("r2"))
         chosen = forecast.best_curve_params(full_fit(params), selection.best_model(named, keys), keys)
         future = forecast.horizon(target, keys)
-        return consume(forecast.param_noise_interval(future, chosen, keys, draws=100))
+        return consume(forecast.param_noise_interval(future, chosen, keys, draws=1000))
 
     timed("panel_interval_by_supplier", ahead)
 

@@ -86,7 +86,9 @@ class Trained:
         curves = chartdata.observed_and_fitted(self.target, self.folds, self.curve_predictions, keys)
         ensembles = chartdata.observed_and_fitted(self.target, self.folds, self.ensemble_predictions, keys)
         resid = chartdata.residuals(self.curve_predictions)
-        return {
+        own = chartdata.residuals(self.ensemble_predictions.where("pred IS NOT NULL"))
+        averages = self.metrics.where(F.col("type") == "Ensemble")
+        tables = {
             "exploratory": chartdata.exploratory_panels(self.weekly, keys),
             "curves": curves,
             "ensemble_comparison": chartdata.ensemble_comparison(ensembles, curves, self.best_curve, keys),
@@ -99,7 +101,16 @@ class Trained:
             "residual_density": chartdata.residual_density(resid, keys),
             "ensemble_diagnostics": chartdata.ensemble_diagnostics(self.target, self.folds, self.ensemble_predictions, keys),
             "metric_panels": chartdata.metric_panels(self.metrics, keys),
+            "weighted_panels": chartdata.weighted_comparison_panels(reports.weighted_comparison(averages, keys), keys),
+            "ensemble_residuals": own,
+            "ensemble_normal_qq": chartdata.normal_qq(own, keys),
+            "ensemble_residual_histogram": chartdata.residual_histogram(own, keys),
+            "ensemble_residual_density": chartdata.residual_density(own, keys),
         }
+        long = trees.importances(self.target.sparkSession, self.tree_ensembles) if self.tree_ensembles else None
+        for name in self.tree_ensembles:
+            tables[f"top_importances_{name}"] = chartdata.top_importances(long, name)
+        return tables
 
     def save(self, folder: str, format: str = "csv") -> None:
         """Reports, curves and tree models, for later reading and for ``predict``."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -21,16 +22,16 @@ def write_table(df: DataFrame, path: str, format: str = "csv", partition_by: Seq
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
-def file_name(name: str) -> str:
-    """A model name as part of a path."""
-    return name.replace(" ", "_").replace("(", "").replace(")", "").replace("/", "")
+def slug(name: str) -> str:
+    """A name as part of a path: lower-case words with hyphens."""
+    return "-".join(re.findall("[a-z0-9]+", name.lower()))
 
 
 def write_reports(tables: dict[str, DataFrame], folder: str, format: str = "csv") -> list[str]:
     """One folder per table."""
     paths = []
     for name, table in tables.items():
-        path = f"{folder}/{file_name(name)}"
+        path = f"{folder}/{slug(name)}"
         write_table(table, path, format)
         paths.append(path)
     return paths
@@ -38,7 +39,7 @@ def write_reports(tables: dict[str, DataFrame], folder: str, format: str = "csv"
 
 def save_ensemble(ensemble: TreeEnsemble, folder: str) -> None:
     """Pipeline, component curves, time context, scaler and target scale of one trained model."""
-    base = f"{folder}/{file_name(ensemble.name)}"
+    base = f"{folder}/{slug(ensemble.name)}"
     ensemble.pipeline.write().overwrite().save(f"{base}/pipeline")
     for table in TABLES:
         write_table(getattr(ensemble, table), f"{base}/{table}", "parquet")
@@ -61,7 +62,7 @@ def load_table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _load_ensemble(spark: SparkSession, folder: str, name: str) -> TreeEnsemble | None:
-    base = f"{folder}/{file_name(name)}"
+    base = f"{folder}/{slug(name)}"
     tables = {table: load_table(spark, f"{base}/{table}") for table in TABLES}
     if tables["params"] is None:
         return None

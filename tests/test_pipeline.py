@@ -9,7 +9,7 @@ from growthpanel.operators.trees import TreeOptions, inner_fold
 from growthpanel.plans.prediction import predict
 from growthpanel.plans.training import TrainingOptions, train
 from growthpanel.sources.records import select_records
-from growthpanel.sources.storage import file_name, load_ensemble
+from growthpanel.sources.storage import load_ensemble, slug
 
 TREES = TreeOptions(
     trees=3, forest_depth=3, boosting_depth=2, bins=32,
@@ -51,9 +51,9 @@ def test_save_load_predict(spark, trained, records, tmp_path):
     ours = trained.ensemble_predictions.where("model = 'Random Forest'")
     joined = predicted.join(ours, ["l_returnflag", "pos"])
     assert joined.agg(F.max(F.abs(F.col("pred") - F.col("predicted_cumulative")))).first()[0] < 1e-6
-    report = spark.read.option("header", True).csv(f"{folder}/reports/overall_evaluation_metrics")
+    report = spark.read.option("header", True).csv(f"{folder}/reports/overall-evaluation-metrics")
     assert report.columns == ["l_returnflag", "Model", "Type", "RMSE", "R²", "MAE"]
-    assert file_name("Weighted Average (R2)") == "Weighted_Average_R2"
+    assert slug("Weighted Average (R2)") == "weighted-average-r2"
 
 
 def test_nothing_to_load(spark, tmp_path):
@@ -67,6 +67,10 @@ def test_chart_tables(trained):
     assert charts["curves"].count() == 4 * n and charts["validation"].count() == n
     counted = charts["residual_histogram"].groupBy("l_returnflag", "model").agg(F.sum("count").alias("c")).agg(F.sum("c")).first()[0]
     assert counted == 4 * n
+    assert {"top_importances_Random Forest", "weighted_panels", "ensemble_normal_qq", "ensemble_residual_histogram"} <= set(charts)
+    assert charts["top_importances_Random Forest"].count() == 7 and charts["weighted_panels"].count() == 3 * 3 * 3
+    assert charts["ensemble_normal_qq"].select("model").distinct().count() == 5
+    assert {r["status"] for r in trained.status.collect()} == {"ok"}
     assert charts["residual_density"].groupBy("l_returnflag", "model").count().where("count <> 200").isEmpty()
 
 
