@@ -347,6 +347,16 @@ def _extract(trees: Trees):
     return run
 
 
+def sample_pages(pages: DataFrame, sample: int) -> list[str]:
+    """At most ``sample`` different pages, those with the least hashes: hashes are ordered first, then the pages fetched."""
+    hashed = pages.where("html IS NOT NULL").select(F.xxhash64("html").alias("hash"), "html")
+    least = hashed.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    if least is None:
+        return []
+    taken = hashed.where(F.col("hash") <= least).groupBy("hash").agg(F.min("html").alias("html"))
+    return [r.html for r in taken.orderBy("hash").collect()]
+
+
 def extract_main_text(pages: DataFrame, sample: int = SAMPLE, layouts: int = LAYOUTS, seed: int = SEED) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html; further columns are ignored).
 
@@ -358,7 +368,5 @@ def extract_main_text(pages: DataFrame, sample: int = SAMPLE, layouts: int = LAY
     they are; the driver sees no more. A node is judged by its tag, tokens, density, depth and siblings, and kept only
     below kept nodes, in the likeliest such choice for the whole page. Pages are read one by one where they are.
     """
-    taken = pages.select("html").where("html IS NOT NULL").orderBy(F.xxhash64("html"), "html").limit(sample) if sample else None
-    known = [r.html for r in taken.collect()] if taken is not None else []
-    trees = learn(known, layouts, seed)
+    trees = learn(sample_pages(pages, sample), layouts, seed)
     return pages.select("page_id", "url", "html").mapInArrow(_extract(trees), "page_id long, url string, text string, n_chars long")
