@@ -68,7 +68,7 @@ def test_chart_tables(trained):
     counted = charts["residual_histogram"].groupBy("l_returnflag", "model").agg(F.sum("count").alias("c")).agg(F.sum("c")).first()[0]
     assert counted == 4 * n
     assert {"top_importances_Random Forest", "weighted_panels", "ensemble_normal_qq", "ensemble_residual_histogram"} <= set(charts)
-    assert charts["top_importances_Random Forest"].count() == 7 and charts["weighted_panels"].count() == 3 * 3 * 3
+    assert charts["top_importances_Random Forest"].count() == 7 and charts["weighted_panels"].count() == 3 * 2 * 3
     assert charts["ensemble_normal_qq"].select("model").distinct().count() == 5
     assert {r["status"] for r in trained.status.collect()} == {"ok"}
     assert charts["residual_density"].groupBy("l_returnflag", "model").count().where("count <> 200").isEmpty()
