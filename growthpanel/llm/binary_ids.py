@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthpanel.llm.shared import Shelf
+from growthpanel.llm.shared import Shelf, in_slices
 from growthpanel.llm.tokens import default_tokenizer, encoder
 
 SCALE = 20
@@ -148,7 +148,7 @@ def _tokenize(path: str, end: int):
         schema = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
         for batch in batches:
             found, places = [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in in_slices(batch.column(1).cast(pa.binary())):
                 ids = np.frombuffer(known.encode(text) + close, "<u4")
                 np.add.at(counts, ids, 1)
                 found.append(ids.astype("<u2").tobytes())

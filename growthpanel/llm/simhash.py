@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from growthpanel.llm.components import connected_components, spanning_links
-from growthpanel.llm.shared import Shelf
+from growthpanel.llm.shared import Shelf, in_slices
 
 #: words of a shingle, seed of its hash
 SHINGLE, SEED = 3, 42
@@ -48,7 +48,7 @@ def fingerprint(text: bytes | None) -> int:
 
 @F.arrow_udf(T.LongType())
 def _fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array(np.array([fingerprint(t) for t in texts.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64))
+    return pa.array(np.array([fingerprint(t) for t in in_slices(texts.cast(pa.binary()))], np.uint64).view(np.int64))
 
 
 def neighbours(radius: int) -> list[int]:

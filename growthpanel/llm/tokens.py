@@ -11,8 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from growthpanel.llm.shared import in_slices
+
 #: words and runs that a worker remembers, each, besides those of one text
-_KNOWN = 500_000
+_KNOWN = 300_000
 #: Latin-1 letters, where upper and lower case pair one to one
 _LATIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _plain = re.compile(r"[\t-\r -&(-~¡-ÿ]*")
@@ -101,7 +103,12 @@ def token_column(text: Column, path: str, end: int) -> Column:
     @F.arrow_udf(T.BinaryType())
     def ids(texts: pa.Array) -> pa.Array:
         known, close = encoder(path), np.array([end], "<u2").tobytes()
-        found = (known.encode(t) for t in texts.cast(pa.binary()).to_pylist())
-        return pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() + close for x in found], pa.binary())
+        found, held = [], []
+        for text in in_slices(texts.cast(pa.binary())):
+            held.append(np.frombuffer(known.encode(text), "<u4").astype("<u2").tobytes() + close)
+            if len(held) == 256:
+                found.append(pa.array(held, pa.binary()))
+                held = []
+        return pa.concat_arrays([*found, pa.array(held, pa.binary())])
 
     return ids(text)

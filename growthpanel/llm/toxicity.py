@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from growthpanel.llm.shared import Shelf
+from growthpanel.llm.shared import Shelf, in_slices
 
 #: most labelled rows that a fit reads, taken by a hash of the doc_id
 SAMPLE = 20_000
@@ -42,7 +42,7 @@ def words(text: str) -> set[str]:
 def _terms(texts: pa.Array) -> pa.Array:
     known: dict[str, list[int]] = {}
     out = []
-    for text in texts.to_pylist():
+    for text in in_slices(texts):
         found: set[int] = set()
         for word in words(text or ""):
             hashes = known.get(word)
@@ -201,7 +201,7 @@ def scorer(machine: Machine, docs: DataFrame):
             machine._known = {}
         known: dict[str, tuple] = machine._known
         out = np.empty(len(texts))
-        for i, text in enumerate(texts.to_pylist()):
+        for i, text in enumerate(in_slices(texts)):
             found: set[int] = set()
             for word in words(text or ""):
                 at = known.get(word)
