@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from growthpanel.llm.shared import Shelf, in_slices
 
-#: most labelled rows that a fit reads, taken by a hash of the doc_id
+#: most labelled rows that a fit reads, taken by label and a hash of the doc_id: toxic rows first, up to half if clean ones fill the rest
 SAMPLE = 20_000
 #: a term is a word of letters, or its first letters in these numbers, so that inflected forms share what is learned
 PREFIXES = (4, 5, 6)
@@ -96,11 +96,23 @@ def telling_terms(terms: np.ndarray, rows: np.ndarray, toxic: np.ndarray, n: int
     return np.sort(terms[(rows >= LEAST_ROWS) & (chi2 >= LEAST_CHI2)])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, vocabulary: np.ndarray, seed: int = 42) -> Machine:
+def parts(labels: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to set the cut on and rows to learn from: a fifth of each class and the rest, or all for both if a class is too small."""
+    order = rng.permutation(len(labels))
+    classes = [order[labels[order] == c] for c in (0, 1)]
+    if len(labels) < 50 or min(map(len, classes)) < 5:
+        return order, order.copy()
+    held = np.isin(order, np.concatenate([c[: len(c) // 5] for c in classes]))
+    return order[held], order[~held]
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, vocabulary: np.ndarray, seed: int = 42, weights: tuple[float, float] = (1.0, 1.0)) -> Machine:
     """A machine from the term hashes and 0/1 labels of some texts. With one class alone, every score is that class's.
 
     Adagrad steps; linear weights are pulled to zero (terms that say nothing add nothing to long texts), factors are
-    shrunk. A fifth of the rows is not learned from: on it the cut is set, midway in the widest range of the best F1.
+    shrunk. A fifth of each class is not learned from: on it the cut is set, midway in the widest range of the best F1.
+    With fewer than 50 rows, or 5 of a class, the cut is set on all rows, which are all learned from. ``weights`` says
+    how many labelled rows a clean and a toxic one of the sample stand for. Where no cut parts the classes, nothing is rejected.
     """
     labels = np.asarray(labels, float)
     if not len(rows) or labels.min() == labels.max():
@@ -108,8 +120,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, vocabulary: np.ndarray, seed
         return Machine(np.empty(0, np.int64), np.empty(0), np.empty((0, FACTORS)), sure)
     places = _places(rows, vocabulary)
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(rows))
-    held, taught = (order[: len(rows) // 5], order[len(rows) // 5 :]) if len(rows) >= 50 else (order, order)
+    held, taught = parts(labels, rng)
     m = len(vocabulary)
     w, v, bias = np.zeros(m), rng.normal(0, 0.01, (m, FACTORS)), float(np.log((labels.mean() + 1e-3) / (1.001 - labels.mean())))
     w2, v2 = np.full(m, 1e-6), np.full(m, 1e-6)
@@ -144,34 +155,55 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, vocabulary: np.ndarray, seed
     used = (np.abs(w) > 1e-6) | (np.abs(v).max(1, initial=0) > 0.02)
     machine = Machine(vocabulary[used], w[used].astype(np.float32), v[used].astype(np.float32), bias)
     z = np.array([machine.raw(p) for p in _places([rows[k] for k in held], machine.terms)])
-    machine.middle = _cut(z, labels[held])
+    machine.middle = _cut(z, labels[held], weights)
+    if machine.middle == np.inf:
+        return machine
     machine.scale = float(np.clip(6 / max(1e-6, np.percentile(np.abs(z - machine.middle), 50)), 0.5, 4))
     return machine
 
 
-def _cut(z: np.ndarray, labels: np.ndarray) -> float:
-    """Where to part the classes: the best F1; among equals the middle of the widest gap."""
+def _cut(z: np.ndarray, labels: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)) -> float:
+    """Where to part the classes: the best F1; among equals the middle of the widest gap.
+
+    Infinity where no cut between two rows is better than to call all of them toxic.
+    """
     order = np.argsort(-z, kind="stable")
-    z, hits = z[order], np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + labels.sum())
-    below = np.append(z[1:], z[-1] - 2.0)
-    f1[z == below] = -1  # no cut within ties
+    z, toxic = z[order], labels[order] > 0
+    weight = np.where(toxic, weights[1], weights[0])
+    hits = np.cumsum(weight * toxic)
+    f1 = 2 * hits / (np.cumsum(weight) + hits[-1])
+    below, every = z[1:], f1[-1]
+    f1 = np.where(z[:-1] == below, -1, f1[:-1])  # no cut within ties
+    if f1.max(initial=-1) <= every + 1e-12:
+        return float("inf")
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
     k = best[np.argmax(z[best] - below[best])]
     return float((z[k] + below[k]) / 2)
 
 
+def shares(n_clean: int, n_toxic: int, sample: int) -> tuple[int, int]:
+    """How many clean and toxic rows a sample takes: toxic rows first, but no more than half unless clean ones are few."""
+    toxic = min(n_toxic, max(sample // 2, sample - n_clean))
+    return min(n_clean, sample - toxic), toxic
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """A machine from at most ``sample`` rows that may be learned from: crc32 of the doc_id modulo 3 is not 1.
 
-    ``sample`` bounds what is broadcast (16 bytes a row) and what the driver gets: the counts of the terms that are in
+    A larger table gives toxic rows first, up to half of the sample or as many as clean rows leave room for; the cut
+    weighs the rows by what they stand for. ``sample`` bounds what is broadcast (16 bytes a row) and what the driver gets: the counts of the terms that are in
     several rows, and of each row the terms that tell. Rows with a null doc_id or label are not learned from; a doc_id
     with several labels counts as toxic if any says so.
     """
     shelf = Shelf(docs.sparkSession)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = known.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
+    there = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    there = [there.get(c, 0) for c in (0, 1)]
+    drawn = shares(*there, sample)
+    clean, toxic = (known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for c, k in enumerate(drawn))
+    chosen = clean.unionByName(toxic)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", _terms("text").alias("terms"))
     rows = shelf.keep(rows, "sample")
     n, n_toxic = rows.agg(F.count("toxic"), F.sum("toxic")).first()
@@ -185,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     taken = rows.select("doc_id", "toxic", telling("terms").alias("terms")).toPandas().sort_values("doc_id", kind="stable")
     shelf.forget(rows)
-    return fit([np.asarray(t, np.int64) for t in taken.terms], taken.toxic.to_numpy(float), vocabulary)
+    return fit([np.asarray(t, np.int64) for t in taken.terms], taken.toxic.to_numpy(float), vocabulary, weights=tuple(n / max(1, k) for n, k in zip(there, drawn)))
 
 
 def scorer(machine: Machine, docs: DataFrame):
