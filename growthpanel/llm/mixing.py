@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import gcd
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthpanel.llm.shared import WORD, Shelf, running_offsets
+from growthpanel.llm.vectors import sorted_groups
 
 #: blocks that a whole mix is cut into, rows of one stretch of a source's stream, shards of a source
 BLOCKS, STRETCH, SHARDS = 1_000_000, 20_000, 16
@@ -151,16 +153,67 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] | None = None, blocks:
     return placed.select("doc_id", "source", "size", "source_size", "target", taken, "mix_key")
 
 
-def mixed_documents(docs: DataFrame, weights: Sequence[float] | None = None, seed: int = SEED) -> DataFrame:
-    """``docs``, each row as often as the mix takes it: whole passes, and the rest of a pass by a seeded chance.
+def _rounded(start: str | None):
+    """Groups of one stretch in their order: copies of each row, and in a group's last row the words still owed."""
+
+    def times(g: pa.Table) -> pa.Table:
+        taken, size, chance = (g[c].to_numpy() for c in ("taken", "size", "chance"))
+        whole, rest = taken // size, taken % size
+        owed, more = float(g[start][0].as_py() or 0) if start else 0.0, np.zeros(len(taken), np.int64)
+        for i, (r, n, u) in enumerate(zip(rest.tolist(), size.tolist(), chance.tolist())):
+            if r:
+                owed += r
+                if owed >= u * n:
+                    more[i], owed = 1, owed - n
+        left = np.zeros(len(taken), np.int64)
+        left[-1] = round(owed)
+        out = g.select(["mix_key", "doc_id", "source", "sid"])
+        return out.append_column("times", pa.array((whole + more).astype(np.int64))).append_column("owed", pa.array(left))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in sorted_groups(batches, ["sid", "stretch"]):
+            yield from times(g.combine_chunks()).to_batches()
+
+    return run
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] | None = None, seed: int = SEED, stretch: int = STRETCH) -> DataFrame:
+    """``docs``, each row as often as the mix takes it: whole passes, and the rest of a pass rounded along the stream.
 
     All columns stay; rows that the mix does not take go. Rows that are alike in doc_id, text and source are taken
     equally often. Rows without words give nothing.
+
+    The words of a rest are carried along a source's rows, long ones first and else in the seeded order; a row is taken
+    once more where the carry reaches a seeded part of its size. So a row's chance is its share, and a source
+    misses its target by about one of its short documents. Stretches of about ``stretch`` rows are carried through side
+    by side, then the last one of each source takes up what the others still owe.
     """
-    shares = mix_sources(docs, weights, seed=seed).where("size > 0").groupBy("mix_key", "doc_id", "source").agg((F.sum("taken") / F.sum("size")).alias("share"))
-    # the top 32 bits order the stream; the chance comes from another hash
+    spark, shelf = docs.sparkSession, Shelf(docs.sparkSession)
+    shares = mix_sources(docs, weights, seed=seed, shelf=shelf).where("size > 0").groupBy("mix_key", "doc_id", "source")
+    shares = shelf.keep(shares.agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")), "shares")
+    # one row per source
+    counts = [(r.source, i, max(1, -(-r.n // stretch))) for i, r in enumerate(shares.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect())]
+    known = spark.createDataFrame(counts, "s string, sid long, stretches long")
+    # the order of the stream and the chance come from hashes of their own
+    place = F.pmod(F.xxhash64(F.lit(seed + 2), "mix_key", "doc_id"), "stretches").cast("long")
     chance = F.pmod(F.xxhash64(F.lit(seed + 1), "mix_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = shares.select(F.col("mix_key").alias("k"), F.col("doc_id").alias("d"), F.col("source").alias("s"), F.floor(F.col("share") + chance).cast("int").alias("times"))
+    rows = shares.join(F.broadcast(known), F.expr("source <=> s")).withColumn("stretch", place).withColumn("chance", chance)
+    rows = rows.withColumn("length", F.floor(F.log2("size")))
+    fields = [docs.schema["doc_id"].simpleString().replace(":", " "), docs.schema["source"].simpleString().replace(":", " ")]
+    out = f"mix_key long, {fields[0]}, {fields[1]}, sid long, times long, owed long"
+
+    def carried(some: DataFrame, start: str | None) -> DataFrame:
+        dealt = some.repartition("sid", "stretch").sortWithinPartitions("sid", "stretch", F.desc("length"), "mix_key", "doc_id")
+        return shelf.keep(dealt.mapInArrow(_rounded(start), out), "times")
+
+    if any(n > 1 for _, _, n in counts):
+        before = carried(rows.where("stretch < stretches - 1"), None)
+        owed = before.groupBy("sid").agg(F.sum("owed").alias("start"))
+        last = carried(rows.where("stretch = stretches - 1").join(F.broadcast(owed), "sid", "left"), "start")
+        times = before.unionByName(last)
+    else:
+        times = carried(rows, None)
+    times = times.where("times > 0").select(F.col("mix_key").alias("k"), F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("times").cast("int"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _order(seed).alias("mix_key"))
-    taken = packed.join(times.where("times > 0"), F.expr("mix_key = k AND row.doc_id <=> d AND row.source <=> s"))
+    taken = packed.join(times, F.expr("mix_key = k AND row.doc_id <=> d AND row.source <=> s"))
     return taken.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
