@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -21,9 +22,12 @@ BATCH = 256
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements whose content is never text of the page
-SILENT = frozenset("head script style noscript template svg iframe object select textarea button math canvas audio video datalist".split())
+SILENT = frozenset("script style title template svg iframe select textarea canvas audio video datalist".split())
+#: silent elements that hold no blocks: unclosed ones end at the next block
+_FLAT = frozenset("title svg iframe select textarea datalist".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img input".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img input"
+    " math semantics annotation mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mpadded mphantom menclose".split()
 )
 _CLOSES_P = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd".split()
@@ -73,8 +77,22 @@ class Page:
 
 
 def parse(html: str) -> Page:
-    """A forgiving reader: unclosed and stray tags do no harm, scripts and other silent content are skipped."""
-    page, stack, tags, buffer, linked, link, silent = Page(), [], [], [], 0, 0, ""
+    """A forgiving reader: unclosed and stray tags do no harm, scripts and other silent content are skipped.
+
+    A silent element ends with its own end tag or that of an element it is in. One that is never closed and cannot
+    hold blocks ends at the next block, too. Tags in it are followed, so that theirs end nothing outside.
+    """
+    page, stack, tags, buffer, linked, link, silent, inner, flat = Page(), [], [], [], 0, 0, "", [], False
+    places: dict[str, list[list[int]]] = {}
+
+    def unclosed(tag: str, at: int) -> bool:
+        """Whether no end tag follows before the element's like begins."""
+        if tag not in places:
+            marks = [(m.start(), bool(m.group(1))) for m in re.finditer(rf"<(/?){tag}(?![^\s/>])", html, re.I)]
+            places[tag] = [[i for i, e in marks if e == end] for end in (False, True)]
+        begins, ends = places[tag]
+        b, e = bisect_left(begins, at), bisect_left(ends, at)
+        return e == len(ends) or (tag != "svg" and b < len(begins) and begins[b] < ends[e])
 
     def open_(tag: str, attributes: str) -> None:
         found = []
@@ -121,12 +139,24 @@ def parse(html: str) -> Page:
             continue
         tag, ends, attributes = tag.lower(), m.group(1) or m.group(4), m.group(3) or m.group(6) or ""
         if silent:
+            if ends and tag in inner:
+                while inner.pop() != tag:
+                    pass
+                continue
             if ends and tag == silent:
                 silent = ""
-            elif not (silent == "head" and tag == "body"):
                 continue
-            else:
+            if ends and tag in open_tags:
                 silent = ""
+            elif flat and (tag in _CLOSES_P or tag in ("body", "head", "html")):
+                silent = ""
+            else:
+                if not ends and tag not in VOID and not attributes.endswith("/"):
+                    inner.append(tag)
+                continue
+        if tag == "head":  # no node: it holds no text but the silent title
+            close(("noscript", "object"), _SCOPE)
+            continue
         if ends:
             if tag == "a":
                 link = max(0, link - 1)
@@ -135,7 +165,8 @@ def parse(html: str) -> Page:
                 link = 0
         elif tag in SILENT:
             if not attributes.endswith("/"):
-                silent = tag
+                silent, inner, open_tags = tag, [], {*tags, "head"}
+                flat = tag in _FLAT and unclosed(tag, m.end())
             buffer.append(" ")
         elif tag in VOID or tag in INLINE:
             if tag == "a":
@@ -151,6 +182,8 @@ def parse(html: str) -> Page:
                 close(("p",), _SCOPE)
             if tag in _SAME:
                 close(_SAME[tag], _SCOPE - {"td", "th"} if tag in ("td", "th", "tr") else _SCOPE)
+            if tag == "body":
+                close(("noscript", "object"), _SCOPE)
             if not (tag in ("html", "body") and stack):
                 open_(tag, attributes)
     flush()
