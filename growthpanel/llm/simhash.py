@@ -155,19 +155,25 @@ def _classes(prints: DataFrame, radius: int, shelf: Shelf) -> DataFrame:
 def drop_near_copies(docs: DataFrame, radius: int = 2) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest doc_id, with all its columns.
 
-    A group whose doc_ids are all null keeps one of its rows. Of repeated rows one stays.
+    A group whose doc_ids are all null keeps one of its rows. Of repeated rows one stays, and of rows that share a
+    doc_id but not their text the one with the smallest fingerprint, then hash of its text. An empty table gives no rows.
+
+    Texts are read twice and fingerprinted once: what is chosen is told by doc_id and a hash of the text, which are also
+    the keys by which repeated rows meet, so whole rows are shuffled once.
     """
     shelf = Shelf(docs.sparkSession)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    marked = whole.withColumn("fingerprint", _fingerprints(F.col("row.text")))
-    prints = shelf.keep(marked.select(F.col("row.doc_id").alias("doc_id"), "fingerprint"), "prints")
-    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
+    text = F.xxhash64("text")
+    prints = shelf.keep(docs.select("doc_id", _fingerprints(F.col("text")).alias("fingerprint"), text.alias("hash")), "prints")
+    distinct = prints.groupBy("fingerprint", F.col("doc_id").alias("first_id")).agg(F.min("hash").alias("hash"))
     # of each component one fingerprint stays: the smallest that its first document has
     first = distinct.join(_classes(prints, radius, shelf), "fingerprint").where("first_id <=> component_id")
-    chosen = shelf.keep(first.groupBy("root").agg(F.min("fingerprint").alias("f"), F.min("component_id").alias("c")), "chosen")
-    rows = marked.withColumn("id", F.col("row.doc_id")).join(
-        chosen,
-        F.expr("fingerprint = f AND id <=> c"),
-        "left_semi",
-    )
-    return rows.groupBy("fingerprint", "id").agg(F.first("row").alias("row")).select("row.*")
+    best = F.min(F.struct("fingerprint", "first_id", "hash")).alias("best")
+    chosen = shelf.keep(first.groupBy("root").agg(best).select(*_row_key(F.col("best.first_id"), F.col("best.hash"))), "chosen")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_row_key(F.col("doc_id"), text))
+    keys = ["key_id", "key_null", "key_text"]
+    return whole.join(chosen, keys, "left_semi").groupBy(*keys).agg(F.first("row").alias("row")).select("row.*")
+
+
+def _row_key(doc_id: Column, text_hash: Column) -> list[Column]:
+    """A row's keys without nulls, so that equal keys meet in one place for a join and a grouping alike."""
+    return [F.coalesce(doc_id, F.lit(0).cast("long")).alias("key_id"), doc_id.isNull().alias("key_null"), text_hash.alias("key_text")]
