@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from growthpanel.llm import mixing, near_copies, packing, secret_scan, toxicity
-from growthpanel.llm.shared import shared_folder, table
+from growthpanel.llm import mixing, packing, secret_scan, simhash, toxicity
+from growthpanel.llm.shared import delete_path, shared_folder, shelves_cleared, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,8 +16,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
-    return near_copies.drop_near_copies(docs)
+    """Of each group that fingerprints within two bits connect, the document with the smallest doc_id."""
+    return simhash.drop_near_copies(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder and read by the next one."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what a stage returns is written to the shared folder and read by the next one.
+
+    When a stage is written, the tables it worked with and the stage before it are deleted. An empty table of documents
+    gives no pieces; nulls, repeated rows and further columns are treated as each stage's function says.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with shelves_cleared():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            delete_path(spark, before)
+        before = path
     return docs
