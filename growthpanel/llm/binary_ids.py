@@ -143,18 +143,18 @@ def _tokenize(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, before, known, close = TaskContext.get().partitionId(), 0, encoder(path), np.array([end], "<u4").tobytes()
+        part, before, known, close = TaskContext.get().partitionId(), 0, encoder(path), np.array([end], "<u2").tobytes()
         counts = np.zeros(1 << 16, np.int64)
         schema = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
         for batch in batches:
             found, places = [], []
-            for text in in_slices(batch.column(1).cast(pa.binary())):
-                ids = np.frombuffer(known.encode(text) + close, "<u4")
-                np.add.at(counts, ids, 1)
-                found.append(ids.astype("<u2").tobytes())
+            for ids in known.encode_all(in_slices(batch.column(1).cast(pa.binary()))):
+                found.append(ids.astype("<u2").tobytes() + close)
                 places.append(before)
-                before += len(ids)
+                before += len(ids) + 1
             n = len(found)
+            for i in range(0, n, 1024):
+                counts += np.bincount(np.frombuffer(b"".join(found[i : i + 1024]), "<u2"), minlength=1 << 16)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part] * n, pa.int32()), pa.array(places, pa.int64()), batch.column(0).cast(pa.int64()), pa.array([len(x) // 2 for x in found], pa.int64()), pa.array(found, pa.binary()), pa.nulls(n, pa.binary())],
                 schema=schema,
@@ -224,12 +224,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     schema = "part int, before long, doc_id long, n long, ids binary, counts binary"
     tokens = shelf.keep(sorted_.mapInArrow(_tokenize(path, end), schema), "tokens")
     sums = tokens.where("counts IS NOT NULL")
-    counted = sums.select("counts").mapInArrow(_add_counts, "counts binary").toLocalIterator()
-    counts = np.zeros(1 << 16, np.int64)
-    for row in counted:  # one row per task, 512 kB each
-        counts += np.frombuffer(row.counts, "<i8")
-    ids = np.flatnonzero(counts)
-    frequencies = scaled(counts[ids])
+    counted = sums.select("counts").mapInArrow(_add_counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = counted.orderBy("id").toPandas()  # a row per different id, 65,536 at most
+    ids = counted.id.to_numpy().astype(np.int64)
+    frequencies = scaled(counted.n.to_numpy().astype(np.int64))
     spark.createDataFrame([([int(i) for i in ids], [int(f) for f in frequencies])], "ids array<int>, frequencies array<long>").write.parquet(f"{folder}/table")
     sums.select("part", F.col("n").alias("n_tokens")).coalesce(1).write.parquet(f"{folder}/parts")
     rows = tokens.where("counts IS NULL").select("part", "before", "doc_id", "ids")
@@ -239,11 +237,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
 
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the ranges that one task reads, a row per id that occurs."""
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for counts in batch.column(0).to_pylist():
+        for counts in in_slices(batch.column(0), 4):
             total += np.frombuffer(counts, "<i8")
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+    ids = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], names=["id", "n"])
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:

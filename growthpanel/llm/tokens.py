@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,19 @@ from pyspark.sql import types as T
 
 from growthpanel.llm.shared import in_slices
 
-#: words and runs that a worker remembers, each, besides those of one text
-_KNOWN = 300_000
+#: words and runs that a worker remembers: two generations of this many each, besides those of the texts at hand
+_KNOWN = 150_000
 #: Latin-1 letters, where upper and lower case pair one to one
 _LATIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _plain = re.compile(r"[\t-\r -&(-~¡-ÿ]*")
-_runs = re.compile(rf"[{_LATIN}]+|[^\t-\r {_LATIN}]+")
+_gap = re.compile(r"[\t-\r ]")
 _BATCH = 2000
+#: characters of plain text looked at together; longer texts are cut at white space
+_WINDOW = 1 << 20
+#: kind of every Latin-1 byte: 0 white space, 1 letter, 2 anything else
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[[i for i in range(256) if re.match(f"[{_LATIN}]", chr(i))]] = 1
 
 
 def default_tokenizer() -> str:
@@ -28,13 +35,35 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Memory:
+    """Ids by piece of text, in two generations: a full one becomes the old one, whose pieces come back when asked for."""
+
+    def __init__(self):
+        self._new: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+
+    def look_up(self, pieces: list[bytes], learn: Callable[[list[bytes]], Iterable[tuple[bytes, bytes]]]) -> list[bytes]:
+        """The ids of different pieces; those never seen, or long not, come from ``learn``."""
+        if len(self._new) > _KNOWN:
+            self._old, self._new = self._new, {}
+        found = list(map(self._new.get, pieces))
+        missing = [p for p, ids in zip(pieces, found) if ids is None]
+        if missing:
+            again = dict(zip(missing, map(self._old.get, missing)))
+            again.update(learn([p for p, ids in again.items() if ids is None]))
+            self._new.update(again)
+            found = [again[p] if ids is None else ids for p, ids in zip(pieces, found)]
+        return found
+
+
 class Encoder:
-    """The library's ids of a text, piece by piece.
+    """The library's ids of texts, piece by piece.
 
     The tokenizer drops white space, never joins across it and splits between letters and anything else, so the ids of
-    a text of plain Latin-1 characters are those of its runs of letters and of other characters, and a run that was
-    seen is looked up. A text with an apostrophe, a special token's opening or any other script is cut at white space
-    instead, and its words go to the library whole.
+    a text of plain Latin-1 characters are those of its runs of letters and of other characters. Runs are found for
+    many texts at once by the kinds of their bytes, only their different ones are looked up, and only those never
+    seen go to the library. A text with an apostrophe, a special token's opening or any other script is cut at white
+    space instead, and its words go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -43,69 +72,138 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         vocabulary = self._tokenizer.get_vocab()
-        self._closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.largest = max(vocabulary.values())
+        self._closes = np.zeros(self.largest + 1, bool)
         self._closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._words: dict[bytes, bytes] = {}
-        self._parts: dict[str, bytes] = {}
+        self._words, self._parts = _Memory(), _Memory()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Runs of letters are sent many to a text: each is one word, which its last id closes."""
-        letters = [p for p in parts if p[0].isalpha()]
-        others = [p for p in parts if not p[0].isalpha()]
+        letters = [p for p in parts if _KIND[p[0]] == 1]
+        others = [p for p in parts if _KIND[p[0]] != 1]
         for i in range(0, len(letters), _BATCH):
             some = letters[i : i + _BATCH]
-            ids = np.array(self._tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self._tokenizer.encode(b" ".join(some).decode("latin-1"), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self._closes[ids]) + 1
             if len(ends) == len(some):
-                self._parts.update((p, ids[a:b].tobytes()) for p, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist()))
+                data, cuts = ids.tobytes(), (4 * ends).tolist()
+                yield from zip(some, [data[a:b] for a, b in zip([0, *cuts], cuts)])
             else:
-                self._parts.update(zip(some, self._library(some)))
+                yield from zip(some, self._library([p.decode("latin-1") for p in some]))
         for i in range(0, len(others), _BATCH):
-            self._parts.update(zip(others[i : i + _BATCH], self._library(others[i : i + _BATCH])))
+            some = others[i : i + _BATCH]
+            yield from zip(some, self._library([p.decode("latin-1") for p in some]))
+
+    def _learn_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        for i in range(0, len(words), _BATCH):
+            some = words[i : i + _BATCH]
+            yield from zip(some, self._library([w.decode() for w in some]))
+
+    def _plain_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case plain texts, and how many each has."""
+        data = np.frombuffer(" ".join(texts).encode("latin-1"), np.uint8)
+        kind = _KIND[data]
+        change = np.flatnonzero(np.diff(kind, prepend=0))  # where a run or a gap starts
+        starts = change[kind[change] != 0]
+        if not len(starts):
+            return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
+        inside = kind != 0
+        offsets = np.concatenate([np.cumsum(inside, dtype=np.int32)[starts] - 1, [inside.sum()]]).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+        which, known = runs.indices.to_numpy(), runs.dictionary
+        held, cuts = known.buffers()[2].to_pybytes(), np.frombuffer(known.buffers()[1], np.int32, len(known) + 1).tolist()
+        found = self._parts.look_up([held[a:b] for a, b in zip(cuts, cuts[1:])], self._learn)
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        borders = np.cumsum([len(t) + 1 for t in texts])
+        before = np.concatenate([[0], ends])[np.searchsorted(starts, borders)]
+        return ids, np.diff(before, prepend=0)
+
+    def _odd_ids(self, text: bytes) -> np.ndarray:
+        words = text.split()
+        different = list(dict.fromkeys(words))
+        ids = dict(zip(different, self._words.look_up(different, self._learn_words)))
+        return np.frombuffer(b"".join([ids[w] for w in words]), "<u4")
+
+    def encode_all(self, texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
+        """Ids of each text as little-endian unsigned 32-bit integers. Null texts count as empty."""
+        held: list[str | np.ndarray] = []
+        size = 0
+        for text in texts:
+            whole = (text or b"").decode()
+            if _plain.fullmatch(whole) and "<|" not in whole:
+                held.append(whole.lower())
+                size += len(whole)
+            else:
+                held.append(self._odd_ids(text))
+            if size >= _WINDOW or len(held) >= _BATCH:
+                yield from self._release(held)
+                held, size = [], 0
+        yield from self._release(held)
+
+    def _release(self, held: list[str | np.ndarray]) -> Iterator[np.ndarray]:
+        found = iter(self._windows([t for t in held if isinstance(t, str)]))
+        for text in held:
+            yield next(found) if isinstance(text, str) else text
+
+    def _windows(self, texts: list[str]) -> Iterator[np.ndarray]:
+        short: list[str] = []
+        for text in texts:
+            if len(text) <= _WINDOW:
+                short.append(text)
+                continue
+            yield from self._short(short)
+            short, parts, at = [], [], 0
+            while at < len(text):
+                gap = _gap.search(text, at + _WINDOW)
+                end = gap.start() if gap else len(text)
+                parts.append(self._plain_ids([text[at:end]])[0])
+                at = end
+            yield np.concatenate(parts)
+        yield from self._short(short)
+
+    def _short(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if texts:
+            ids, sizes = self._plain_ids(texts)
+            yield from np.split(ids, np.cumsum(sizes)[:-1])
 
     def encode(self, text: bytes | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        for known in (self._words, self._parts):
-            if len(known) > _KNOWN:
-                known.clear()
-        whole = (text or b"").decode()
-        if _plain.fullmatch(whole) and "<|" not in whole:
-            pieces, known = _runs.findall(whole.lower()), self._parts
-            try:
-                return b"".join([known[p] for p in pieces])
-            except KeyError:
-                self._learn(list({p for p in pieces if p not in known}))
-            return b"".join([known[p] for p in pieces])
-        words, known = text.split(), self._words
-        new = list({w for w in words if w not in known})
-        for i in range(0, len(new), _BATCH):
-            known.update(zip(new[i : i + _BATCH], self._library([w.decode() for w in new[i : i + _BATCH]])))
-        return b"".join([known[w] for w in words])
+        """Ids of one text as little-endian unsigned 32-bit integers."""
+        return next(self.encode_all([text])).tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per worker and file."""
+    """One encoder per worker and file. Tables and files keep ids in 16 bits, so larger vocabularies are refused."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        new = Encoder(path)
+        if new.largest > 0xFFFF:
+            raise ValueError(f"{path} has ids up to {new.largest}; at most 65535 can be kept")
+        _encoders[path] = new
     return _encoders[path]
 
 
 def token_column(text: Column, path: str, end: int) -> Column:
     """Binary: the ids of a text and the end id, as little-endian unsigned 16-bit integers. Null texts count as empty."""
 
+    if not 0 <= end <= 0xFFFF:
+        raise ValueError("the end id must fit into 16 bits")
+
     @F.arrow_udf(T.BinaryType())
     def ids(texts: pa.Array) -> pa.Array:
-        known, close = encoder(path), np.array([end], "<u2").tobytes()
+        close = np.array([end], "<u2").tobytes()
         found, held = [], []
-        for text in in_slices(texts.cast(pa.binary())):
-            held.append(np.frombuffer(known.encode(text), "<u4").astype("<u2").tobytes() + close)
+        for each in encoder(path).encode_all(in_slices(texts.cast(pa.binary()))):
+            held.append(each.astype("<u2").tobytes() + close)
             if len(held) == 256:
                 found.append(pa.array(held, pa.binary()))
                 held = []
