@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthpanel.llm import binary_ids, merkle, mixing, neighbours, packing, page_text, secret_scan, simhash, substrings, toxicity, vector_dedup
+from growthpanel.llm import binary_ids, collocations, merkle, mixing, neighbours, packing, page_text, secret_scan, simhash, substrings, toxicity, vector_dedup
 from growthpanel.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,5 +74,11 @@ def op12_manifest(spark, folder):
     return merkle.proof_digest(table(spark, folder, "documents"))
 
 
+@query
+def op13_collocations(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 ORACLE["op10_secrets"] = secret_scan.duckdb_sql()
 ORACLE["op12_manifest"] = merkle.duckdb_sql()
+ORACLE["op13_collocations"] = collocations.duckdb_sql()
