@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthpanel.llm import binary_ids, collocations, merkle, mixing, neighbours, packing, page_text, secret_scan, simhash, substrings, toxicity, vector_dedup
+from growthpanel.llm import binary_ids, chat, collocations, merkle, mixing, neighbours, packing, page_text, secret_scan, simhash, substrings, toxicity, vector_dedup
 from growthpanel.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,11 @@ def op10_secrets(spark, folder):
     return secret_scan.secret_digest(secret_scan.scan_secrets(table(spark, folder, "documents")))
 
 
+@query
+def op11_chat(spark, folder):
+    return chat.chat_digest(table(spark, folder, "conversations"))
+
+
 @query
 def op12_manifest(spark, folder):
     return merkle.proof_digest(table(spark, folder, "documents"))
@@ -80,5 +85,6 @@ def op13_collocations(spark, folder):
 
 
 ORACLE["op10_secrets"] = secret_scan.duckdb_sql()
+ORACLE["op11_chat"] = chat.duckdb_sql()
 ORACLE["op12_manifest"] = merkle.duckdb_sql()
 ORACLE["op13_collocations"] = collocations.duckdb_sql()
