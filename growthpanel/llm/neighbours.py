@@ -100,6 +100,7 @@ class Router:
     w2: np.ndarray
     b2: np.ndarray
     probes: int = 1
+    size: float = 1.0
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.mean) / self.spread
@@ -130,9 +131,37 @@ def train_router(x: np.ndarray, soft: np.ndarray, seed: int = SEED) -> Router:
     return Router(mean, spread, *weights)
 
 
+def usual_size(x: np.ndarray) -> float:
+    """A power of two near the median of the rows' largest components."""
+    return float(2.0 ** np.clip(np.round(np.log2(np.median(np.abs(x).max(1)))), -1000, 1000))
+
+
+def in_range(x: np.ndarray, size: float) -> np.ndarray:
+    """Components in units of the usual size, for the router: what is a million times larger counts as that."""
+    with np.errstate(over="ignore"):
+        return np.clip(x / size, -1e6, 1e6)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean, row by row, in double precision, also where squares would overflow or vanish."""
+    with np.errstate(over="ignore"):
+        gap = a - b
+        out = np.sqrt((gap**2).sum(1))
+    odd = ~((out > 1e-140) & (out < 1e150))
+    if odd.any():
+        half = a[odd] / 2 - b[odd] / 2
+        most = np.abs(half).max(1, keepdims=True)
+        safe = np.where(most > 0, most, 1.0)
+        with np.errstate(over="ignore"):
+            out[odd] = 2 * (most[:, 0] * np.sqrt(((half / safe) ** 2).sum(1)))
+    return out
+
+
 def learn(sample: np.ndarray, parts: int, k: int, recall: float = RECALL, seed: int = SEED) -> Router:
     """Graph, partition and network from a sample; probes are counted on rows that were not learned from."""
     rng = np.random.default_rng(seed)
+    size = usual_size(sample)
+    sample = in_range(sample, size)
     order = rng.permutation(len(sample))
     held, taught = sample[order[: len(sample) // 5]], sample[order[len(sample) // 5 :]]
     degree = min(DEGREE, len(taught) - 1)
@@ -149,6 +178,7 @@ def learn(sample: np.ndarray, parts: int, k: int, recall: float = RECALL, seed:
     np.put_along_axis(rank, np.argsort(-router.scores(held), axis=1, kind="stable"), np.arange(parts)[None, :], 1)
     needed = np.take_along_axis(rank, true, 1).ravel()
     router.probes = int(min(parts, np.quantile(needed, recall, method="higher") + 1))
+    router.size = size
     return router
 
 
@@ -162,7 +192,7 @@ def _route(router: Router | None, probes: int):
             if router is None:
                 best = np.zeros((n, 1), np.int32)
             else:
-                best = np.argsort(-router.scores(np.array(vectors, np.float64)), axis=1, kind="stable")[:, :probes].astype(np.int32)
+                best = np.argsort(-router.scores(in_range(np.array(vectors, np.float64), router.size)), axis=1, kind="stable")[:, :probes].astype(np.int32)
             parts = pa.ListArray.from_arrays(np.arange(0, best.size + 1, best.shape[1], dtype=np.int32), best.ravel())
             data = pa.array([v.tobytes() for v in vectors], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data, parts], names=["uid", "vec_id", "data", "parts"])
@@ -181,17 +211,19 @@ def _best(kind: str, k: int):
                 continue
             x = np.frombuffer(b"".join(g["data"].to_pylist()), kind).reshape(len(uid), -1).astype(np.float64)
             ids = pc.fill_null(g["vec_id"], np.iinfo(np.int64).max).to_numpy()
-            square = (x * x).sum(1)
+            # what is far smaller than the largest vector ties here, and is told apart by its exact distances
+            scaled = x / 2.0 ** np.ceil(np.log2(np.abs(x).max()))
+            square = (scaled * scaled).sum(1)
             for i in range(0, len(q), 128):
                 some = q[i : i + 128]
-                d = np.maximum(square[some, None] + square[None, c] - 2 * x[some] @ x[c].T, 0)
+                d = np.maximum(square[some, None] + square[None, c] - 2 * scaled[some] @ scaled[c].T, 0)
                 d[uid[some, None] == uid[None, c]] = np.inf
                 room = 1e-9 * (square[some] + square[c].max())  # rounding of the expanded form
                 least = np.partition(d, min(k, len(c)) - 1, axis=1)[:, min(k, len(c)) - 1]
                 a, b = np.nonzero(d <= (least + room)[:, None])
                 fine = np.isfinite(d[a, b])
                 a, b = a[fine], c[b[fine]]
-                exact = np.sqrt(((x[some[a]] - x[b]) ** 2).sum(1))
+                exact = distances(x[some[a]], x[b])
                 order = np.lexsort((ids[b], exact, a))
                 a, b, exact = a[order], b[order], exact[order]
                 first = np.searchsorted(a, a)  # where each query's rows begin

@@ -57,7 +57,7 @@ def _terms(texts: pa.Array) -> pa.Array:
 
 @dataclass
 class Machine:
-    """score = sigmoid(scale * (z - middle) + logit(REJECT)), z = bias + sum of w + pairwise products of factors.
+    """score = sigmoid(scale * (z - middle) + logit(REJECT)), or below REJECT by z where middle is infinite; z = bias + sum of w + pairwise products of factors.
 
     The factors of a text of n known terms are divided by the root of n, so that pairs do not outgrow the rest.
     """
@@ -77,6 +77,8 @@ class Machine:
         return float(self.bias + self.weights[places].sum() + 0.5 * pairs / len(places))
 
     def score(self, places: np.ndarray) -> float:
+        if np.isposinf(self.middle):  # no cut parts the classes: the order of z, below the limit
+            return REJECT * (0.499 + float(np.arctan(self.raw(places))) / np.pi * 0.998)
         z = self.scale * (self.raw(places) - self.middle) + np.log(REJECT / (1 - REJECT))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 

@@ -43,3 +43,25 @@ def test_no_cut_where_scores_say_nothing():
     assert toxicity._cut(np.zeros(4), labels) == np.inf
     assert toxicity._cut(np.array([0, 1, 2, 3.0]), labels) == np.inf
     assert toxicity._cut(np.array([3, 1, 0, 0.0]), labels) == 2
+
+
+def test_scores_keep_their_order_where_no_cut_parts_the_classes():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(600)]
+    machine = toxicity.fit(rows, (rng.random(600) < 0.9).astype(float), np.arange(40))
+    assert machine.middle == np.inf
+    raw = np.array([machine.raw(p) for p in toxicity._places(rows, machine.terms)])
+    scores = np.array([machine.score(p) for p in toxicity._places(rows, machine.terms)])
+    assert len(np.unique(scores)) > 100 and (scores < toxicity.REJECT).all() and (scores > 0).all()
+    assert (np.argsort(raw, kind="stable") == np.argsort(scores, kind="stable")).all()
+    machine.bias = 1e9
+    assert machine.score(np.empty(0, int)) < toxicity.REJECT
+
+
+def test_pairwise_sum_equals_all_pairs():
+    rng = np.random.default_rng(4)
+    machine = toxicity.Machine(np.arange(9), rng.normal(size=9), rng.normal(size=(9, 5)), 0.3)
+    for places in ([], [2], [0, 1], [0, 3, 4, 8], list(range(9))):
+        pairs = sum(machine.factors[i] @ machine.factors[j] for i in places for j in places if i < j)
+        expected = 0.3 + machine.weights[places].sum() + (pairs / len(places) if places else 0.0)
+        assert abs(machine.raw(np.array(places, int)) - expected) < 1e-9

@@ -91,3 +91,18 @@ def test_partition_is_balanced():
     part = neighbours.balanced_partition(x, neighbours.nearest(x, x, 8, np.arange(1003)), 8)
     sizes = np.bincount(part, minlength=8)
     assert sizes.max() - sizes.min() <= 2
+
+
+def test_neighbours_of_very_large_and_small_vectors(spark):
+    from math import hypot
+
+    rows = [(0, [3e200, 0.0]), (1, [3e200, 1e200]), (2, [1e-200, 2e-200]), (3, [1e-200, 0.0]), (4, [5e-324, 0.0]), (5, [1.7e308, -1.7e308]), (6, [1.0, 2.0]), (7, [0.0, -1e-300])]
+    schema = "vec_id long, embedding array<double>"
+    found = neighbours.nearest_neighbours(spark.createDataFrame(rows, schema), F.lit(True)).collect()
+    assert len(found) == 8 * 7
+    given = dict(rows)
+    for q in given:
+        mine = sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])
+        true = sorted((hypot(given[q][0] - v[0], given[q][1] - v[1]), i) for i, v in rows if i != q)
+        assert [r.vec_id for r in mine] == [i for _, i in true]
+        assert all(r.score == d or abs(r.score / d - 1) < 1e-14 for r, (d, _) in zip(mine, true))
