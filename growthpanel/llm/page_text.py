@@ -23,6 +23,8 @@ BATCH = 256
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements whose content is never text of the page
 SILENT = frozenset("script style title template svg iframe select textarea canvas audio video datalist".split())
+#: elements whose content is no markup, whatever it looks like; only the first two reach to the end of a page
+_RAW = ("script", "style", "title", "textarea", "iframe")
 #: silent elements that hold no blocks: unclosed ones end at the next block
 _FLAT = frozenset("title svg iframe select textarea datalist".split())
 INLINE = frozenset(
@@ -36,7 +38,7 @@ _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _SCOPE = frozenset("ul ol dl table article section div body html main aside nav header footer form blockquote td th".split())
 
 _token = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|[^<]+|<""", re.S
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|[^<]+|<""", re.S
 )
 _attribute = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _letters = re.compile(r"[a-z]+")
@@ -76,9 +78,11 @@ class Page:
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
 
-def parse(html: str) -> Page:
+def read_page(html: str, marked: bool = False) -> Page:
     """A forgiving reader: unclosed and stray tags do no harm, scripts and other silent content are skipped.
 
+    What scripts, styles, titles and the like hold is skipped where they begin as elements, not where a comment, an
+    attribute or another such element names them. With ``marked``, ids that begin with ``label-`` are labels of made-up layouts.
     A silent element ends with its own end tag or that of an element it is in. One that is never closed and cannot
     hold blocks ends at the next block, too. Tags in it are followed, so that theirs end nothing outside.
     """
@@ -98,8 +102,8 @@ def parse(html: str) -> Page:
         found = []
         for name, *values in _attribute.findall(attributes):
             value = "".join(values)
-            if name.lower() == "id" and value.startswith("label-"):
-                page.marks.append(f"{len(page.parent)}:{value[6:]}")  # made-up layouts carry their labels
+            if marked and name.lower() == "id" and value.startswith("label-"):
+                page.marks.append(f"{len(page.parent)}:{value[6:]}")
             else:
                 found += [_GROUP[w] for w in _letters.findall(value.lower()) if w in _GROUP]
         page.parent.append(stack[-1] if stack else -1)
@@ -128,8 +132,9 @@ def parse(html: str) -> Page:
             if tags[i] in scope:
                 return
 
-    for m in _token.finditer(html):
-        piece = m.group()
+    at = 0
+    while m := _token.match(html, at):
+        piece, at = m.group(), m.end()
         tag = m.group(2) or m.group(5)
         if tag is None:
             if not silent and piece[:2] not in ("<!", "<?"):
@@ -138,6 +143,11 @@ def parse(html: str) -> Page:
                 linked += len(text) if link else 0
             continue
         tag, ends, attributes = tag.lower(), m.group(1) or m.group(4), m.group(3) or m.group(6) or ""
+        if tag in _RAW and not ends and (tag in _RAW[:2] or not unclosed(tag, at)):
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            at = end.end() if end else len(html)
+            buffer += [] if silent else [" "]
+            continue
         if silent:
             if ends and tag in inner:
                 while inner.pop() != tag:
@@ -190,14 +200,6 @@ def parse(html: str) -> Page:
     return page
 
 
-_raw = re.compile(r"<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-
-
-def read_page(html: str) -> Page:
-    """``parse`` without scripts and styles, whose content may look like tags."""
-    return parse(_raw.sub(" ", html))
-
-
 def features(page: Page) -> np.ndarray:
     """One row per node: tag, attribute tokens of its own and of its ancestors, subtree density, depth, siblings."""
     n, g = len(page.parent), len(TOKENS)
@@ -345,7 +347,7 @@ def made_layout(rng: np.random.Generator) -> str:
 def learn(pages: list[str], layouts: int = LAYOUTS, seed: int = SEED) -> Trees:
     """Boosted trees from made-up layouts and sampled pages; a node weighs the more, the more text it holds."""
     rng, x, y, w = np.random.default_rng(seed), [], [], []
-    made = ((read_page(made_layout(rng)), made_labels) for _ in range(layouts))
+    made = ((read_page(made_layout(rng), marked=True), made_labels) for _ in range(layouts))
     for page, label in [*made, *((read_page(p), silver_labels) for p in pages)]:
         if page.parent:
             rows = features(page)

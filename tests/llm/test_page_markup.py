@@ -50,3 +50,37 @@ def test_unclosed_ordinary_elements_keep_what_follows(tag):
 def test_texts_of_elements_in_an_article_are_read():
     html = "<article><p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><noscript>shown without</noscript><object><p>instead</p></object><button>more</button></article>"
     assert blocks(html) == ["where x=2 holds", "shown without", "instead", "more"]
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<!-- old <script> tag -->",
+        '<a title="use <script> here"></a>',
+        "<style-guide></style-guide>",
+        "<script-loader></script-loader>",
+        "<textarea><script></textarea>",
+        "<textarea></title><!-- </textarea>",
+        "<title><style></title>",
+        "<!-- x --!>",
+        "<!-->",
+        "<!--->",
+        "<script>if (a < b) { document.write('<p>no</p>') } // </style></script >",
+        "<style>p > a { content: '<script>' }</style\n>",
+        "<script/>var x = '<p>';</SCRIPT>",
+        "<svg><title>a</title><style>b</style></svg>",
+        "<iframe><article></iframe>",
+    ],
+)
+def test_scripts_and_the_like_only_where_they_are_elements(before):
+    assert blocks(f"<body>{before}<article>{STORY}</article>") == PARAGRAPHS
+    assert blocks(f"<body><article>{STORY}</article>{before}<p>after</p>") == [*PARAGRAPHS, "after"]
+
+
+def test_unclosed_scripts_reach_the_end():
+    assert blocks(f"<article>{STORY}</article><script>a </style> <p>b</p>") == PARAGRAPHS
+
+
+def test_ids_of_real_pages_keep_their_tokens():
+    page = page_text.read_page('<div id="label-footer"><p>x</p></div>')
+    assert not page.marks and page.groups[0] == (page_text._GROUP["footer"],)

@@ -215,7 +215,7 @@ def test_new_layouts_and_odd_pages(spark):
     trees = page_text.learn([], layouts=400)
     rng, right, kept, wanted = np.random.default_rng(77), 0, 0, 0
     for _ in range(150):
-        page = page_text.read_page(page_text.made_layout(rng))
+        page = page_text.read_page(page_text.made_layout(rng), marked=True)
         labels, found = page_text.made_labels(page), page_text.decode(page.parent, trees.odds(page_text.features(page)))
         right += sum(len(t) for n, t, _ in page.blocks if labels[n] and found[n])
         kept += sum(len(t) for n, t, _ in page.blocks if found[n])
