@@ -7,13 +7,14 @@ of the shape by k, t0, d) and y. All fits of an Arrow batch are stepped at once.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 
-from growthpanel.functions.curves import ASYMMETRY_BOUNDS, CURVES
+from growthpanel.functions.shapes import Arrays
 
 # the step travels to the workers with the job, so they need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -24,10 +25,10 @@ SUMS = [f"s_{COLUMNS[i]}_{COLUMNS[j]}" for i, j in PAIRS]
 SHAPE = ["k", "t0", "d"]
 # what a fit remembers between passes: accepted shape, its error and sums, damping and its growth, predicted decrease
 MEMORY = len(SHAPE) + 4 + len(SUMS)
-RATE_LOW = {name: curve.rate_bounds[0] for name, curve in CURVES.items()}
-RATE_HIGH = {name: curve.rate_bounds[1] for name, curve in CURVES.items()}
-FITS_MIDPOINT = {name: curve.fits_midpoint for name, curve in CURVES.items()}
-FITS_ASYMMETRY = {name: curve.fits_asymmetry for name, curve in CURVES.items()}
+# what each fit is asked with, beside its curve: rows to train on, rows to be scored on, first shape
+ASKED = ["fold", "start", "train_end", "score_from", "score_to", *SHAPE]
+# fold of a fit of the whole series; starts whose errors differ by more than this share disagree
+WHOLE, AGREE = -1, 1e-3
 FIRST_DAMPING, LEAST_DAMPING, MOST_DAMPING = 1e-2, 1e-9, 1e9
 # a step that may go less than this share of its way to a height bound counts as being at the bound
 NEAR_BOUND = 0.1
@@ -125,16 +126,16 @@ def next_shape(gram, shape, damping, absolute, height_range, low, high, may_move
     return trial, predicted
 
 
-def _curve_limits(rows: pd.DataFrame):
-    """Which curves have an absolute height, the height range, and range and freedom of k, t0 and d, per row."""
-    model, n = rows["model"], len(rows)
+def _curve_limits(rows: pd.DataFrame, curve: SimpleNamespace):
+    """Whether heights are absolute, the height range, and range and freedom of k, t0 and d, per row."""
+    n = len(rows)
     top = np.where(rows["ymax"] > 0, rows["ymax"], 1.0)
-    lowest_height = np.where(model == "Exponential", 0.0, top)
-    d_low, d_high = ASYMMETRY_BOUNDS
-    low = np.column_stack([model.map(RATE_LOW), rows["xlo"], np.full(n, d_low)]).astype(float)
-    high = np.column_stack([model.map(RATE_HIGH), rows["xhi"], np.full(n, d_high)]).astype(float)
-    may_move = np.column_stack([np.ones(n, bool), model.map(FITS_MIDPOINT), model.map(FITS_ASYMMETRY)]).astype(bool)
-    return (model == "Gompertz").to_numpy(), (lowest_height, 2.0 * top), low, high, may_move
+    (k_low, k_high), (d_low, d_high) = curve.rate_bounds, curve.asymmetry_bounds
+    low = np.column_stack([np.full(n, k_low), rows["xlo"], np.full(n, d_low)]).astype(float)
+    high = np.column_stack([np.full(n, k_high), rows["xhi"], np.full(n, d_high)]).astype(float)
+    may_move = np.tile([True, curve.fits_midpoint, curve.fits_asymmetry], (n, 1))
+    least, most = curve.height_bounds
+    return np.full(n, curve.absolute), (least * top, most * top), low, high, may_move
 
 
 def advance(trial, best, sums, limits, tolerance):
@@ -165,18 +166,10 @@ def advance(trial, best, sums, limits, tolerance):
     return proposed, memory, done, settled | still
 
 
-def _shape_columns(model: str, x, k, t0, d):
+def _shape_columns(curve: SimpleNamespace, x, k, t0, d):
     """Shape and its derivatives by k, t0 and d for several trial shapes (rows) at all points (columns)."""
-    e = np.exp(np.clip(-k * (x - t0), -340.0, 340.0))
-    if model == "Exponential":
-        return 1.0 / e, x / e, np.zeros_like(e), np.zeros_like(e)
-    if model == "Gompertz":
-        u = np.exp(-e)
-        return u, u * e * (x - t0), -u * e * k, np.zeros_like(e)
-    log_part = np.log1p(e)
-    u = np.exp(-log_part / d)
-    slope = u / d * (e / (1.0 + e))
-    return u, slope * (x - t0), -slope * k, u * log_part / (d * d) if model == "Richards" else np.zeros_like(e)
+    u = curve.shape(Arrays, x, k, t0, d)
+    return u, *(np.broadcast_to(slope, u.shape) for slope in curve.slopes(Arrays, x, k, t0, d))
 
 
 def _slices(trained):
@@ -185,45 +178,140 @@ def _slices(trained):
         yield slice(begin, begin + SLICE), np.flatnonzero(trained > begin)
 
 
-def _weekly_sums(model: str, x, y, weight, trained, shape):
+def _weekly_sums(curve: SimpleNamespace, x, y, weight, trained, shape):
     sums = np.zeros((len(shape), len(PAIRS)))
     for part, some in _slices(trained):
-        u, d1, d2, d3 = _shape_columns(model, x[some, part], *(shape[some][:, [i]] for i in range(3)))
+        u, d1, d2, d3 = _shape_columns(curve, x[some, part], *(shape[some][:, [i]] for i in range(3)))
         columns = np.stack([np.ones_like(u), u, d1, d2, d3, y[some, part]], axis=1)
         gram = np.matmul(columns * weight[some, None, part], columns.transpose(0, 2, 1))
         sums[some] += np.column_stack([gram[:, i, j] for i, j in PAIRS])
     return sums
 
 
-def _squared_error(model: str, x, y, weight, trained, shape, alpha, beta):
+def _squared_error(curve: SimpleNamespace, x, y, weight, trained, shape, alpha, beta):
     """From the residuals themselves, not from differences of large sums."""
     total = np.zeros(len(shape))
     for part, some in _slices(trained):
-        u = _shape_columns(model, x[some, part], *(shape[some][:, [i]] for i in range(3)))[0]
+        u = _shape_columns(curve, x[some, part], *(shape[some][:, [i]] for i in range(3)))[0]
         rest = (y[some, part] - alpha[some, None] - beta[some, None] * u) * weight[some, part]
         total[some] += (rest * rest).sum(1)
     return total
 
 
-def fit_groups(batches: Iterator[pd.DataFrame], tolerance: float, max_passes: int) -> Iterator[pd.DataFrame]:
-    """All passes for one series and curve per row: its weeks (x, y) and the fits asked for.
+def _scores(curve: SimpleNamespace, fits: pd.DataFrame, series, shape, alpha, beta) -> np.ndarray:
+    """R2 of each fit on the rows that choose between starts; NaN where they are fewer than two, or a value is not finite."""
+    out = np.full(len(fits), np.nan)
+    for i, (begin, end) in enumerate(zip(fits["score_from"], fits["score_to"])):
+        x, y = (values[begin:end] for values in series[i])
+        if len(y) < 2:
+            continue
+        rest = y - (alpha[i] + beta[i] * curve.shape(Arrays, x, *shape[i]))
+        left, total = float(rest @ rest), float(((y - y.mean()) ** 2).sum())
+        out[i] = 1.0 - left / total if total > 0 else float(left == 0) if np.isfinite(left) else np.nan
+    return out
+
 
-    Fits of a batch run side by side in blocks of one curve, so that a pass costs a few array operations per block.
+def grid_shape(curve: SimpleNamespace, x, y, row, points: int, rounds: int) -> tuple[np.ndarray, float]:
+    """The shape with the least error on a grid that is zoomed in ``rounds`` times, and that error.
+
+    Rates and asymmetries are spread evenly by their logarithm, midpoints evenly, ``points`` each from bound to bound; a round
+    reaches one step of the last one to either side of its best. Height and offset of a candidate follow in closed form
+    from sums over the training rows. Of equal errors the first wins.
+    """
+    absolute, heights, low, high, may_move = _curve_limits(row, curve)
+    into, back = (np.log, lambda v: v, np.log), (np.exp, lambda v: v, np.exp)
+    axes = [i for i in range(3) if may_move[0, i]]
+    low, high = (np.array([into[i](side[0, i]) if i in axes else 0.0 for i in range(3)]) for side in (low, high))
+    begin, end, best = low.copy(), high.copy(), None
+    cyy = y @ y
+    for _ in range(rounds):
+        lines = [np.linspace(begin[i], end[i], points) if i in axes else row[SHAPE[i]].to_numpy(float)[:1] for i in range(3)]
+        grid = np.stack(np.meshgrid(*lines, indexing="ij"), -1).reshape(-1, 3)
+        errors, step = [], max(1, CELLS // max(1, len(x)))
+        for at in range(0, len(grid), step):
+            some = [back[i](grid[at : at + step, i]) if i in axes else grid[at : at + step, i] for i in range(3)]
+            u = curve.shape(Arrays, x[None, :], *(v[:, None] for v in some))
+            gram = np.zeros((len(u), 6, 6))
+            gram[:, 0, 0], gram[:, 0, 1], gram[:, 1, 1] = len(x), u.sum(1), (u * u).sum(1)
+            gram[:, 0, 5], gram[:, 1, 5], gram[:, 5, 5] = y.sum(), u @ y, cyy
+            errors.append(linear_pair(gram, np.repeat(absolute, len(u)), *(np.repeat(h, len(u)) for h in heights))[-1])
+        error = np.nan_to_num(np.concatenate(errors), nan=np.inf)
+        top = int(error.argmin())
+        if best is None or error[top] < best[1]:
+            best = np.array([back[i](grid[top, i]) if i in axes else grid[top, i] for i in range(3)]), float(error[top])
+        width = (end - begin) / (points - 1)
+        begin, end = np.maximum(low, grid[top] - width), np.minimum(high, grid[top] + width)
+    return best
+
+
+def _seeded(curve, fits: pd.DataFrame, series, found: pd.DataFrame, points: int, rounds: int):
+    """For groups of starts that did not converge or disagree: one more fit, from the best shape of a grid."""
+    first = found.groupby(["owner", "fold"])
+    least, most = first["error"].transform("min"), first["error"].transform("max")
+    doubtful = ~first["converged"].transform("all") | ~(most - least <= AGREE * least)
+    lead = found[doubtful & ~found.duplicated(["owner", "fold"])]
+    if not rounds or not len(lead):
+        return fits.iloc[:0]
+    asked = fits.loc[lead.index].copy()
+    asked["start"] = found.groupby(["owner", "fold"])["start"].transform("max").loc[lead.index] + 1
+    shapes = []
+    for at in lead.index:
+        x, y = (values[: int(fits.loc[at, "train_end"])] for values in series[at])
+        shapes.append(grid_shape(curve, x, y, fits.loc[[at]], points, rounds)[0])
+    asked[SHAPE] = np.array(shapes)
+    return asked
+
+
+def fit_groups(
+    batches: Iterator[pd.DataFrame], curves: Mapping[str, SimpleNamespace], tolerance: float, max_passes: int, points: int = 9, rounds: int = 0
+) -> Iterator[pd.DataFrame]:
+    """All passes for one series and curve per row: its weeks (x, y) and, in arrays, the fits asked for.
+
+    Fits of a batch run side by side in blocks of one curve, so that a pass costs a few array operations per block. Where the
+    starts of a fold, or the one of a whole series, did not converge or disagree, a zoomed grid gives one more start; of a
+    whole series the better one stays.
     """
     for rows in batches:
         if not len(rows):
             continue
         weeks_of = rows[["x", "y"]].to_numpy()
-        facts = rows.drop(columns=["x", "y", "fits"])
-        counts = rows["fits"].map(len).to_numpy()
-        owner = np.repeat(np.arange(len(rows)), counts)
-        asked = pd.DataFrame([fit for fits in rows["fits"] for fit in fits])
+        facts = rows.drop(columns=["x", "y", *ASKED])
+        owner = np.repeat(np.arange(len(rows)), rows["fold"].map(len).to_numpy())
+        asked = pd.DataFrame({c: np.concatenate(rows[c].to_numpy()) for c in ASKED})
         flat = facts.iloc[owner].reset_index(drop=True).join(asked)
-        for _, same_curve in flat.groupby("model", sort=False):
-            for block in _blocks(same_curve):
-                series = [weeks_of[i] for i in owner[block.index.to_numpy()]]
-                with np.errstate(all="ignore"):
-                    yield _fit_block(block.reset_index(drop=True), series, tolerance, max_passes)
+        for name, same_curve in flat.groupby("model", sort=False):
+            curve, series = curves[name], {i: weeks_of[owner[i]] for i in same_curve.index}
+            with np.errstate(all="ignore"):
+                done = [_fit_block(curve, block, [series[i] for i in block.index], tolerance, max_passes) for block in _blocks(same_curve)]
+                found = pd.concat(done)
+                brief = found[["fold", "start", "converged"]].assign(owner=owner[found.index], error=found["memory"].map(lambda m: m[3]))
+                more = _seeded(curve, same_curve, series, brief, points, rounds)
+                if len(more):
+                    again = [_fit_block(curve, block, [series[i] for i in block.index], tolerance, max_passes) for block in _blocks(more)]
+                    found = _with_seeded(found, pd.concat(again))
+            yield found
+
+
+def grid_groups(batches: Iterator[pd.DataFrame], curves: Mapping[str, SimpleNamespace], points: int, rounds: int) -> Iterator[pd.DataFrame]:
+    """The best shape on a zoomed grid for one series and curve per row."""
+    for rows in batches:
+        best = []
+        with np.errstate(all="ignore"):
+            for i in range(len(rows)):
+                row = rows.iloc[[i]]
+                best.append(grid_shape(curves[row["model"].iloc[0]], row["x"].iloc[0], row["y"].iloc[0], row, points, rounds))
+        out = rows.drop(columns=["x", "y"])
+        out[SHAPE] = np.array([shape for shape, _ in best]).reshape(-1, 3)
+        yield out.assign(sse=[sse for _, sse in best])
+
+
+def _with_seeded(found: pd.DataFrame, again: pd.DataFrame) -> pd.DataFrame:
+    """Fits from a grid beside the others of their fold; of a whole series the one that converged, or has less error, stays."""
+    whole = again["fold"] == WHOLE
+    rank = lambda fits: [(not c, m[3]) for c, m in zip(fits["converged"], fits["memory"])]
+    better = [new < old for new, old in zip(rank(again[whole]), rank(found.loc[again[whole].index]))]
+    chosen = again[whole][better].assign(start=0)
+    return pd.concat([found.drop(index=chosen.index), chosen, again[~whole]])
 
 
 def _blocks(fits: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -244,20 +332,20 @@ def _padded(arrays, width: int) -> np.ndarray:
     return table
 
 
-def _fit_block(fits: pd.DataFrame, series, tolerance: float, max_passes: int) -> pd.DataFrame:
+def _fit_block(curve: SimpleNamespace, fits: pd.DataFrame, series, tolerance: float, max_passes: int) -> pd.DataFrame:
     """Fits of one curve, each with the (x, y) of its series; only training rows have weight."""
     trained = fits["train_end"].to_numpy()
     width = -(-int(trained.max()) // SLICE) * SLICE
     x, y = (_padded([pair[i] for pair in series], width) for i in range(2))
     weight = (np.arange(width)[None, :] < trained[:, None]).astype(float)
     x, y = x * weight, y * weight
-    count, model, limits = len(fits), fits["model"].iloc[0], _curve_limits(fits)
+    count, limits = len(fits), _curve_limits(fits, curve)
     trial, best = fits[SHAPE].to_numpy(float), np.tile(fresh_memory(), (count, 1))
     passes, converged, moving = np.zeros(count, int), np.zeros(count, bool), np.arange(count)
     for _ in range(max_passes):
         absolute, (low_height, high_height), low, high, may_move = limits
         part = (absolute[moving], (low_height[moving], high_height[moving]), low[moving], high[moving], may_move[moving])
-        sums = _weekly_sums(model, x[moving], y[moving], weight[moving], trained[moving], trial[moving])
+        sums = _weekly_sums(curve, x[moving], y[moving], weight[moving], trained[moving], trial[moving])
         trial[moving], best[moving], done, settled = advance(trial[moving], best[moving], sums, part, tolerance)
         passes[moving] += 1
         converged[moving] = settled
@@ -266,6 +354,7 @@ def _fit_block(fits: pd.DataFrame, series, tolerance: float, max_passes: int) ->
             break
     alpha, beta, *_ = linear_pair(np.nan_to_num(_products(best[:, 7:])), limits[0], *limits[1])
     fine = np.isfinite(best[:, 3])
-    best[fine, 3] = _squared_error(model, x, y, weight, trained, best[:, :3], alpha, beta)[fine]
+    best[fine, 3] = _squared_error(curve, x, y, weight, trained, best[:, :3], alpha, beta)[fine]
     done = ~np.isin(np.arange(count), moving)
-    return fits.assign(memory=list(best), alpha=alpha, beta=beta, passes=passes, done=done, converged=converged)
+    score = _scores(curve, fits, series, best[:, :3], alpha, beta)
+    return fits.assign(memory=list(best), alpha=alpha, beta=beta, passes=passes, done=done, converged=converged, score=score)

@@ -13,7 +13,11 @@ from growthpanel.functions.columns import with_keys
 from growthpanel.operators.predictions import USABLE
 
 TIME_FEATURES = ["time_norm", "time_norm_sin", "time_norm_cos"]
-FEATURES = [*C.CURVE_NAMES, *TIME_FEATURES]
+
+
+def feature_names() -> list[str]:
+    """The curves in fit order, then the time features."""
+    return [*C.CURVE_NAMES, *TIME_FEATURES]
 
 
 def time_context(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -40,7 +44,7 @@ def time_features(rows: DataFrame, context: DataFrame, keys: Sequence[str] = ())
 def curve_features(rows: DataFrame, params: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One column per curve, NULL where the series lacks that curve.
 
-    The parameters are pivoted, at most four per series, so the weekly rows are never multiplied.
+    The parameters are pivoted, one per curve, so the weekly rows are never multiplied.
     """
     rows, keys = with_keys(rows, keys)
     wide = params.where(USABLE).groupBy(*keys).pivot("model", C.CURVE_NAMES).agg(F.first("params"))
@@ -54,9 +58,10 @@ def make_features(rows: DataFrame, params: DataFrame, context: DataFrame, keys:
     return time_features(curve_features(rows, params, keys), context, keys)
 
 
-def fit_scaler(features: DataFrame, keys: Sequence[str] = (), names: Sequence[str] = FEATURES) -> DataFrame:
+def fit_scaler(features: DataFrame, keys: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
     """Mean and population standard deviation of each feature per series; a constant feature is divided by 1."""
     features, keys = with_keys(features, keys)
+    names = names or feature_names()
     spread = {n: F.stddev_pop(n) for n in names}
     return features.groupBy(*keys).agg(
         *[F.avg(n).alias(f"{n}_mean") for n in names],
@@ -64,8 +69,9 @@ def fit_scaler(features: DataFrame, keys: Sequence[str] = (), names: Sequence[st
     )
 
 
-def scale(features: DataFrame, scaler: DataFrame, keys: Sequence[str] = (), names: Sequence[str] = FEATURES) -> DataFrame:
+def scale(features: DataFrame, scaler: DataFrame, keys: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
     features, keys = with_keys(features, keys)
+    names = names or feature_names()
     scaled = {n: (F.col(n) - F.col(f"{n}_mean")) / F.col(f"{n}_scale") for n in names}
     used = [c for n in names for c in (f"{n}_mean", f"{n}_scale")]
     return features.join(scaler.select(*keys, *used), keys, "left").withColumns(scaled).drop(*used)

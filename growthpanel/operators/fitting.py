@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from growthpanel.functions import curves as C
 from growthpanel.functions.columns import check_key_names, clip, with_keys
 from growthpanel.functions.noise import repeatable_normal
-from growthpanel.functions.step import SHAPE, fit_groups, fresh_memory
-from growthpanel.operators import metrics
+from growthpanel.functions.step import ASKED, SHAPE, fit_groups, fresh_memory, grid_groups
 from growthpanel.operators.folds import FULL
 
 FIT_ID = ["model", "fold", "start"]
@@ -32,13 +31,17 @@ FIT_ID = ["model", "fold", "start"]
 
 @dataclass(frozen=True)
 class FitOptions:
-    models: tuple[str, ...] = tuple(C.CURVE_NAMES)
+    """``models``: names of curves, None for all known ones. ``grid_rounds`` of a grid of ``grid_points`` a side seed one more start where starts fail or disagree; 0: none."""
+
+    models: tuple[str, ...] | None = None
     starts: int = 5
     max_passes: int = 200
     tolerance: float = 1e-8
     final_tolerance: float = 1e-9
     seed: int = 42
     select_on: str = "test"
+    grid_points: int = 9
+    grid_rounds: int = 3
 
 
 @dataclass(frozen=True)
@@ -93,26 +96,24 @@ def series_facts(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def start_values(points: DataFrame, keys: Sequence[str], models: Sequence[str] = C.CURVE_NAMES) -> DataFrame:
+def start_values(points: DataFrame, keys: Sequence[str], models: Sequence[str] | None = None) -> DataFrame:
     """Start parameters and bounds per series and curve; fixed fall-backs when the maximum is not positive."""
     positive = F.col("ymax") > 0
     top = F.when(positive, F.col("ymax")).otherwise(F.lit(1.0))
     infinity = F.lit(float("inf"))
-    d_low, d_high = (F.lit(v) for v in C.ASYMMETRY_BOUNDS)
     rows = []
-    for name in models:
+    for name in models or C.CURVE_NAMES:
         curve = C.CURVES[name]
-        rate = (F.lit(curve.start_rate), *(F.lit(v) for v in curve.rate_bounds))
-        if curve is C.EXPONENTIAL:
-            height = (F.when(positive, F.col("ymax") / 2.0).otherwise(F.lit(1.0)), F.lit(0.0), top * 2.0)
-        else:
-            height = (top * 1.2, top, top * 2.0)
-        triples = [height, rate]
-        if curve.fits_midpoint:
-            triples.append((F.col("xmid"), F.col("xlo"), F.col("xhi")))
-        if curve.fits_asymmetry:
-            triples.append((F.lit(1.0), d_low, d_high))
-        triples.append((F.col("ymin"), -infinity, infinity))
+        least, most = curve.height_bounds
+        first = F.when(positive, F.col("ymax") * curve.start_height).otherwise(F.lit(curve.spare_height))
+        of = {
+            "height": (first, top * least, top * most),
+            "rate": (F.lit(curve.start_rate), *(F.lit(v) for v in curve.rate_bounds)),
+            "midpoint": (F.col("xmid"), F.col("xlo"), F.col("xhi")),
+            "asymmetry": (F.lit(1.0), *(F.lit(v) for v in curve.asymmetry_bounds)),
+            "offset": (F.col("ymin"), -infinity, infinity),
+        }
+        triples = [of[role] for role in curve.roles]
         rows.append(
             F.struct(
                 F.lit(name).alias("model"),
@@ -127,7 +128,7 @@ def start_values(points: DataFrame, keys: Sequence[str], models: Sequence[str] =
 
 # --- one pass -------------------------------------------------------------------------------------------------------
 
-_FACTS = ["train_end", "ymax", "xlo", "xhi"]
+_FACTS = ["ymax", "xlo", "xhi"]
 
 
 def _shape_bounds() -> dict[str, tuple[Column, Column]]:
@@ -135,7 +136,7 @@ def _shape_bounds() -> dict[str, tuple[Column, Column]]:
     return {
         "k": (C.by_curve(model, lambda c: c.rate_bounds[0]), C.by_curve(model, lambda c: c.rate_bounds[1])),
         "t0": (F.col("xlo"), F.col("xhi")),
-        "d": (F.lit(C.ASYMMETRY_BOUNDS[0]), F.lit(C.ASYMMETRY_BOUNDS[1])),
+        "d": (C.by_curve(model, lambda c: c.asymmetry_bounds[0]), C.by_curve(model, lambda c: c.asymmetry_bounds[1])),
     }
 
 
@@ -143,45 +144,68 @@ def _begin(tasks: DataFrame, keys: list[str]) -> DataFrame:
     """Fresh state for tasks: keys, model, fold, start, facts and the first shape."""
     return tasks.select(
         *keys,
-        *FIT_ID,
+        "model",
         *_FACTS,
-        *SHAPE,
+        *ASKED,
         F.lit(0.0).alias("alpha"),
         F.lit(0.0).alias("beta"),
         F.array(*[F.lit(v) for v in fresh_memory()]).alias("memory"),
         F.lit(0).alias("passes"),
         F.lit(False).alias("done"),
         F.lit(False).alias("converged"),
+        F.lit(None).cast("double").alias("score"),
     )
 
 
-def _fit(points: Points, tasks: DataFrame, max_passes: int, tolerance: float) -> DataFrame:
-    """All passes of one series and curve in one task."""
+def _weeks(points: Points) -> DataFrame:
+    """One row per series: x and y in the order of the weeks."""
+    rows = points.df.groupBy(*points.keys).agg(F.sort_array(F.collect_list(F.struct("pos", "x", "y"))).alias("weeks"))
+    return rows.select(*points.keys, F.col("weeks.x").alias("x"), F.col("weeks.y").alias("y"))
+
+
+def grid_seeds(points: Points, models: Sequence[str] | None = None, grid_points: int = 9, grid_rounds: int = 3) -> DataFrame:
+    """(keys, model, k, t0, d, sse): of each whole series and curve the best shape on a grid that is zoomed in.
+
+    The grid runs over the bounds of rate, midpoint and asymmetry; height and offset follow in closed form.
+    """
+    if grid_points < 3 or grid_rounds < 1:
+        raise ValueError("a grid needs three points a side and a round")
     keys = points.keys
-    weeks = (
-        points.df.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "x", "y"))).alias("weeks"))
-        .select(*keys, F.col("weeks.x").alias("x"), F.col("weeks.y").alias("y"))
-    )
-    asked = F.collect_list(F.struct("fold", "start", "train_end", *SHAPE)).alias("fits")
-    groups = tasks.groupBy(*keys, "model", "ymax", "xlo", "xhi").agg(asked).join(weeks, keys)
+    starts = start_values(points.df, keys, models).withColumns(_shape_of("start_params")).select(*keys, "model", *_FACTS, *SHAPE)
+    curves = {name: curve.for_workers() for name, curve in C.CURVES.items()}
+    best = partial(grid_groups, curves=curves, points=grid_points, rounds=grid_rounds)
+    groups = starts.join(_weeks(points), keys)
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = starts.withColumn("sse", F.lit(0.0)).schema
+    return groups.repartition(parts, F.xxhash64(*keys, "model")).mapInPandas(best, schema).drop(*_FACTS)
+
+
+def _fit(points: Points, tasks: DataFrame, max_passes: int, tolerance: float, grid: tuple[int, int] = (9, 0)) -> DataFrame:
+    """All passes of one series and curve in one task."""
+    keys, weeks = points.keys, _weeks(points)
+    if "score_from" not in tasks.columns:
+        tasks = tasks.withColumns({"score_from": F.lit(0), "score_to": F.lit(0)})
+    asked = F.sort_array(F.collect_list(F.struct(*ASKED))).alias("fits")
+    groups = tasks.groupBy(*keys, "model", *_FACTS).agg(asked).join(weeks, keys)
+    groups = groups.select(*keys, "model", *_FACTS, *[F.col(f"fits.{c}").alias(c) for c in ASKED], "x", "y")
     # few bytes but much work: spread over all partitions, by an expression that no earlier partitioning can stand in for
     parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = groups.repartition(parts, F.xxhash64(*keys, "model"))
-    solve = partial(fit_groups, tolerance=tolerance, max_passes=max_passes)
+    curves = {name: curve.for_workers() for name, curve in C.CURVES.items()}
+    solve = partial(fit_groups, curves=curves, tolerance=tolerance, max_passes=max_passes, points=grid[0], rounds=grid[1])
     return groups.mapInPandas(solve, schema=_begin(tasks, keys).schema)
 
 
 def _iterate(points: Points, tasks: DataFrame, options: FitOptions, tolerance: float) -> DataFrame:
     """Run the fits asked for; one row per fit with its parameters. One that hits the limit of passes has not converged."""
-    fitted = _fitted(points, tasks, options.max_passes, tolerance)
+    fitted = _fitted(points, tasks, options.max_passes, tolerance, (options.grid_points, options.grid_rounds))
     stopped = ~F.col("done") & (F.col("status") == "ok")
     return fitted.withColumn("status", F.when(stopped, F.lit("not_converged")).otherwise(F.col("status"))).drop("done")
 
 
-def _fitted(points: Points, tasks: DataFrame, max_passes: int, tolerance: float) -> DataFrame:
+def _fitted(points: Points, tasks: DataFrame, max_passes: int, tolerance: float, grid: tuple[int, int] = (9, 0)) -> DataFrame:
     ensure_checkpoint_dir(tasks.sparkSession)
-    fitted = _fit(points, tasks, max_passes, tolerance).checkpoint()
+    fitted = _fit(points, tasks, max_passes, tolerance, grid).checkpoint()
     sse = F.get("memory", F.lit(len(SHAPE)))
     ok = ~F.isnan(sse) & (sse < float("inf"))
     return fitted.select(
@@ -192,6 +216,7 @@ def _fitted(points: Points, tasks: DataFrame, max_passes: int, tolerance: float)
         "converged",
         "passes",
         "done",
+        F.when(~F.isnan("score"), F.col("score")).alias("score"),
         F.when(ok, F.lit("ok")).otherwise(F.lit("failed")).alias("status"),
     )
 
@@ -210,24 +235,25 @@ def linear_pairs(points: Points, shapes: DataFrame) -> DataFrame:
 def _public_params() -> Column:
     """Accepted shape and its linear pair in each curve's own parameter order."""
     k, t0, d = (F.get("memory", F.lit(i)) for i in range(len(SHAPE)))
-    alpha, beta, model = F.col("alpha"), F.col("beta"), F.col("model")
-    return (
-        F.when(model == "Exponential", F.array(beta, k, alpha))
-        .when(model == "Logistic", F.array(beta, k, t0, alpha))
-        .when(model == "Richards", F.array(beta, k, t0, d, alpha))
-        .when(model == "Gompertz", F.array(alpha + beta, k, t0, alpha))
-    )
+    alpha, beta = F.col("alpha"), F.col("beta")
+
+    def ordered(curve: C.Curve) -> Column:
+        of = {"height": alpha + beta if curve.absolute else beta, "rate": k, "midpoint": t0, "asymmetry": d, "offset": alpha}
+        return F.array(*[of[role] for role in curve.roles])
+
+    return C.by_curve(F.col("model"), ordered)
 
 
 def _shape_of(params: str) -> dict[str, Column]:
-    """k, t0, d out of a parameter array; the exponential has t0 = 0 and d = 1."""
-    has_midpoint = C.by_curve(F.col("model"), lambda c: c.fits_midpoint)
-    has_asymmetry = C.by_curve(F.col("model"), lambda c: c.fits_asymmetry)
-    return {
-        "k": F.get(params, F.lit(1)),
-        "t0": F.when(has_midpoint, F.get(params, F.lit(2))).otherwise(F.lit(0.0)),
-        "d": F.when(has_asymmetry, F.get(params, F.lit(3))).otherwise(F.lit(1.0)),
-    }
+    """k, t0, d out of a parameter array; without a midpoint t0 = 0, without an asymmetry d = 1."""
+
+    def taken(role: str, otherwise: float) -> Column:
+        def value(curve: C.Curve) -> Column:
+            return F.lit(otherwise) if curve.place(role) is None else F.get(params, F.lit(curve.place(role)))
+
+        return C.by_curve(F.col("model"), value)
+
+    return {"k": taken("rate", 0.0), "t0": taken("midpoint", 0.0), "d": taken("asymmetry", 1.0)}
 
 
 # --- the whole procedure ----------------------------------------------------------------------------------------------
@@ -249,25 +275,14 @@ def _perturbed(keys: list[str], seed: int) -> dict[str, Column]:
     return moved
 
 
-def start_scores(points: Points, fits: DataFrame, folds: DataFrame, select_on: str) -> DataFrame:
-    """R2 of every start on the rows that choose between starts."""
-    keys = points.keys
-    rows = "pos >= test_start AND pos < test_end" if select_on == "test" else "pos < train_end"
-    ranged = fits.join(folds.select(*keys, "fold", "train_end", "test_start", "test_end"), [*keys, "fold"])
-    pairs = ranged.join(points.df, keys).where(rows)
-    pred = C.evaluate_by_name(F.col("model"), F.col("x"), F.col("params"))
-    scored = pairs.select(*keys, *FIT_ID, "y", pred.alias("pred"))
-    return metrics.score(scored, [*keys, *FIT_ID]).select(*keys, *FIT_ID, F.col("r2").alias("score"))
-
-
 def enough_rows(tasks: DataFrame) -> Column:
     """A fold with fewer training rows than the curve has parameters is skipped."""
     return F.col("train_end") >= C.by_curve(F.col("model"), lambda c: len(c.parameters))
 
 
-def fold_status(folds: DataFrame, keys: Sequence[str], models: Sequence[str] = C.CURVE_NAMES) -> DataFrame:
+def fold_status(folds: DataFrame, keys: Sequence[str], models: Sequence[str] | None = None) -> DataFrame:
     """Which curves each fold can fit: status ok or skipped."""
-    each = folds.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    each = folds.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models or C.CURVE_NAMES])))
     status = F.when(enough_rows(each), F.lit("ok")).otherwise(F.lit("skipped"))
     return each.select(*keys, "model", "fold", "train_end", status.alias("status"))
 
@@ -314,17 +329,18 @@ def fit_curves(
     if folds is None:
         return Fits(_final_rows(initial, keys, "initial_params"), initial, keys)
 
+    # a start is scored where it is fitted, on the rows that choose between starts
+    names = ("test_start", "test_end") if options.select_on == "test" else (F.lit(0), "train_end")
+    scored_rows = [(F.col(c) if isinstance(c, str) else c).cast("int").alias(a) for c, a in zip(names, ("score_from", "score_to"))]
     per_fold = initial.select(*keys, "model", "n", "ymax", "xlo", "xhi", "initial_params").join(
-        folds.select(*keys, "fold", "train_end"), keys
+        folds.select(*keys, "fold", "train_end", *scored_rows), keys
     )
     enough = enough_rows(per_fold)
     seeds = F.explode(F.sequence(F.lit(0), F.lit(options.starts - 1)))
     tasks = per_fold.where(enough).withColumn("start", seeds).withColumns(_shape_of("initial_params"))
     fits = _iterate(points, tasks.withColumns(_perturbed(keys, options.seed)), options, options.tolerance)
 
-    scored = fits.where(F.col("status") == "ok").join(
-        start_scores(points, fits, folds, options.select_on), [*keys, *FIT_ID]
-    )
+    scored = fits.where(F.col("status") == "ok")
     order = F.struct("score", -F.col("start"))
     winners = (
         scored.where(F.col("score").isNotNull())

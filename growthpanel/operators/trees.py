@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from growthpanel.functions import curves as C
 from growthpanel.functions.columns import with_keys
 from growthpanel.operators.averaging import combine, components
-from growthpanel.operators.features import FEATURES, fit_scaler, make_features, scale, time_context
+from growthpanel.operators.features import feature_names, fit_scaler, make_features, scale, time_context
 from growthpanel.operators.fitting import ensure_checkpoint_dir
 from growthpanel.operators.folds import fold_rows
 from growthpanel.operators.metrics import fold_summary, score
@@ -77,7 +77,7 @@ def target_scale(target: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def _labelled(rows: DataFrame, scales: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.join(scales, keys).withColumn("label", F.col("y") / F.col("target_scale")).dropna(subset=[*FEATURES, "label"])
+    return rows.join(scales, keys).withColumn("label", F.col("y") / F.col("target_scale")).dropna(subset=[*feature_names(), "label"])
 
 
 def fold_features(target: DataFrame, folds: DataFrame, params: DataFrame, fold: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -102,7 +102,7 @@ def tree_cv_metrics(
     target, keys = with_keys(target, keys)
     ensure_checkpoint_dir(target.sparkSession)
     scales = target_scale(target, keys).checkpoint()
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    assembler = VectorAssembler(inputCols=feature_names(), outputCol="features")
     scored = []
     for (fold,) in folds.select("fold").distinct().orderBy("fold").collect():  # as many rows as there are splits
         rows = _labelled(fold_features(target, folds, params, fold, keys), scales, keys)
@@ -158,7 +158,7 @@ def train_trees(
         grid = options.forest_grid if name == FOREST else options.boosting_grid
         base = _regressor(name, grid["trees"][0], grid["depth"][0], options)
         size = base.numTrees if name == FOREST else base.maxIter
-        pipeline = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), base])
+        pipeline = Pipeline(stages=[VectorAssembler(inputCols=feature_names(), outputCol="features"), base])
         choices = ParamGridBuilder().addGrid(size, grid["trees"]).addGrid(base.maxDepth, grid["depth"]).build()
         if len(choices) == 1:
             model = pipeline.fit(rows)
@@ -187,9 +187,9 @@ def tree_predictions(rows: DataFrame, ensemble: TreeEnsemble) -> DataFrame:
     keys = ensemble.keys
     features = make_features(rows, ensemble.params, ensemble.context, keys)
     scaled = scale(features, ensemble.scaler, keys).join(ensemble.target_scale, keys, "left")
-    complete = reduce(and_, (F.col(f"`{c}`").isNotNull() for c in [*FEATURES, "target_scale"]))
+    complete = reduce(and_, (F.col(f"`{c}`").isNotNull() for c in [*feature_names(), "target_scale"]))
     whole = scaled.withColumn("tree_status", F.when(complete, F.lit("ok")).otherwise(F.lit("missing_curve")))
-    predicted = ensemble.pipeline.transform(whole.na.fill(0.0, subset=FEATURES))
+    predicted = ensemble.pipeline.transform(whole.na.fill(0.0, subset=feature_names()))
     value = F.when(F.col("tree_status") == "ok", F.col("prediction") * F.col("target_scale"))
     return predicted.select(*rows.columns, F.lit(ensemble.name).alias("model"), value.alias("pred"), "tree_status")
 
@@ -199,7 +199,7 @@ def importances(spark: SparkSession, ensembles: dict[str, TreeEnsemble]) -> Data
     rows = [
         (name, feature, float(value))
         for name, e in ensembles.items()
-        for feature, value in zip(FEATURES, e.pipeline.stages[-1].featureImportances.toArray())
+        for feature, value in zip(feature_names(), e.pipeline.stages[-1].featureImportances.toArray())
     ]
     return spark.createDataFrame(rows, "model string, feature string, importance double")
 

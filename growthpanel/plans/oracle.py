@@ -305,16 +305,23 @@ ORACLE["f1_start_values"] = _WITH + f"""SELECT {_K}, model, CAST(position AS INT
   UNION ALL SELECT k, m, unnest([0, 1, 2, 3]), unnest([1.2 * ymax, 0.01, xmid, ymin]), unnest([ymax, 0.001, xlo, NULL]), unnest([2 * ymax, 0.1, xhi, NULL]) FROM facts CROSS JOIN (VALUES ('Logistic'), ('Gompertz')) AS t(m)
   UNION ALL SELECT k, 'Richards', unnest([0, 1, 2, 3, 4]), unnest([1.2 * ymax, 0.01, xmid, 1, ymin]), unnest([ymax, 0.001, xlo, 0.1, NULL]), unnest([2 * ymax, 0.1, xhi, 10, NULL]) FROM facts)"""
 
-# least error of an exponential by a search over the rate, coarse then fine
-ORACLE["f7_exponential_optimum"] = _WITH.rstrip() + f""",
+
+def _rate_search(shape: str, columns: str = "") -> str:
+    """Root mean squared error of the best of many rates for a shape of b and x without a midpoint."""
+    u = f"({shape})"
+    return _WITH.rstrip() + f""",
 coarse_rates AS (SELECT exp(ln(0.0001) + i * (ln(0.1) - ln(0.0001)) / 1500) AS b FROM (SELECT unnest(range(0, 1501)) AS i)),
-coarse AS (SELECT k, b, ymax, COUNT(*) AS n, SUM(exp(b * x)) AS su, SUM(exp(2 * b * x)) AS suu, SUM(y) AS sy, SUM(exp(b * x) * y) AS suy, REGR_SYY(y, y) AS cyy FROM flag_target JOIN facts f USING (k) CROSS JOIN coarse_rates GROUP BY k, b, ymax),
+coarse AS (SELECT k, b, ymax, COUNT(*) AS n, SUM({u}) AS su, SUM({u} * {u}) AS suu, SUM(y) AS sy, SUM({u} * y) AS suy, REGR_SYY(y, y) AS cyy FROM flag_target JOIN facts f USING (k) CROSS JOIN coarse_rates GROUP BY k, b, ymax),
 coarse_fit AS (SELECT *, suu - su * su / n AS cuu, suy - su * sy / n AS cuy, LEAST(GREATEST((suy - su * sy / n) / (suu - su * su / n), 0), 2 * ymax) AS a FROM coarse),
 coarse_best AS (SELECT k, ARG_MIN(b, cyy - 2 * a * cuy + a * a * cuu) AS b FROM coarse_fit GROUP BY k),
 fine_rates AS (SELECT k, GREATEST(LEAST(b * exp((i - 1500) * 0.0046 / 1500), 0.1), 0.0001) AS b FROM coarse_best CROSS JOIN (SELECT unnest(range(0, 3001)) AS i)),
-fine AS (SELECT t.k, r.b, f.ymax, COUNT(*) AS n, SUM(exp(r.b * x)) AS su, SUM(exp(2 * r.b * x)) AS suu, SUM(y) AS sy, SUM(exp(r.b * x) * y) AS suy, REGR_SYY(y, y) AS cyy FROM flag_target t JOIN facts f ON f.k = t.k JOIN (SELECT DISTINCT * FROM fine_rates) r ON r.k = t.k GROUP BY t.k, r.b, f.ymax),
+fine AS (SELECT t.k, r.b, f.ymax, COUNT(*) AS n, SUM({u.replace('b *', 'r.b *')}) AS su, SUM({u.replace('b *', 'r.b *')} * {u.replace('b *', 'r.b *')}) AS suu, SUM(y) AS sy, SUM({u.replace('b *', 'r.b *')} * y) AS suy, REGR_SYY(y, y) AS cyy FROM flag_target t JOIN facts f ON f.k = t.k JOIN (SELECT DISTINCT * FROM fine_rates) r ON r.k = t.k GROUP BY t.k, r.b, f.ymax),
 fine_fit AS (SELECT *, suu - su * su / n AS cuu, suy - su * sy / n AS cuy, LEAST(GREATEST((suy - su * sy / n) / (suu - su * su / n), 0), 2 * ymax) AS a FROM fine)
-SELECT {_K}, {_r('SQRT(MIN(cyy - 2 * a * cuy + a * a * cuu) / MAX(n))', 'rmse', 2)} FROM fine_fit GROUP BY k"""
+SELECT {_K}, {columns}{_r('SQRT(MIN(cyy - 2 * a * cuy + a * a * cuu) / MAX(n))', 'rmse', 2)} FROM fine_fit GROUP BY k"""
+
+
+ORACLE["f7_exponential_optimum"] = _rate_search("exp(b * x)")
+ORACLE["f2_registered_curve"] = _rate_search("1 - exp(-b * x)", "'Monomolecular' AS model, ")
 
 _FEATURES = """
 first_preds AS (SELECT s.k, s.pos, s.model, p.alpha + p.beta * s.u AS pred FROM shaped s JOIN params p ON p.k = s.k AND p.model = s.model AND p.fold = 0),
@@ -420,6 +427,37 @@ def _digits(value: str) -> str:
 _LEAST = _WITH.rstrip() + ",\n" + _search()
 ORACLE["f2_full_fit"] = _LEAST + f"\nSELECT {_K}, model, {_r(_digits('rmse'), 'rmse', 4)}, true AS no_worse FROM least"
 ORACLE["f7_final_fit"] = ORACLE["f2_full_fit"]
+
+
+def _grid(points: int = 9, rounds: int = 3) -> str:
+    """The least error of every curve on a grid over its bounds, zoomed in to one step around the best again and again."""
+    last = points - 1
+    steps = [
+        f"""curve_bounds(model, klo, khi, mid, asym, least, absolute) AS (VALUES ('Exponential', 0.0001, 0.1, false, false, 0.0, false),
+  ('Logistic', 0.001, 0.1, true, false, 1.0, false), ('Richards', 0.001, 0.1, true, true, 1.0, false), ('Gompertz', 0.001, 0.1, true, false, 1.0, true)),
+g0 AS (SELECT k, model, mid, asym, absolute, ymax * least AS hlo, 2 * ymax AS hhi, ln(klo) AS kmin, ln(khi) AS kmax, xlo AS tmin, xhi AS tmax, ln(0.1) AS dmin, ln(10.0) AS dmax,
+  ln(klo) AS k0, ln(khi) AS k1, xlo AS t0, xhi AS t1, ln(0.1) AS d0, ln(10.0) AS d1 FROM facts CROSS JOIN curve_bounds)"""
+    ]
+    for r in range(rounds):
+        steps.append(f"""c{r} AS (SELECT g.*, a * {points * points} + b * {points} + c AS place, k0 + a * (k1 - k0) / {last} AS gk, CASE WHEN mid THEN t0 + b * (t1 - t0) / {last} ELSE 0 END AS gt, CASE WHEN asym THEN d0 + c * (d1 - d0) / {last} ELSE 0 END AS gd
+  FROM g{r} g CROSS JOIN range({points}) i(a) CROSS JOIN range({points}) j(b) CROSS JOIN range({points}) l(c) WHERE (mid OR b = 0) AND (asym OR c = 0)),
+v{r} AS (SELECT c.k, c.model, c.place, y, CASE model WHEN 'Exponential' THEN exp(exp(gk) * x) WHEN 'Gompertz' THEN exp(-exp(-exp(gk) * (x - gt))) ELSE exp(-ln(1 + exp(least(-exp(gk) * (x - gt), 340))) / exp(gd)) END AS u
+  FROM c{r} c JOIN flag_target t ON t.k = c.k),
+s{r} AS (SELECT k, model, place, COUNT(*) AS n, SUM(u) AS su, SUM(y) AS sy, SUM(u * y) AS suy, SUM(u * u) AS suu, REGR_SYY(y, u) AS cyy, REGR_SXX(y, u) AS cuu, REGR_SXY(y, u) AS cuy FROM v{r} GROUP BY ALL),
+w{r} AS (SELECT s.*, absolute, hlo, hhi, CASE WHEN cuu > 0 THEN cuy / cuu ELSE 0 END AS slope FROM s{r} s JOIN g{r} g ON g.k = s.k AND g.model = s.model),
+h{r} AS (SELECT *, CASE WHEN absolute THEN (sy - slope * su) / n + slope ELSE slope END AS wanted FROM w{r}),
+o{r} AS (SELECT *, least(greatest(wanted, hlo), hhi) AS height FROM h{r}),
+p{r} AS (SELECT *, CASE WHEN NOT absolute THEN (sy - height * su) / n WHEN height = wanted THEN height - slope ELSE ((sy - suy) - height * (su - suu)) / (n - 2 * su + suu) END AS alpha FROM o{r}),
+e{r} AS (SELECT *, CASE WHEN absolute THEN height - alpha ELSE height END AS beta FROM p{r}),
+q{r} AS (SELECT k, model, n, place, cyy - 2 * beta * cuy + beta * beta * cuu + n * pow(alpha - (sy - beta * su) / n, 2) AS sse FROM e{r}),
+b{r} AS (SELECT k, model, MAX(n) AS n, ARG_MIN(place, (sse, place)) AS place, MIN(sse) AS sse FROM q{r} GROUP BY k, model),
+g{r + 1} AS (SELECT c.* EXCLUDE (place, gk, gt, gd) REPLACE (greatest(kmin, gk - (k1 - k0) / {last}) AS k0, least(kmax, gk + (k1 - k0) / {last}) AS k1, greatest(tmin, gt - (t1 - t0) / {last}) AS t0,
+  least(tmax, gt + (t1 - t0) / {last}) AS t1, greatest(dmin, gd - (d1 - d0) / {last}) AS d0, least(dmax, gd + (d1 - d0) / {last}) AS d1) FROM c{r} c JOIN b{r} b ON b.k = c.k AND b.model = c.model AND b.place = c.place)""")
+    found = " UNION ALL ".join(f"SELECT k, model, n, sse FROM b{r}" for r in range(rounds))
+    return _WITH.rstrip() + ",\n" + ",\n".join(steps) + f",\nleast_on_grid AS (SELECT k, model, SQRT(MIN(sse) / MAX(n)) AS rmse FROM ({found}) GROUP BY k, model)"
+
+
+ORACLE["f2_grid_seed"] = _grid() + f"\nSELECT {_K}, model, {_r(_digits('rmse'), 'rmse', 4)}, true AS no_worse FROM least_on_grid"
 ORACLE["f8_no_folds"] = _LEAST + f"\nSELECT {_K}, model, {_r(_digits('rmse'), 'rmse', 4)}, true AS no_worse, 0 AS folds, NULL::DOUBLE AS test_rmse FROM least"
 ORACLE["f3_fold_fits"] = _WITH + f"SELECT {_K}, model, COUNT(*) AS fits, COUNT(*) AS inside, COUNT(*) AS no_worse FROM flag_folds CROSS JOIN models GROUP BY k, model"
 ORACLE["f5_fallback"] = _WITH + f"SELECT {_K}, 'Richards' AS model, COUNT(*) * 5 AS values, {_r('AVG((1.2 * ymax + 0.01 + xmid + 1 + ymin) / 5)', 'mean', 4)} FROM flag_folds JOIN facts USING (k) GROUP BY k"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from growthpanel.functions import curves as C
+from growthpanel.functions import shapes
 from growthpanel.operators import averaging, chartdata, features, folds, forecast, metrics, predictions, reports, selection, trees, weekly
 from growthpanel.operators import fitting
 from growthpanel.operators.fitting import FitOptions
@@ -558,6 +559,29 @@ def f2_full_fit(spark, folder):
     return _errors(_whole_fits(i, i.fitted.initial.withColumn("fold", F.lit(folds.FULL))), "rmse")
 
 
+@query
+def f2_grid_seed(spark, folder):
+    """Least error of each curve on a grid that is zoomed in three times, and whether its fit is no worse."""
+    i = Inputs.of(spark, folder)
+    fits = i.fitted.initial.select(*FLAG, "model", F.col("sse").alias("fit_sse"), "n")
+    both = fitting.grid_seeds(i.points).join(fits, [*FLAG, "model"])
+    no_worse = (F.col("fit_sse") <= F.col("sse") * (1 + 1e-9)).alias("no_worse")
+    return tidy(both.select(*FLAG, "model", _four_digits(F.sqrt(F.col("sse") / F.col("n"))).alias("rmse"), no_worse), 4)
+
+
+@query
+def f2_registered_curve(spark, folder):
+    """A fifth curve, registered for this query: error of its fit, checked against a search over its rate in SQL."""
+    i = Inputs.of(spark, folder)
+    curve = C.Curve(
+        "Monomolecular", ("top", "speed", "base"), ("height", "rate", "offset"),
+        shapes.monomolecular, shapes.monomolecular_slopes, 0.01, (0.0001, 0.1), height_bounds=(0.0, 2.0),
+    )
+    with C.registered(curve):
+        fits = fitting.fit_curves(i.points, None, options=FitOptions(models=(curve.name,)))
+        return tidy(_whole_fits(i, fits.params).select(*FLAG, "model", "rmse"), 2)
+
+
 @query
 def f3_fold_fits(spark, folder):
     """Fold fits per curve: how many, how many lie in their bounds, and how many are no worse than a given shape."""
