@@ -33,9 +33,9 @@ FIRST_DAMPING, LEAST_DAMPING, MOST_DAMPING = 1e-2, 1e-9, 1e9
 # a step that may go less than this share of its way to a height bound counts as being at the bound
 NEAR_BOUND = 0.1
 # fits stepped together in one task, and numbers that their padded weeks may have, however long a series is
-BLOCK, CELLS = 64, 1 << 18
+BLOCK, CELLS = 256, 1 << 18
 # weeks whose products are summed at a time: every length is added up in the same steps
-SLICE = 512
+SLICE = 128
 
 
 def fresh_memory() -> list[float]:

@@ -41,7 +41,7 @@ class FitOptions:
     seed: int = 42
     select_on: str = "test"
     grid_points: int = 9
-    grid_rounds: int = 3
+    grid_rounds: int = 2
 
 
 @dataclass(frozen=True)
