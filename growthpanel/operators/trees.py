@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from operator import and_
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -46,7 +47,7 @@ class TreeOptions:
     bins: int = 256
     step: float = 0.1
     seed: int = 42
-    parallelism: int = 2
+    parallelism: int = 4
 
 
 @dataclass(frozen=True)
@@ -98,26 +99,29 @@ def fold_features(target: DataFrame, folds: DataFrame, params: DataFrame, fold:
 def tree_cv_metrics(
     target: DataFrame, folds: DataFrame, params: DataFrame, keys: Sequence[str] = (), options: TreeOptions = TreeOptions()
 ) -> DataFrame:
-    """Mean test measures over folds per series and tree model."""
+    """Mean test measures over folds per series and tree model; at most ``options.parallelism`` folds train at a time."""
     target, keys = with_keys(target, keys)
     ensure_checkpoint_dir(target.sparkSession)
     scales = target_scale(target, keys).checkpoint()
     assembler = VectorAssembler(inputCols=feature_names(), outputCol="features")
-    scored = []
-    for (fold,) in folds.select("fold").distinct().orderBy("fold").collect():  # as many rows as there are splits
+
+    def one_fold(fold: int) -> list[DataFrame]:
         rows = _labelled(fold_features(target, folds, params, fold, keys), scales, keys)
         rows = assembler.transform(rows).persist(StorageLevel.MEMORY_AND_DISK)
         train, test = rows.where(F.col("role") == "train"), rows.where(F.col("role") == "test")
-        if train.isEmpty():
-            rows.unpersist()
-            continue
-        for name in options.models:
+        found = []
+        for name in options.models if not train.isEmpty() else ():
             depth = options.forest_depth if name == FOREST else options.boosting_depth
             model = _regressor(name, options.trees, depth, options).fit(train)
             predicted = model.transform(test).withColumn("pred", F.col("prediction") * F.col("target_scale"))
             measured = score(predicted, keys).withColumns({"model": F.lit(name), "fold": F.lit(fold)})
-            scored.append(measured.checkpoint())
+            found.append(measured.checkpoint())
         rows.unpersist()
+        return found
+
+    numbers = [fold for (fold,) in folds.select("fold").distinct().orderBy("fold").collect()]  # as many rows as there are splits
+    with ThreadPool(max(1, options.parallelism)) as pool:  # a fold's jobs leave cores idle: some folds side by side
+        scored = [measured for found in pool.map(inheritable_thread_target(target.sparkSession)(one_fold), numbers) for measured in found]
     if not scored:
         schema = target.select(*keys, F.lit("").alias("model"), *[F.lit(0.0).alias(m) for m in ("rmse", "r2", "mae")])
         return schema.limit(0)
