@@ -29,7 +29,7 @@ def tables_and_bits(n: int, limit: float, recall: float = RECALL, bucket: int =
 def _signs(tables: int, bits: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid, vectors = batch.column(0).to_numpy(), rows_of(batch.column(1))
+            uid, copies, vectors = batch.column(0).to_numpy(), batch.column(1).to_numpy(), rows_of(batch.column(2))
             sizes = np.array([len(v) for v in vectors])
             for d in np.unique(sizes):
                 some = np.flatnonzero(sizes == d)
@@ -40,20 +40,23 @@ def _signs(tables: int, bits: int, seed: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(uid[some]),
+                        pa.array(copies[some]),
                         pa.array(np.full(len(some), d, np.int32)),
                         pa.array([r.tobytes() for r in x], pa.binary()),
                         pa.ListArray.from_arrays(np.arange(0, (len(some) + 1) * tables, tables, dtype=np.int32), keys.ravel()),
                     ],
-                    names=["uid", "size", "data", "keys"],
+                    names=["uid", "copies", "size", "data", "keys"],
                 )
 
     return run
 
 
 def _compare(kind: str, limit: float):
-    """Groups of rows with one key, sorted: counts of new links per row, and links that connect what they connect."""
+    """Groups of rows with one key, sorted: counts of new links per row, and links that connect what they connect.
 
-    def links(table: int, cross: bool, uid, own, data, keys):
+    A row stands for all its copies, so it adds as many links to each row that it meets."""
+
+    def links(table: int, cross: bool, uid, copies, own, data, keys):
         x = unit(np.frombuffer(b"".join(data), kind).reshape(len(uid), -1))
         left = np.flatnonzero(own == own.min()) if cross else np.arange(len(uid))
         right = np.flatnonzero(own != own.min()) if cross else left
@@ -74,7 +77,9 @@ def _compare(kind: str, limit: float):
         a, b = (np.concatenate(s) for s in zip(*found))
         if not len(a):
             return
-        counts = np.bincount(a, minlength=len(uid)) + np.bincount(b, minlength=len(uid))
+        counts = np.zeros(len(uid), np.int64)
+        np.add.at(counts, a, copies[b])
+        np.add.at(counts, b, copies[a])
         some = np.flatnonzero(counts)
         yield uid[some], np.full(len(some), -1), counts[some]
         a, b = spanning_links(a, b)
@@ -84,7 +89,8 @@ def _compare(kind: str, limit: float):
         for g in sorted_groups(batches, ["size", "table", "key", "low", "high"]):
             if g.num_rows > 1:
                 table, low, high = (g[c][0].as_py() for c in ("table", "low", "high"))
-                yield from links(table, low != high, g["uid"].to_numpy(), g["own"].to_numpy(), g["data"].to_pylist(), g["keys"].to_pylist())
+                uid, copies, own = (g[c].to_numpy() for c in ("uid", "copies", "own"))
+                yield from links(table, low != high, uid, copies, own, g["data"].to_pylist(), g["keys"].to_pylist())
 
     return lambda batches: in_batches(found(batches), ("a", "b", "n"), (pa.int64(),) * 3)
 
@@ -99,6 +105,10 @@ def vector_components(vectors: DataFrame, limit: float = 0.95, recall: float = R
     different lengths. Rows that share a vec_id are vectors of their own. A null vec_id takes part; a component without any
     other has a null component_id. An empty table gives no rows.
 
+    Equal vectors meet in one aggregation, which combines before the shuffle, and only the first of them is compared: a
+    group of copies costs one row in every table, whatever its size. Its links count once for each copy, and a copy is
+    linked to the others of its group.
+
     A bucket of any size is dealt into tiles of about 1,024 rows, and each pair of tiles is a group of its own, so a
     vector that a third of all rows resemble is spread over many tasks. A pair is counted in the first table where it
     meets, and a comparison gives counts and spanning links, never all pairs.
@@ -106,23 +116,29 @@ def vector_components(vectors: DataFrame, limit: float = 0.95, recall: float = R
     shelf = shelf or Shelf(vectors.sparkSession)
     base = shelf.keep(vectors.select(F.monotonically_increasing_id().alias("uid"), "vec_id", "embedding"), "vectors")
     some = base.where(usable(F.col("embedding"))).select("uid", "embedding")
+    alike = shelf.keep(some.groupBy("embedding").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("copies")), "alike")
+    members = some.join(alike, "embedding").select("uid", "first")
     double = "double" in base.schema["embedding"].dataType.simpleString()
-    tables, bits = tables_and_bits(some.count(), limit, recall)
-    signed = shelf.keep(some.mapInArrow(_signs(tables, bits, seed), "uid long, size int, data binary, keys array<long>"), "signed")
-    met = signed.select("uid", "size", "data", "keys", F.posexplode("keys").alias("table", "key"))
+    tables, bits = tables_and_bits(alike.count(), limit, recall)
+    first = alike.select(F.col("first").alias("uid"), "copies", "embedding")
+    signed = shelf.keep(first.mapInArrow(_signs(tables, bits, seed), "uid long, copies long, size int, data binary, keys array<long>"), "signed")
+    met = signed.select("uid", "copies", "size", "data", "keys", F.posexplode("keys").alias("table", "key"))
     place = ["size", "table", "key"]
     hot = signed.select("size", F.posexplode("keys").alias("table", "key")).groupBy(*place).agg(F.count(F.lit(1)).alias("rows"))
     hot = hot.where(F.col("rows") > TILE).select(*place, F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
     hot = shelf.keep(hot, "hot")
     dealt = met.join(hot, place, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("uid"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("uid", "own", "data", "keys", *place, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    dealt = dealt.select("uid", "copies", "own", "data", "keys", *place, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     group = [*place, "low", "high"]
     found = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_compare("<f8" if double else "<f4", limit), "a long, b long, n long")
     found = shelf.keep(found, "found")
     counts = found.where("b < 0").groupBy("a").agg(F.sum("n").alias("n_links"))
     roots = connected_components(found.where("b >= 0").select("a", "b"), shelf)
-    rooted = base.select("uid", "vec_id").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    groups = alike.select("first", "copies").join(roots.withColumnRenamed("node", "first"), "first", "left")
+    groups = groups.join(counts.withColumnRenamed("a", "first"), "first", "left")
+    groups = groups.select("first", F.coalesce("root", "first").alias("root"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    rooted = base.select("uid", "vec_id").join(members.join(groups, "first"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     least = rooted.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    out = rooted.join(least, "root").join(counts.withColumnRenamed("a", "uid"), "uid", "left")
+    out = rooted.join(least, "root")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.expr("vec_id <=> component_id").alias("kept"))

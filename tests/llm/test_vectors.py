@@ -51,6 +51,22 @@ def test_odd_vectors(spark):
     assert vector_dedup.vector_components(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_copies_are_compared_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    some = rng.normal(size=(40, 16)).astype(np.float32)
+    some[20:30] = some[:10] * 1.01  # links between groups of copies
+    rows = [(i, some[k].tolist()) for i, k in enumerate(np.concatenate([np.zeros(600, int), rng.integers(0, 40, 600)]))]
+    compared = []
+    monkeypatch.setattr(vector_dedup, "tables_and_bits", lambda n, limit, recall: compared.append(n) or (12, 6))
+    found = vector_dedup.vector_components(frame(spark, rows)).toPandas().sort_values("vec_id")
+    assert compared == [len({tuple(v) for _, v in rows})]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    assert (found.n_links.to_numpy() == near.sum(1) - 1).all()
+    assert (found.component_id.to_numpy() == near.argmax(1)).all()
+
+
 def test_tables_make_up_for_bits():
     for n in (10, 10_000, 10**9):
         tables, bits = vector_dedup.tables_and_bits(n, 0.95)
