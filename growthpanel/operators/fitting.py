@@ -10,14 +10,12 @@ holds the weeks of one series and runs all passes of its fits, whatever its leng
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import partial
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthpanel.functions import curves as C
@@ -25,6 +23,7 @@ from growthpanel.functions.columns import check_key_names, clip, with_keys
 from growthpanel.functions.noise import repeatable_normal
 from growthpanel.functions.step import ASKED, SHAPE, fit_groups, fresh_memory, grid_groups
 from growthpanel.operators.folds import FULL
+from growthpanel.sources.runstore import RunStore, ensure_checkpoint_dir, held
 
 FIT_ID = ["model", "fold", "start"]
 
@@ -53,23 +52,16 @@ class Fits:
     keys: list[str]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only for a session of one process that names none."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="growthpanel-"))
-
-
 @dataclass(frozen=True)
 class Points:
-    """Valid weekly points, held for the fits."""
+    """Valid weekly points, held for the fits; their tables on the way go to ``store`` if there is one."""
 
     df: DataFrame
     keys: list[str]
+    store: RunStore | None = None
 
 
-def hold_points(target: DataFrame, keys: Sequence[str] = ()) -> Points:
+def hold_points(target: DataFrame, keys: Sequence[str] = (), store: RunStore | None = None) -> Points:
     """Persist the points, partitioned by series."""
     check_key_names(keys)
     target, keys = with_keys(target, keys)
@@ -81,7 +73,7 @@ def hold_points(target: DataFrame, keys: Sequence[str] = ()) -> Points:
         .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    return Points(points, keys)
+    return Points(points, keys, store)
 
 
 def series_facts(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -205,7 +197,7 @@ def _iterate(points: Points, tasks: DataFrame, options: FitOptions, tolerance: f
 
 def _fitted(points: Points, tasks: DataFrame, max_passes: int, tolerance: float, grid: tuple[int, int] = (9, 0)) -> DataFrame:
     ensure_checkpoint_dir(tasks.sparkSession)
-    fitted = _fit(points, tasks, max_passes, tolerance, grid).checkpoint()
+    fitted = held(_fit(points, tasks, max_passes, tolerance, grid), points.store, "fits")
     sse = F.get("memory", F.lit(len(SHAPE)))
     ok = ~F.isnan(sse) & (sse < float("inf"))
     return fitted.select(
@@ -314,7 +306,7 @@ def fit_curves(
     points = target if isinstance(target, Points) else hold_points(target, keys)
     keys = points.keys
     ensure_checkpoint_dir(points.df.sparkSession)
-    starts = start_values(points.df, keys, options.models).checkpoint()
+    starts = held(start_values(points.df, keys, options.models), points.store, "starts")
 
     first_tasks = starts.withColumns(
         {"fold": F.lit(FULL), "start": F.lit(0), "train_end": F.col("n"), **_shape_of("start_params")}
@@ -324,7 +316,8 @@ def fit_curves(
     usable = F.when(F.col("status") == "ok", F.col("params")).otherwise(F.col("start_params"))
     initial = base.join(
         first.select(*keys, "model", "params", "status", "sse", "converged"), [*keys, "model"], "left"
-    ).withColumn("initial_params", usable).checkpoint()
+    ).withColumn("initial_params", usable)
+    initial = held(initial, points.store, "initial")
 
     if folds is None:
         return Fits(_final_rows(initial, keys, "initial_params"), initial, keys)
@@ -363,8 +356,8 @@ def fit_curves(
             .otherwise(F.lit("ok"))
             .alias("status"),
         )
-        .checkpoint()
     )
+    fold_params = held(fold_params, points.store, "fold_params")
 
     lead = best_fold_params(fold_params, keys)
     seeded = initial.join(lead, [*keys, "model"], "left").withColumn(

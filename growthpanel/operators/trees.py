@@ -9,9 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 from multiprocessing.pool import ThreadPool
-from operator import and_
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -26,9 +24,10 @@ from growthpanel.functions import curves as C
 from growthpanel.functions.columns import with_keys
 from growthpanel.operators.averaging import combine, components
 from growthpanel.operators.features import feature_names, fit_scaler, make_features, scale, time_context
-from growthpanel.operators.fitting import ensure_checkpoint_dir
 from growthpanel.operators.folds import fold_rows
 from growthpanel.operators.metrics import fold_summary, score
+from growthpanel.operators.stages import PREDICTED, CurveFeatures, SeriesScaling, SeriesTarget
+from growthpanel.sources.runstore import RunStore, ensure_checkpoint_dir, held
 
 FOREST, BOOSTING = "Random Forest", "Gradient Boosting"
 
@@ -52,16 +51,17 @@ class TreeOptions:
 
 @dataclass(frozen=True)
 class TreeEnsemble:
-    """A trained model with what predicting needs: the component curves, the time context, scaler and target scale."""
+    """A trained model. Its pipeline holds all that predicting needs: ``pipeline.transform(weeks)`` is a prediction."""
 
     name: str
     pipeline: PipelineModel
-    params: DataFrame
-    context: DataFrame
-    scaler: DataFrame
-    target_scale: DataFrame
     keys: list[str]
 
+    @property
+    def tree(self):
+        """The stage of the pipeline that is the forest or the boosted trees."""
+        return next(stage for stage in self.pipeline.stages if hasattr(stage, "featureImportances"))
+
 
 def _regressor(name: str, trees: int, depth: int, options: TreeOptions):
     shared = {"featuresCol": "features", "labelCol": "label", "maxDepth": depth, "maxBins": options.bins, "seed": options.seed}
@@ -97,12 +97,20 @@ def fold_features(target: DataFrame, folds: DataFrame, params: DataFrame, fold:
 
 
 def tree_cv_metrics(
-    target: DataFrame, folds: DataFrame, params: DataFrame, keys: Sequence[str] = (), options: TreeOptions = TreeOptions()
+    target: DataFrame,
+    folds: DataFrame,
+    params: DataFrame,
+    keys: Sequence[str] = (),
+    options: TreeOptions = TreeOptions(),
+    store: RunStore | None = None,
 ) -> DataFrame:
-    """Mean test measures over folds per series and tree model; at most ``options.parallelism`` folds train at a time."""
+    """Mean test measures over folds per series and tree model; at most ``options.parallelism`` folds train at a time.
+
+    Tables on the way go to ``store`` if there is one.
+    """
     target, keys = with_keys(target, keys)
     ensure_checkpoint_dir(target.sparkSession)
-    scales = target_scale(target, keys).checkpoint()
+    scales = held(target_scale(target, keys), store, "target_scale")
     assembler = VectorAssembler(inputCols=feature_names(), outputCol="features")
 
     def one_fold(fold: int) -> list[DataFrame]:
@@ -115,7 +123,7 @@ def tree_cv_metrics(
             model = _regressor(name, options.trees, depth, options).fit(train)
             predicted = model.transform(test).withColumn("pred", F.col("prediction") * F.col("target_scale"))
             measured = score(predicted, keys).withColumns({"model": F.lit(name), "fold": F.lit(fold)})
-            found.append(measured.checkpoint())
+            found.append(held(measured, store, "fold_measures"))
         rows.unpersist()
         return found
 
@@ -146,15 +154,17 @@ def train_trees(
     keys: Sequence[str] = (),
     options: TreeOptions = TreeOptions(),
     component_fit: str = "first_fold",
+    store: RunStore | None = None,
 ) -> dict[str, TreeEnsemble]:
-    """Grid search and final training on all weeks, per tree model."""
+    """Grid search and final training on all weeks, per tree model. The models' tables go to ``store`` if there is one."""
     target, keys = with_keys(target, keys)
     valid = target.where(F.col("status") == "ok").select(*keys, "pos", "x", "y")
     ensure_checkpoint_dir(target.sparkSession)
-    parts = components(params, keys, component_fit).checkpoint()
-    context, scales = time_context(valid, keys).checkpoint(), target_scale(target, keys).checkpoint()
+    parts = held(components(params, keys, component_fit), store, "tree_components")
+    context = held(time_context(valid, keys), store, "time_context")
+    scales = held(target_scale(target, keys), store, "target_scale")
     features = make_features(valid, parts, context, keys)
-    scaler = fit_scaler(features, keys).checkpoint()
+    scaler = held(fit_scaler(features, keys), store, "scaler")
     rows = _labelled(scale(features, scaler, keys), scales, keys)
     rows = inner_fold(rows, keys, options.inner_folds).persist(StorageLevel.MEMORY_AND_DISK)
     trained = {}
@@ -177,7 +187,8 @@ def train_trees(
                 seed=options.seed,
             )
             model = search.fit(rows).bestModel
-        trained[name] = TreeEnsemble(name, model, parts, context, scaler, scales, keys)
+        before = [CurveFeatures(keys, params=parts, context=context), SeriesScaling(keys, scaler=scaler, target_scale=scales)]
+        trained[name] = TreeEnsemble(name, PipelineModel([*before, *model.stages, SeriesTarget(keys)]), keys)
     rows.unpersist()
     return trained
 
@@ -188,14 +199,8 @@ def tree_predictions(rows: DataFrame, ensemble: TreeEnsemble) -> DataFrame:
     A row that lacks a feature, as when a curve of its series could not be fitted, has a NULL prediction and the status
     ``missing_curve``.
     """
-    keys = ensemble.keys
-    features = make_features(rows, ensemble.params, ensemble.context, keys)
-    scaled = scale(features, ensemble.scaler, keys).join(ensemble.target_scale, keys, "left")
-    complete = reduce(and_, (F.col(f"`{c}`").isNotNull() for c in [*feature_names(), "target_scale"]))
-    whole = scaled.withColumn("tree_status", F.when(complete, F.lit("ok")).otherwise(F.lit("missing_curve")))
-    predicted = ensemble.pipeline.transform(whole.na.fill(0.0, subset=feature_names()))
-    value = F.when(F.col("tree_status") == "ok", F.col("prediction") * F.col("target_scale"))
-    return predicted.select(*rows.columns, F.lit(ensemble.name).alias("model"), value.alias("pred"), "tree_status")
+    predicted = ensemble.pipeline.transform(rows)
+    return predicted.select(*rows.columns, F.lit(ensemble.name).alias("model"), F.col(PREDICTED).alias("pred"), "tree_status")
 
 
 def importances(spark: SparkSession, ensembles: dict[str, TreeEnsemble]) -> DataFrame:
@@ -203,7 +208,7 @@ def importances(spark: SparkSession, ensembles: dict[str, TreeEnsemble]) -> Data
     rows = [
         (name, feature, float(value))
         for name, e in ensembles.items()
-        for feature, value in zip(feature_names(), e.pipeline.stages[-1].featureImportances.toArray())
+        for feature, value in zip(feature_names(), e.tree.featureImportances.toArray())
     ]
     return spark.createDataFrame(rows, "model string, feature string, importance double")
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from growthpanel.functions.columns import require, with_keys
-from growthpanel.operators.trees import TreeEnsemble, tree_predictions
+from growthpanel.operators.stages import PREDICTED
+from growthpanel.operators.trees import TreeEnsemble
 from growthpanel.operators.weekly import weekly_panel
 from growthpanel.sources.storage import load_ensemble, write_table
 
@@ -16,10 +16,8 @@ from growthpanel.sources.storage import load_ensemble, write_table
 def predict_weekly(weekly: DataFrame, ensemble: TreeEnsemble) -> DataFrame:
     """The weekly table with ``predicted_cumulative``; weeks of unknown series have none."""
     require(weekly, ["time_idx"], "the weekly table")
-    weekly, keys = with_keys(weekly, ensemble.keys)
-    rows = weekly.select(*keys, "pos", F.col("time_idx").alias("x"))
-    predicted = tree_predictions(rows, ensemble).select(*keys, "pos", F.col("pred").alias("predicted_cumulative"))
-    return weekly.join(predicted, [*keys, "pos"], "left")
+    weekly, _ = with_keys(weekly, ensemble.keys)
+    return ensemble.pipeline.transform(weekly).select(*weekly.columns, PREDICTED)
 
 
 def predict(records: DataFrame, folder: str, keys: Sequence[str] = (), scale: int | None = None, output: str | None = None) -> DataFrame:

@@ -185,9 +185,7 @@ class Inputs:
     def saved(self) -> str:
         def save() -> str:
             folder = self.scratch()
-            for ensemble in self.trees.values():
-                storage.save_ensemble(ensemble, f"{folder}/models")
-            storage.save_curves(self.paired, self.best("Individual"), f"{folder}/models")
+            storage.save_models(self.trees.values(), self.paired, self.best("Individual"), f"{folder}/models")
             return folder
 
         return self._once("saved", save)
@@ -251,8 +249,7 @@ def s4_write_tables(spark, folder):
 def s5_save_models(spark, folder):
     """What was saved, read back."""
     i = Inputs.of(spark, folder)
-    curves = storage.load_table(spark, f"{i.saved}/models/curves")
-    best = storage.load_table(spark, f"{i.saved}/models/best_curve")
+    curves, best = storage.load_curves(spark, f"{i.saved}/models")
     return tidy(curves.where("fold = -1").join(best, FLAG).select(*FLAG, "model", "status", "best_model"))
 
 
@@ -788,7 +785,7 @@ def m4_boosting_grid(spark, folder):
     i = Inputs.of(spark, folder)
     model = i.trees[trees.BOOSTING]
     found = trees.tree_predictions(i.target.select(*FLAG, "pos", "x", "y"), model)
-    stage = model.pipeline.stages[-1]
+    stage = model.tree
     offered = stage.getMaxDepth() in SMALL_TREES.boosting_grid["depth"] and stage.getNumTrees in SMALL_TREES.boosting_grid["trees"]
     scored = metrics.score(found, FLAG)
     weeks = found.groupBy(*FLAG).agg(F.count("pred").alias("weeks")).join(scored, FLAG)

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from growthpanel.functions.columns import with_keys
 from growthpanel.operators import averaging, chartdata, forecast, reports, selection, trees
-from growthpanel.operators.fitting import FitOptions, ensure_checkpoint_dir, fit_curves, hold_points
+from growthpanel.operators.fitting import FitOptions, fit_curves, hold_points
 from growthpanel.operators.folds import FULL, fold_plan, make_folds, prepare_target, validate_panel
 from growthpanel.operators.predictions import curve_metrics, curve_predictions, full_fit
 from growthpanel.operators.trees import TreeEnsemble, TreeOptions
 from growthpanel.operators.weekly import weekly_panel
-from growthpanel.sources.storage import save_curves, save_ensemble, write_reports
+from growthpanel.sources.runstore import RunStore
+from growthpanel.sources.storage import save_models, write_reports
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,10 @@ class TrainingOptions:
 
 @dataclass(frozen=True)
 class Trained:
-    """Everything a run yields, as DataFrames; nothing lives in module globals."""
+    """Everything a run yields, as DataFrames; nothing lives in module globals.
+
+    The tables lie in ``store`` until ``close``, or the end of a ``with`` block; save or read what is needed before that.
+    """
 
     keys: list[str]
     weekly: DataFrame
@@ -53,6 +57,7 @@ class Trained:
     ensemble_predictions: DataFrame
     forecast: DataFrame
     status: DataFrame
+    store: RunStore
     tree_ensembles: dict[str, TreeEnsemble] = field(default_factory=dict)
 
     def reports(self) -> dict[str, DataFrame]:
@@ -113,11 +118,19 @@ class Trained:
         return tables
 
     def save(self, folder: str, format: str = "csv") -> None:
-        """Reports, curves and tree models, for later reading and for ``predict``."""
+        """Reports, then curves and tree models as a new version, for later reading and for ``predict``."""
         write_reports(self.reports(), f"{folder}/reports", format)
-        save_curves(self.params, self.best_curve, f"{folder}/models")
-        for ensemble in self.tree_ensembles.values():
-            save_ensemble(ensemble, f"{folder}/models")
+        save_models(self.tree_ensembles.values(), self.params, self.best_curve, f"{folder}/models")
+
+    def close(self) -> None:
+        """Delete the tables that the run wrote to the shared folder."""
+        self.store.close()
+
+    def __enter__(self) -> Trained:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
 
 
 def series_status(target: DataFrame, params: DataFrame, keys: Sequence[str] = (), n_splits: int = 5, gap: int = 4) -> DataFrame:
@@ -141,40 +154,54 @@ def series_status(target: DataFrame, params: DataFrame, keys: Sequence[str] = ()
 def train(records: DataFrame, keys: Sequence[str] = (), options: TrainingOptions = TrainingOptions()) -> Trained:
     """Run every step on records from ``select_records``.
 
-    Tables that later steps share are checkpointed: at most a few rows per series, week and model, written once, so that
-    plans on top stay small and a lost executor does not bring the raw rows back.
+    Tables that later steps share are kept in a store of the run: at most a few rows per series, week and model, written
+    once, so that plans on top stay small and a lost executor does not bring the raw rows back. Tables that only lead to
+    them go when they are written. ``Trained.close`` deletes the rest, as does a run that fails.
     """
     records, keys = with_keys(records, keys)
-    ensure_checkpoint_dir(records.sparkSession)
-    weekly = weekly_panel(records, keys, options.scale).checkpoint()
+    store = RunStore(records.sparkSession)
+    try:
+        return _train(records, keys, options, store)
+    except BaseException:
+        store.close()
+        raise
+
+
+def _train(records: DataFrame, keys: list[str], options: TrainingOptions, store: RunStore) -> Trained:
+    weekly = store.keep(weekly_panel(records, keys, options.scale), "weekly")
     validate_panel(weekly)
-    target = prepare_target(weekly, keys).checkpoint()
-    folds = make_folds(target, keys, options.n_splits, options.gap).checkpoint()
+    target = store.keep(prepare_target(weekly, keys), "target")
+    folds = store.keep(make_folds(target, keys, options.n_splits, options.gap), "folds")
     valid = target.where(F.col("status") == "ok")
 
-    points = hold_points(target, keys)
-    params = fit_curves(points, folds, options=options.fit).params.checkpoint()
-    by_curve = curve_metrics(valid, folds, params, keys).checkpoint()
+    with store.scratch("fitting") as scratch:
+        points = hold_points(target, keys, scratch)
+        try:
+            params = store.keep(fit_curves(points, folds, options=options.fit).params, "params")
+        finally:
+            points.df.unpersist()
+    by_curve = store.keep(curve_metrics(valid, folds, params, keys), "curve_metrics")
     curve_preds = curve_predictions(valid, full_fit(params), keys)
 
-    parts = averaging.components(params, keys, options.component_fit).checkpoint()
-    weights = averaging.component_weights(valid, folds, parts, keys).checkpoint()
+    parts = store.keep(averaging.components(params, keys, options.component_fit), "components")
+    weights = store.keep(averaging.component_weights(valid, folds, parts, keys), "weights")
     ensemble_preds = averaging.average_predictions(valid.drop("status"), parts, weights, keys)
     ensemble_metrics = averaging.average_metrics(ensemble_preds, keys)
 
     grown: dict[str, TreeEnsemble] = {}
     if options.trees is not None:
-        by_tree = trees.tree_cv_metrics(valid, folds, params, keys, options.trees).withColumn("scope", F.lit("test_folds"))
-        ensemble_metrics = averaging.combine(by_tree, ensemble_metrics)
-        grown = trees.train_trees(valid, params, keys, options.trees, options.tree_component_fit)
+        with store.scratch("tree_folds") as scratch:
+            by_tree = store.keep(trees.tree_cv_metrics(valid, folds, params, keys, options.trees, scratch), "tree_metrics")
+        ensemble_metrics = averaging.combine(by_tree.withColumn("scope", F.lit("test_folds")), ensemble_metrics)
+        grown = trees.train_trees(valid, params, keys, options.trees, options.tree_component_fit, store)
         tree_preds = [trees.tree_predictions(valid.drop("status"), e).drop("tree_status") for e in grown.values()]
         ensemble_preds = averaging.combine(ensemble_preds, *tree_preds)
 
-    metrics = selection.combined_metrics(by_curve, ensemble_metrics, keys).checkpoint()
-    best_curve = selection.best_model(metrics.where(F.col("type") == "Individual"), keys).checkpoint()
-    best_ensemble = selection.best_model(metrics.where(F.col("type") == "Ensemble"), keys).checkpoint()
+    metrics = store.keep(selection.combined_metrics(by_curve, ensemble_metrics, keys), "metrics")
+    best_curve = store.keep(selection.best_model(metrics.where(F.col("type") == "Individual"), keys), "best_curve")
+    best_ensemble = store.keep(selection.best_model(metrics.where(F.col("type") == "Ensemble"), keys), "best_ensemble")
 
-    ensemble_preds = ensemble_preds.checkpoint()
+    ensemble_preds = store.keep(ensemble_preds, "ensemble_predictions")
     future = forecast.horizon(valid, keys, options.horizon_weeks)
     chosen = forecast.best_curve_params(full_fit(params), best_curve, keys)
     ahead = averaging.average_predictions(future, parts, weights, keys)
@@ -185,9 +212,8 @@ def train(records: DataFrame, keys: Sequence[str] = (), options: TrainingOptions
         future, chosen, keys, options.draws, options.confidence, seed=options.seed
     )
     table = forecast.forecast_table(future, chosen, ahead, interval, keys)
-    status = series_status(target, params, keys, options.n_splits, options.gap).checkpoint()
-    points.df.unpersist()
+    status = store.keep(series_status(target, params, keys, options.n_splits, options.gap), "status")
     return Trained(
         keys, weekly, target, folds, params, by_curve, weights, metrics, best_curve, best_ensemble,
-        curve_preds, ensemble_preds, table, status, grown,
+        curve_preds, ensemble_preds, table, status, store, grown,
     )

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from growthpanel.operators.trees import BOOSTING, FOREST, TreeEnsemble
+from growthpanel.sources.runstore import delete_path, file_system
 
-TABLES = ("params", "context", "scaler", "target_scale")
+MANIFESTS = "manifests"
 
 
 def write_table(df: DataFrame, path: str, format: str = "csv", partition_by: Sequence[str] = ()) -> None:
@@ -37,46 +41,84 @@ def write_reports(tables: dict[str, DataFrame], folder: str, format: str = "csv"
     return paths
 
 
-def save_ensemble(ensemble: TreeEnsemble, folder: str) -> None:
-    """Pipeline, component curves, time context, scaler and target scale of one trained model."""
-    base = f"{folder}/{slug(ensemble.name)}"
-    ensemble.pipeline.write().overwrite().save(f"{base}/pipeline")
-    for table in TABLES:
-        write_table(getattr(ensemble, table), f"{base}/{table}", "parquet")
-
-
-def save_curves(params: DataFrame, best: DataFrame, folder: str) -> None:
-    """All fitted curves, and which one is best per series."""
-    write_table(params, f"{folder}/curves", "parquet")
-    write_table(best, f"{folder}/best_curve", "parquet")
-
-
-def load_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """A saved table, or None when there is none."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
-def _load_ensemble(spark: SparkSession, folder: str, name: str) -> TreeEnsemble | None:
-    base = f"{folder}/{slug(name)}"
-    tables = {table: load_table(spark, f"{base}/{table}") for table in TABLES}
-    if tables["params"] is None:
-        return None
-    missing = [table for table, df in tables.items() if df is None]
-    if missing:
-        raise FileNotFoundError(f"the saved model at {base} lacks {missing}; prediction needs them")
-    keys = [c for c in tables["context"].columns if c not in ("context_min", "context_max")]
-    return TreeEnsemble(name, PipelineModel.load(f"{base}/pipeline"), keys=keys, **tables)
+@contextmanager
+def publishing(spark: SparkSession, folder: str) -> Iterator[str]:
+    """A new version's folder to write in. It becomes the current version when the block ends without an error.
+
+    The manifest is one small file, written last and never over another: a run that breaks off leaves the version before
+    it in force, and of two runs that end together the later one takes the next number.
+    """
+    version = f"versions/{uuid.uuid4().hex}"
+    yield f"{folder}/{version}"
+    line = json.dumps({"version": version}).encode()
+    while True:
+        system, place = file_system(spark, f"{folder}/{MANIFESTS}/{max(_manifests(spark, folder), default=0) + 1:08d}.json")
+        try:
+            out = system.create(place, False)
+        except Py4JJavaError:
+            if system.exists(place):
+                continue
+            raise
+        out.write(bytearray(line))
+        out.close()
+        return
+
+
+def _manifests(spark: SparkSession, folder: str) -> dict[int, str]:
+    """Paths of the manifests by number."""
+    system, place = file_system(spark, f"{folder}/{MANIFESTS}")
+    if not system.exists(place):
+        return {}
+    paths = [(found.getPath().getName(), found.getPath().toString()) for found in system.listStatus(place)]
+    return {int(name[:-5]): path for name, path in paths if re.fullmatch(r"[0-9]+\.json", name)}
+
+
+def current_version(spark: SparkSession, folder: str) -> str:
+    """The folder of the last version that was written whole."""
+    for _, path in sorted(_manifests(spark, folder).items(), reverse=True):
+        lines = spark.read.text(path).head(1)
+        try:
+            return f"{folder}/{json.loads(lines[0][0])['version']}"
+        except (IndexError, ValueError, KeyError):
+            continue  # a manifest that was not written to its end
+    raise FileNotFoundError(f"no saved tree model in {folder}: it has no whole version")
+
+
+def drop_old_versions(spark: SparkSession, folder: str, keep: int = 1) -> int:
+    """Delete all published versions but the last ``keep``, at least one; how many went. Runs under way are left alone."""
+    old = sorted(_manifests(spark, folder).items(), reverse=True)[max(1, keep) :]
+    for _, path in old:
+        lines = spark.read.text(path).head(1)
+        delete_path(spark, path)  # first the manifest: no reader may find a version that is half gone
+        try:
+            delete_path(spark, f"{folder}/{json.loads(lines[0][0])['version']}")
+        except (IndexError, ValueError, KeyError):
+            continue
+    return len(old)
+
+
+def save_models(ensembles: Iterable[TreeEnsemble], params: DataFrame, best: DataFrame, folder: str) -> None:
+    """A new version of all that prediction needs: every fitted curve, the best one per series, the tree pipelines."""
+    with publishing(params.sparkSession, folder) as version:
+        write_table(params, f"{version}/curves", "parquet")
+        write_table(best, f"{version}/best_curve", "parquet")
+        for ensemble in ensembles:
+            ensemble.pipeline.write().overwrite().save(f"{version}/{slug(ensemble.name)}")
+
+
+def load_curves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The fitted curves, and which one is best per series."""
+    version = current_version(spark, folder)
+    return spark.read.parquet(f"{version}/curves"), spark.read.parquet(f"{version}/best_curve")
 
 
 def load_ensemble(spark: SparkSession, folder: str) -> TreeEnsemble:
-    """The saved random forest, else the saved boosting model."""
+    """The saved random forest, else the saved boosting model, of the current version."""
+    version = current_version(spark, folder)
     for name in (FOREST, BOOSTING):
-        found = _load_ensemble(spark, folder, name)
-        if found is not None:
-            return found
+        path = f"{version}/{slug(name)}"
+        system, place = file_system(spark, path)
+        if system.exists(place):
+            pipeline = PipelineModel.load(path)
+            return TreeEnsemble(name, pipeline, pipeline.stages[0].getKeys())
     raise FileNotFoundError(f"no saved tree model in {folder}")

@@ -1,5 +1,8 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from growthpanel.operators import chartdata, forecast
@@ -9,6 +12,8 @@ from growthpanel.operators.trees import TreeOptions, inner_fold
 from growthpanel.plans.prediction import predict
 from growthpanel.plans.training import TrainingOptions, train
 from growthpanel.sources.records import select_records
+from growthpanel.sources import storage
+from growthpanel.sources.runstore import ensure_checkpoint_dir
 from growthpanel.sources.storage import load_ensemble, slug
 
 TREES = TreeOptions(
@@ -56,6 +61,59 @@ def test_save_load_predict(spark, trained, records, tmp_path):
     assert slug("Weighted Average (R2)") == "weighted-average-r2"
 
 
+def test_saved_pipeline_predicts_alone(spark, trained, tmp_path):
+    path = str(tmp_path / "pipeline")
+    model = trained.tree_ensembles["Gradient Boosting"]
+    model.pipeline.write().overwrite().save(path)
+    alone = PipelineModel.load(path).transform(trained.weekly)
+    assert set(alone.columns) >= {*trained.weekly.columns, "predicted_cumulative", "tree_status"}
+    ours = trained.ensemble_predictions.where("model = 'Gradient Boosting'")
+    apart = alone.join(ours.select("l_returnflag", "pos", "pred"), ["l_returnflag", "pos"])
+    assert apart.count() == trained.target.count()
+    assert apart.agg(F.max(F.abs(F.col("pred") - F.col("predicted_cumulative")))).first()[0] < 1e-6
+    unknown = PipelineModel.load(path).transform(trained.weekly.limit(3).withColumn("l_returnflag", F.lit("?")))
+    assert {(r["predicted_cumulative"], r["tree_status"]) for r in unknown.collect()} == {(None, "missing_curve")}
+
+
+def test_a_save_that_breaks_off_leaves_the_old_version(spark, trained, tmp_path, monkeypatch):
+    folder = str(tmp_path / "models")
+    models, write = list(trained.tree_ensembles.values()), storage.write_table
+    storage.save_models(models[:1], trained.params, trained.best_curve, folder)
+    first = storage.current_version(spark, folder)
+
+    def breaks(df, path, *more):
+        if path.endswith("best_curve"):
+            raise OSError("no room")
+        write(df, path, *more)
+
+    monkeypatch.setattr(storage, "write_table", breaks)
+    with pytest.raises(OSError, match="no room"):
+        storage.save_models(models, trained.params.limit(1), trained.best_curve, folder)
+    assert storage.current_version(spark, folder) == first
+    assert storage.load_curves(spark, folder)[0].count() == trained.params.count()
+    (tmp_path / "models" / "manifests" / "00000009.json").write_text('{"versi')  # a manifest cut short
+    assert storage.load_ensemble(spark, folder).name == models[0].name
+    monkeypatch.undo()
+    storage.save_models(models[1:], trained.params, trained.best_curve, folder)
+    assert storage.load_ensemble(spark, folder).name == models[1].name
+    assert storage.drop_old_versions(spark, folder) == 2 and not Path(first).exists()
+    assert storage.load_ensemble(spark, folder).name == models[1].name
+
+
+def test_a_closed_run_leaves_no_files(spark, records):
+    root = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = {f for f in root.rglob("*") if f.is_file()}
+    options = TrainingOptions(n_splits=2, fit=FitOptions(starts=1, grid_points=3, grid_rounds=1), trees=TREES, draws=5, horizon_weeks=2)
+    with train(records.where("l_returnflag = 'R'"), ["l_returnflag"], options) as run:
+        assert run.forecast.count() == 2
+        kept = {f.relative_to(root) for f in root.rglob("*") if f.is_file()} - {f.relative_to(root) for f in before}
+        assert {f.parts[0] for f in kept} == {"growthpanel-runs"} and not any("fitting" in str(f) or "tree_folds" in str(f) for f in kept)
+    assert {f for f in root.rglob("*") if f.is_file()} == before
+    with pytest.raises(ValueError):
+        train(records.withColumn("number", F.lit(None).cast("double")).where("l_returnflag = 'none'"), ["l_returnflag"], TrainingOptions(component_fit="?"))
+    assert {f for f in root.rglob("*") if f.is_file()} == before
+
+
 def test_nothing_to_load(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="no saved tree model"):
         load_ensemble(spark, str(tmp_path))
