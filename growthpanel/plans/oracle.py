@@ -472,3 +472,20 @@ ORACLE["m4_boosting_grid"] = _WITH + f"{_WEEKS}, true AS offered, true AS explai
 ORACLE["m5_predict"] = _WITH + f"{_WEEKS}, COUNT(*) AS rows FROM flag_target GROUP BY k"
 ORACLE["m6_importances"] = "SELECT model, 7 AS features, 1.0::DOUBLE AS total, true AS none_negative FROM (VALUES ('Random Forest'), ('Gradient Boosting')) AS m(model)"
 ORACLE["d9_top_importances"] = "SELECT 'Random Forest' AS model, 5 AS ranks, true AS greatest"
+_PER_SERIES = "SELECT k AS l_returnflag, COUNT(*) AS weeks"
+ORACLE["s3_corrupt_lines"] = """
+WITH found AS (SELECT o_orderstatus AS order_status, o_orderpriority IN ('1-URGENT', '2-HIGH') AS corrupt, o_orderpriority = '5-LOW' AS undated, o_orderstatus = 'P' AS priceless FROM orders)
+SELECT order_status, 'corrupt_line' AS reason, COUNT(*) AS rows FROM found WHERE corrupt GROUP BY 1
+UNION ALL SELECT order_status, 'unreadable_date', COUNT(*) FROM found WHERE NOT corrupt AND undated GROUP BY 1
+UNION ALL SELECT order_status, 'unreadable_number', COUNT(*) FROM found WHERE NOT corrupt AND priceless GROUP BY 1
+UNION ALL SELECT order_status, 'kept', COUNT(*) FROM found WHERE NOT (corrupt OR undated OR priceless) GROUP BY 1"""
+ORACLE["x_fitted_features"] = _WITH + f"{_PER_SERIES}, COUNT(*) AS complete, true AS standard FROM flag_target GROUP BY k"
+ORACLE["a_fitted_measures"] = _WITH + f"SELECT {_K}, model, CAST(SUM(train_end) AS BIGINT) AS train_rows, CAST(SUM(test_end - test_start) AS BIGINT) AS test_rows, true AS agree FROM flag_folds CROSS JOIN models GROUP BY k, model"
+ORACLE["e_fitted_weights"] = _WITH + f"SELECT {_K}, COUNT(*) AS components, 1.0::DOUBLE AS r2_weight, 1.0::DOUBLE AS inv_mse_weight, true AS ordered FROM facts CROSS JOIN models GROUP BY k"
+ORACLE["e_fitted_averages"] = _WITH + f"{_PER_SERIES}, COUNT(*) AS inside, a.model FROM flag_target CROSS JOIN (VALUES ('{SIMPLE}'), ('{BY_R2}'), ('{BY_MSE}')) a(model) GROUP BY k, a.model"
+ORACLE["b_fitted_best"] = _WITH + f"SELECT {_K}, type, CAST(models AS BIGINT) AS models, true AS greatest FROM facts CROSS JOIN (VALUES ('Individual', 4), ('Ensemble', 3)) t(type, models)"
+ORACLE["h_fitted_forecast"] = _WITH + f"SELECT {_K}, COUNT(*) AS weeks, COUNT(*) AS whole, COUNT(*) AS ordered FROM facts CROSS JOIN generate_series(1, 260) GROUP BY k"
+# rows of each report: 16 parameters of four curves, one row per curve, week, model or weighted average
+ORACLE["r_fitted_reports"] = _WITH + f"""SELECT {_K}, report, CAST(COALESCE(size, n) AS BIGINT) AS rows, CAST(COALESCE(size, n) AS BIGINT) AS values FROM facts
+CROSS JOIN (VALUES ('coefficients', 16), ('standalone', 4), ('full', NULL), ('summary', 7), ('comparison', 2), ('parameters', 4), ('overall', 7)) r(report, size)"""
+ORACLE["d_fitted_charts"] = _WITH + f"SELECT {_K}, model, COUNT(*) AS residuals, COUNT(*) AS binned, COUNT(*) AS placed, CAST(200 AS BIGINT) AS points, true AS mass FROM flag_target CROSS JOIN models GROUP BY k, model"

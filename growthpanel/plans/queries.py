@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +20,12 @@ from growthpanel.functions import curves as C
 from growthpanel.functions import shapes
 from growthpanel.operators import averaging, chartdata, features, folds, forecast, metrics, predictions, reports, selection, trees, weekly
 from growthpanel.operators import fitting
+from growthpanel.operators.averaging import combine
 from growthpanel.operators.fitting import FitOptions
 from growthpanel.operators.trees import TreeOptions
 from growthpanel.plans.prediction import predict, predict_weekly
 from growthpanel.sources import storage
-from growthpanel.sources.records import read_table, rejected_records, select_records
+from growthpanel.sources.records import read_table, reject_table, rejected_records, select_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,7 +65,7 @@ def tidy(df: DataFrame, digits: int = 6, **by_column: int) -> DataFrame:
 class Inputs:
     """Tables that several queries share, made once per session and data folder."""
 
-    _known: dict[tuple[str, str], Inputs] = {}
+    _known: dict[tuple[type, str, str], Inputs] = {}
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self._made = spark, folder, {}
@@ -70,7 +73,7 @@ class Inputs:
 
     @classmethod
     def of(cls, spark: SparkSession, folder: str) -> Inputs:
-        place = (spark.sparkContext.applicationId, folder)
+        place = (cls, spark.sparkContext.applicationId, folder)
         if place not in cls._known:
             cls._known[place] = cls(spark, folder)
         return cls._known[place]
@@ -195,6 +198,21 @@ class Inputs:
         return f"{self.spark.sparkContext.getCheckpointDir()}/growthpanel-{uuid.uuid4().hex}"
 
 
+class FittedInputs(Inputs):
+    """The same tables on fits that were run to their end; data and fits are those of ``Inputs``."""
+
+    SHARED = ("weekly", "target", "folds", "points", "fitted")
+
+    def _once(self, name: str, make: Callable[[], object]):
+        if name in self.SHARED:
+            return Inputs.of(self.spark, self.folder)._once(name, make)
+        return super()._once(name, make)
+
+    @property
+    def paired(self) -> DataFrame:
+        return self.fitted.params
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Orders by market segment as gap-free weekly series with rolling means and running totals."""
     tables = Inputs(spark, folder)
@@ -236,6 +254,23 @@ def s3_parse_dates(spark, folder):
     return rejected_records(orders.withColumn("day", text), "day", keys=["o_orderstatus"])
 
 
+@query
+def s3_corrupt_lines(spark, folder):
+    """Orders as CSV lines, some too long, some too short, some without a date: what is kept, and what is rejected why."""
+    i = Inputs.of(spark, folder)
+    path = f"{i.scratch()}/orders"
+    late = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("soon")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    price = F.when(F.col("o_orderstatus") == "P", F.lit("dear")).otherwise(F.col("o_orderkey").cast("string"))
+    fields = F.when(F.col("o_orderpriority") == "1-URGENT", F.array("o_orderstatus", late, price, F.lit("more")))
+    fields = fields.when(F.col("o_orderpriority") == "2-HIGH", F.array("o_orderstatus", late)).otherwise(F.array("o_orderstatus", late, price))
+    lines = i.table("orders").select(F.concat_ws(",", fields).alias("order_status,day,number"))
+    lines.write.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    read = read_table(spark, path, "csv", mode="permissive")
+    kept = select_records(read, ["order_status"], "day", "number", None, mode="permissive").where("ts IS NOT NULL AND number IS NOT NULL")
+    found = reject_table(read, "day", ["number"]).groupBy("order_status", "reason").agg(F.count(F.lit(1)).alias("rows"))
+    return found.unionByName(kept.groupBy("order_status").agg(F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("rows")))
+
+
 @query
 def s4_write_tables(spark, folder):
     i = Inputs.of(spark, folder)
@@ -1071,3 +1106,105 @@ def d10_weighted_panels(spark, folder):
 @query
 def d11_exploratory(spark, folder):
     return tidy(chartdata.exploratory_panels(Inputs.of(spark, folder).weekly, FLAG), 4)
+
+
+# --- every family on fits that were run to their end --------------------------------------------------------------------
+
+
+@query
+def x_fitted_features(spark, folder):
+    """Scaled features of each week: complete, with mean 0, and spread 1 unless constant."""
+    i = FittedInputs.of(spark, folder)
+    names = features.feature_names()
+    rows = features.make_features(i.target.select(*FLAG, "pos", "x"), i.parts, features.time_context(i.target, FLAG), FLAG)
+    scaled = features.scale(rows, features.fit_scaler(rows, FLAG), FLAG)
+    complete = F.count_if(reduce(and_, (F.col(n).isNotNull() for n in names)))
+    centred = reduce(and_, (F.abs(F.avg(n)) < 1e-6 for n in names))
+    spread = reduce(and_, ((F.abs(F.stddev_pop(n) - 1) < 1e-6) | (F.min(n) == F.max(n)) for n in names))
+    return scaled.groupBy(*FLAG).agg(F.count(F.lit(1)).alias("weeks"), complete.alias("complete"), (centred & spread).alias("standard"))
+
+
+@query
+def a_fitted_measures(spark, folder):
+    """Fold measures per curve: rows scored in either role, and measures that agree with each other."""
+    i = FittedInputs.of(spark, folder)
+    scored = predictions.fold_metrics(i.target, i.folds, i.paired, FLAG)
+    agree = (F.col("rmse") >= F.col("mae") - 1e-9) & (F.col("mae") >= 0) & (F.col("r2") <= 1)
+    rows = {role: F.sum(F.when(F.col("role") == role, F.col("n"))).alias(f"{role}_rows") for role in ("train", "test")}
+    return scored.groupBy(*FLAG, "model").agg(*rows.values(), F.min(agree).alias("agree"))
+
+
+@query
+def e_fitted_weights(spark, folder):
+    """Weights of the components add to 1, and the best component by a measure has the greatest weight by it."""
+    weights = FittedInputs.of(spark, folder).weights
+    by_r2 = F.max_by("r2_weight", "r2") == F.max("r2_weight")
+    by_mse = F.min_by("inv_mse_weight", "mse") == F.max("inv_mse_weight")
+    sums = [F.round(F.sum(w), 9).alias(w) for w in ("r2_weight", "inv_mse_weight")]
+    return weights.groupBy(*FLAG).agg(F.count(F.lit(1)).alias("components"), *sums, (by_r2 & by_mse).alias("ordered"))
+
+
+@query
+def e_fitted_averages(spark, folder):
+    """No average lies outside what its components predict."""
+    i = FittedInputs.of(spark, folder)
+    each = predictions.curve_predictions(i.target.select(*FLAG, "pos", "x"), i.parts, FLAG)
+    ends = each.groupBy(*FLAG, "pos").agg(F.min("pred").alias("low"), F.max("pred").alias("high"))
+    slack = F.lit(1e-9) * F.greatest(F.abs("low"), F.abs("high"), F.lit(1.0))
+    inside = F.col("pred").between(F.col("low") - slack, F.col("high") + slack)
+    rows = i.average_preds.join(ends, [*FLAG, "pos"])
+    return rows.groupBy(*FLAG, "model").agg(F.count("pred").alias("weeks"), F.count_if(inside).alias("inside"))
+
+
+@query
+def b_fitted_best(spark, folder):
+    """The chosen curve and the chosen average have the greatest score of their kind."""
+    i = FittedInputs.of(spark, folder)
+    chosen = combine(*[i.best(kind).withColumn("type", F.lit(kind)) for kind in ("Individual", "Ensemble")])
+    rows = i.metrics.join(chosen, [*FLAG, "type"])
+    own = F.max(F.when(F.col("model") == F.col("best_model"), F.col("r2")))
+    greatest = (own == F.max("r2")) & (F.max("best_score") == F.max("r2"))
+    return rows.groupBy(*FLAG, "type").agg(F.count("r2").alias("models"), greatest.alias("greatest"))
+
+
+@query
+def h_fitted_forecast(spark, folder):
+    """Weeks ahead with whole rows, and with bounds in order."""
+    i = FittedInputs.of(spark, folder)
+    interval = forecast.param_noise_interval(i.future, i.best_params, FLAG, draws=1000)
+    table = forecast.forecast_table(i.future, i.best_params, i.best_ensemble_ahead, interval, FLAG)
+    whole = F.col("best_model_forecast").isNotNull() & F.col("best_ensemble_forecast").isNotNull()
+    ordered = F.count_if(F.col("lower_bound_ci") <= F.col("upper_bound_ci"))
+    return table.groupBy(*FLAG).agg(F.count("date").alias("weeks"), F.count_if(whole).alias("whole"), ordered.alias("ordered"))
+
+
+@query
+def r_fitted_reports(spark, folder):
+    """Rows per series in each report, and values in them."""
+    i = FittedInputs.of(spark, folder)
+    full = reports.full_predictions(i.curve_preds, i.average_preds, FLAG, averaging.AVERAGES)
+    tables = {
+        "coefficients": (reports.coefficient_table(i.paired, FLAG), "Value"),
+        "standalone": (reports.standalone_metrics(i.curve_metrics, FLAG), "RMSE"),
+        "full": (full, "Richards_Pred"),
+        "summary": (reports.predictions_summary(full, FLAG), "mean_predicted"),
+        "comparison": (reports.weighted_comparison(averaging.average_metrics(i.average_preds, FLAG), FLAG), "RMSE"),
+        "parameters": (reports.weighted_parameters(i.paired, i.weights, FLAG), "Growth_Rate_Value"),
+        "overall": (reports.overall_metrics(i.metrics, FLAG), "RMSE"),
+    }
+    counted = [t.groupBy(*FLAG).agg(F.lit(n).alias("report"), F.count(F.lit(1)).alias("rows"), F.count(f"`{c}`").alias("values")) for n, (t, c) in tables.items()]
+    return combine(*counted)
+
+
+@query
+def d_fitted_charts(spark, folder):
+    """Every residual is in one bin and at one place of the normal plot; the density has all its points and at most mass 1."""
+    i = FittedInputs.of(spark, folder)
+    resid, by = _residuals(i), [*FLAG, "model"]
+    bins = chartdata.residual_histogram(resid, FLAG).groupBy(*by).agg(F.sum("count").alias("binned"))
+    density = chartdata.residual_density(resid, FLAG)
+    mass = F.avg("density") * (F.max("residual_at") - F.min("residual_at"))
+    density = density.groupBy(*by).agg(F.count("density").alias("points"), mass.between(0.5, 1.05).alias("mass"))
+    plot = chartdata.normal_qq(resid, FLAG).groupBy(*by).agg(F.count("theoretical").alias("placed"))
+    rows = resid.groupBy(*by).agg(F.count("residual").alias("residuals"))
+    return rows.join(bins, by).join(plot, by).join(density, by)

@@ -1,6 +1,6 @@
 import pytest
 
-from growthpanel.sources.records import MISSING_KEY, read_table, rejected_records, select_records
+from growthpanel.sources.records import CORRUPT, MISSING_KEY, read_table, reject_table, rejected_records, select_records
 
 CSV = "date,enrollment_cleaned,cumulative,note\n2007-01-03,4,4,a\n2007-01-04,6,10,b\n"
 
@@ -33,6 +33,28 @@ def test_strict_fails_on_a_bad_date_and_permissive_counts_it(spark, tmp_path):
     assert rejected_records(table, "date").first()["rejected"] == 1
 
 
+def test_lines_with_too_few_or_too_many_fields(spark, tmp_path):
+    path = _csv(tmp_path, CSV + "2007-01-05,1\n2007-01-06,1,12,c,d\nsomeday,x,,c\n")
+    strict = read_table(spark, path)
+    for read in (strict.count, strict.select("date").collect, select_records(strict, mode="permissive").count):
+        with pytest.raises(Exception, match="line with a wrong number of fields: 2007-01-0"):
+            read()
+    table = read_table(spark, path, mode="permissive")
+    assert table.columns[-1] == CORRUPT and table.count() == 5
+    with pytest.raises(Exception, match="wrong number of fields"):
+        select_records(table).collect()
+    kept = select_records(table, mode="permissive").orderBy("ts").collect()
+    assert [(r["number"], r["cumulative"]) for r in kept] == [(None, None), (4.0, 4.0), (6.0, 10.0)]
+    rejects = reject_table(table)
+    assert rejects.columns == ["date", "enrollment_cleaned", "cumulative", "note", "reason", "value"]
+    assert sorted((r["reason"], r["value"]) for r in rejects.collect()) == [
+        ("corrupt_line", "2007-01-05,1"), ("corrupt_line", "2007-01-06,1,12,c,d"),
+        ("unreadable_date", "someday"), ("unreadable_enrollment_cleaned", "x"),
+    ]
+    with pytest.raises(ValueError, match="mode"):
+        read_table(spark, path, mode="lax")
+
+
 def test_date_format_and_bad_number(spark, tmp_path):
     table = read_table(spark, _csv(tmp_path, "date,enrollment_cleaned,cumulative\n03/01/2007,x,4\n"))
     with pytest.raises(Exception, match="unreadable enrollment_cleaned: x"):
