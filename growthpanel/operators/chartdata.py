@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from growthpanel.functions.columns import clip, ratio, with_keys
 from growthpanel.functions.noise import normal_quantile
-from growthpanel.operators.folds import last_fold_rows
+from growthpanel.operators.averaging import BY_MSE, BY_R2, SIMPLE
+from growthpanel.operators.folds import with_last_fold_role
 from growthpanel.operators.metrics import score
 from growthpanel.operators.selection import ENSEMBLES, combined_metrics, melt_metrics, overall_score, top_per_group
+from growthpanel.operators.trees import BOOSTING, FOREST
 
 
 def residuals(predictions: DataFrame) -> DataFrame:
@@ -93,30 +95,37 @@ def residual_histogram(resid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def residual_density(resid: DataFrame, keys: Sequence[str] = (), grid: int = 200) -> DataFrame:
     """Gaussian kernel density (Scott's bandwidth) at ``grid`` points from least to greatest residual.
 
-    ``scaled`` is the density times rows and bin width, which lays it over the histogram. Grid and rows meet on the
-    model's key and are averaged at once.
+    ``scaled`` is the density times rows and bin width, which lays it over the histogram. Every task adds the kernels of
+    its rows to ``grid`` sums per model, and only sums are shuffled; the grid's rows appear after them.
     """
     resid, keys = with_keys(resid, keys)
-    by = [*keys, "model"]
-    facts = histogram_bins(resid, keys).where((F.col("n") > 1) & (F.col("std") > 0))
-    bandwidth = F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    points = facts.withColumns(
-        {"bandwidth": bandwidth, "point": F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))}
-    ).withColumn("residual_at", F.col("low") + (F.col("high") - F.col("low")) * F.col("point") / F.lit(float(grid - 1)))
-    z = (F.col("residual_at") - F.col("residual")) / F.col("bandwidth")
-    kernel = F.exp(F.lit(-0.5) * z * z) / (F.col("bandwidth") * F.lit(math.sqrt(2.0 * math.pi)))
-    pairs = points.join(resid.select(*by, "residual"), by)
-    averaged = pairs.groupBy(*by, "point", "residual_at", "n", "width").agg(F.avg(kernel).alias("density"))
-    return averaged.select(
-        *by, "point", "residual_at", "density", (F.col("density") * F.col("n") * F.col("width")).alias("scaled")
+    by, facts = [*keys, "model"], ["n", "width", "low", "step", "bandwidth"]
+    sized = histogram_bins(resid, keys).where((F.col("n") > 1) & (F.col("std") > 0))
+    sized = sized.withColumns(
+        {
+            "bandwidth": F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2)),
+            "step": (F.col("high") - F.col("low")) / F.lit(float(max(1, grid - 1))),
+        }
+    )
+    met = resid.select(*by, "residual").join(sized.select(*by, *facts), by).withColumns(
+        {"first": (F.col("low") - F.col("residual")) / F.col("bandwidth"), "stride": F.col("step") / F.col("bandwidth")}
+    )
+    z = [F.col("first") + F.col("stride") * F.lit(float(point)) for point in range(grid)]
+    summed = met.groupBy(*by, *facts).agg(F.array(*[F.sum(F.exp(F.lit(-0.5) * at * at)) for at in z]).alias("sums"))
+    mean = F.col("sum") / F.col("n") / (F.col("bandwidth") * F.lit(math.sqrt(2.0 * math.pi)))
+    return summed.select(*by, *facts, F.posexplode("sums").alias("point", "sum")).select(
+        *by,
+        "point",
+        (F.col("low") + F.col("step") * F.col("point")).alias("residual_at"),
+        mean.alias("density"),
+        (mean * F.col("n") * F.col("width")).alias("scaled"),
     )
 
 
-def observed_and_fitted(target: DataFrame, folds: DataFrame, predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def observed_and_fitted(folds: DataFrame, predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Every week with its last-fold label (train, test, none) and each model's prediction."""
-    target, keys = with_keys(target, keys)
-    roles = last_fold_rows(target, folds, keys).select(*keys, "pos", "role")
-    labelled = predictions.join(roles, [*keys, "pos"], "left")
+    predictions, keys = with_keys(predictions, keys)
+    labelled = with_last_fold_role(predictions, folds, keys)
     return labelled.select(
         *keys, "date", "pos", "x", "y", F.coalesce("role", F.lit("none")).alias("split"), "model", "pred"
     )
@@ -135,18 +144,8 @@ def ensemble_comparison(observed_ensembles: DataFrame, observed_curves: DataFram
     observed_ensembles, keys = with_keys(observed_ensembles, keys)
     named = best.select(*keys, F.col("best_model").alias("model"))
     curve = observed_curves.join(named, [*keys, "model"]).withColumn("plot_order", F.lit(0))
-    preferred = F.array(
-        *[
-            F.lit(n)
-            for n in (
-                "Simple Average",
-                "Weighted Average (R2)",
-                "Weighted Average (InvMSE)",
-                "Random Forest",
-                "Gradient Boosting",
-            )
-        ]
-    )
+    # fixed values: the order in which the ensembles are drawn
+    preferred = F.array(*[F.lit(n) for n in (SIMPLE, BY_R2, BY_MSE, FOREST, BOOSTING)])
     place = F.array_position(preferred, F.col("model"))
     others = observed_ensembles.withColumn(
         "plot_order", F.when(place > 0, place).otherwise(F.lit(len(ENSEMBLES) + 1)).cast("int")
@@ -180,17 +179,14 @@ def validation(
     return both.withColumns(measures)
 
 
-def ensemble_diagnostics(target: DataFrame, folds: DataFrame, ensemble_preds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def ensemble_diagnostics(folds: DataFrame, ensemble_preds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Residuals of every ensemble on the last test block, or on all weeks for a series without one.
 
     Feed the result to ``normal_qq``, ``residual_histogram`` and ``residual_density``.
     """
-    target, keys = with_keys(target, keys)
-    tested = last_fold_rows(target, folds, keys).where(F.col("role") == "test").select(*keys, "pos", F.lit(True).alias("tested"))
-    marked = ensemble_preds.join(tested, [*keys, "pos"], "left")
-    has_test = F.max(F.coalesce("tested", F.lit(False))).over(Window.partitionBy(*keys))
-    chosen = marked.withColumn("has_test", has_test).where(F.coalesce("tested", F.lit(False)) | ~F.col("has_test"))
-    return residuals(chosen.drop("tested", "has_test"))
+    ensemble_preds, keys = with_keys(ensemble_preds, keys)
+    chosen = with_last_fold_role(ensemble_preds, folds, keys).where((F.col("role") == "test") | F.col("no_folds"))
+    return residuals(chosen.drop("role", "no_folds"))
 
 
 def metric_panels(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

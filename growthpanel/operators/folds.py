@@ -113,13 +113,22 @@ def fold_rows(target: DataFrame, folds: DataFrame, keys: Sequence[str] = ()) ->
     return joined.where(F.col("role").isNotNull())
 
 
-def last_fold_rows(target: DataFrame, folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Last fold's train and test rows; a series without folds has all rows as train and none as test."""
-    target, keys = with_keys(target, keys)
-    last = folds.where(F.col("fold") == F.col("k") - 1).drop("n", "k", "fold")
+def with_last_fold_role(rows: DataFrame, folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows (keys, pos, ...) with their ``role`` in the last fold, train, test or NULL, and ``no_folds``: all rows train.
+
+    The role follows from ``pos`` and one row per series.
+    """
+    rows, keys = with_keys(rows, keys)
+    last = folds.where(F.col("fold") == F.col("k") - 1).select(*keys, "train_end", "test_start", "test_end")
+    no_folds = F.col("train_end").isNull()
     role = (
-        F.when(F.col("train_end").isNull() | (F.col("pos") < F.col("train_end")), F.lit("train"))
+        F.when(no_folds | (F.col("pos") < F.col("train_end")), F.lit("train"))
         .when((F.col("pos") >= F.col("test_start")) & (F.col("pos") < F.col("test_end")), F.lit("test"))
     )
-    joined = target.join(last, keys, "left").withColumn("role", role)
-    return joined.where(F.col("role").isNotNull()).drop("train_end", "test_start", "test_end")
+    joined = rows.join(last, keys, "left").withColumns({"role": role, "no_folds": no_folds})
+    return joined.drop("train_end", "test_start", "test_end")
+
+
+def last_fold_rows(target: DataFrame, folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Last fold's train and test rows; a series without folds has all rows as train and none as test."""
+    return with_last_fold_role(target, folds, keys).where(F.col("role").isNotNull()).drop("no_folds")

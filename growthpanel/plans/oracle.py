@@ -352,6 +352,7 @@ grid AS (SELECT *, std * POW(n, -0.2) AS h, low + (high - low) * point / 199.0 A
 SELECT g.k AS l_returnflag, g.model, point, {_r('residual_at', 'residual_at', 3)}, {_r('AVG(EXP(-0.5 * ((residual_at - residual) / h) * ((residual_at - residual) / h)) / (h * SQRT(2 * PI()))) * ANY_VALUE(n) * ANY_VALUE(width)', 'scaled', 3)}
 FROM grid g JOIN resid r ON r.k = g.k AND r.model = g.model GROUP BY g.k, g.model, point, residual_at"""
 
+ORACLE["s4_clustered_reports"] = "SELECT l_suppkey, CAST((MAX(week) - MIN(week)) / 7 + 1 AS BIGINT) AS weeks, CAST(1 AS BIGINT) AS files FROM (SELECT l_suppkey, CAST(l_shipdate AS DATE) + CAST(7 - isodow(CAST(l_shipdate AS DATE)) AS INTEGER) AS week FROM lineitem) GROUP BY l_suppkey"
 ORACLE["s1_load"] = f"SELECT o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS ts, {_r('o_totalprice', 'number')}, CAST(o_orderkey AS DOUBLE) AS cumulative FROM orders"
 ORACLE["s2_select_columns"] = f"SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS ts, {_r('o_totalprice', 'number')}, CAST(o_orderkey AS DOUBLE) AS cumulative FROM orders"
 ORACLE["s3_parse_dates"] = "SELECT o_orderstatus, COUNT(*) AS rows, COUNT(*) FILTER (TRY_CAST(CASE WHEN o_orderstatus = 'P' THEN 'P' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS DATE) IS NULL) AS rejected FROM orders GROUP BY 1"

@@ -280,6 +280,17 @@ def s4_write_tables(spark, folder):
     return tidy(back.select(*i.weekly.columns), 4)
 
 
+@query
+def s4_clustered_reports(spark, folder):
+    """The weekly panel of all suppliers, written by supplier: weeks of each, and the files that hold them."""
+    i = Inputs.of(spark, folder)
+    path = f"{i.scratch()}/by_supplier"
+    panel = weekly.weekly_panel(i.shipped(["l_suppkey"]), ["l_suppkey"])
+    (written,) = storage.write_reports({"weekly": panel}, path, "parquet", ["l_suppkey"])
+    back = spark.read.parquet(written).select("l_suppkey", F.col("_metadata.file_name").alias("file"))
+    return tidy(back.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("weeks"), F.count_distinct("file").alias("files")))
+
+
 @query
 def s5_save_models(spark, folder):
     """What was saved, read back."""
@@ -1048,21 +1059,21 @@ def d3_density(spark, folder):
 @query
 def d4_observed_fitted(spark, folder):
     i = Inputs.of(spark, folder)
-    return tidy(chartdata.observed_and_fitted(i.target, i.folds, i.curve_preds, FLAG), 2)
+    return tidy(chartdata.observed_and_fitted(i.folds, i.curve_preds, FLAG), 2)
 
 
 @query
 def d4_single_fit(spark, folder):
     i = Inputs.of(spark, folder)
-    observed = chartdata.observed_and_fitted(i.target, i.folds, i.curve_preds, FLAG)
+    observed = chartdata.observed_and_fitted(i.folds, i.curve_preds, FLAG)
     return tidy(chartdata.single_fit(observed, "Gompertz", FLAG).drop("x"), 2)
 
 
 @query
 def d5_ensemble_comparison(spark, folder):
     i = Inputs.of(spark, folder)
-    curves = chartdata.observed_and_fitted(i.target, i.folds, i.curve_preds, FLAG)
-    ensembles = chartdata.observed_and_fitted(i.target, i.folds, i.average_preds, FLAG)
+    curves = chartdata.observed_and_fitted(i.folds, i.curve_preds, FLAG)
+    ensembles = chartdata.observed_and_fitted(i.folds, i.average_preds, FLAG)
     rows = chartdata.ensemble_comparison(ensembles, curves, i.best("Individual"), FLAG)
     return tidy(rows.select(*FLAG, "pos", "split", "model", "plot_order", "pred"), 2)
 
@@ -1077,7 +1088,7 @@ def d6_validation(spark, folder):
 @query
 def d7_ensemble_diagnostics(spark, folder):
     i = Inputs.of(spark, folder)
-    rows = chartdata.ensemble_diagnostics(i.target, i.folds, i.average_preds, FLAG)
+    rows = chartdata.ensemble_diagnostics(i.folds, i.average_preds, FLAG)
     return tidy(rows.select(*FLAG, "model", "pos", "pred", "residual"), 2)
 
 

@@ -88,8 +88,8 @@ class Trained:
     def charts(self) -> dict[str, DataFrame]:
         """The tables behind the figures by name."""
         keys = self.keys
-        curves = chartdata.observed_and_fitted(self.target, self.folds, self.curve_predictions, keys)
-        ensembles = chartdata.observed_and_fitted(self.target, self.folds, self.ensemble_predictions, keys)
+        curves = chartdata.observed_and_fitted(self.folds, self.curve_predictions, keys)
+        ensembles = chartdata.observed_and_fitted(self.folds, self.ensemble_predictions, keys)
         resid = chartdata.residuals(self.curve_predictions)
         own = chartdata.residuals(self.ensemble_predictions.where("pred IS NOT NULL"))
         averages = self.metrics.where(F.col("type") == "Ensemble")
@@ -104,7 +104,7 @@ class Trained:
             "normal_qq": chartdata.normal_qq(resid, keys),
             "residual_histogram": chartdata.residual_histogram(resid, keys),
             "residual_density": chartdata.residual_density(resid, keys),
-            "ensemble_diagnostics": chartdata.ensemble_diagnostics(self.target, self.folds, self.ensemble_predictions, keys),
+            "ensemble_diagnostics": chartdata.ensemble_diagnostics(self.folds, self.ensemble_predictions, keys),
             "metric_panels": chartdata.metric_panels(self.metrics, keys),
             "weighted_panels": chartdata.weighted_comparison_panels(reports.weighted_comparison(averages, keys), keys),
             "ensemble_residuals": own,
@@ -119,7 +119,7 @@ class Trained:
 
     def save(self, folder: str, format: str = "csv") -> None:
         """Reports, then curves and tree models as a new version, for later reading and for ``predict``."""
-        write_reports(self.reports(), f"{folder}/reports", format)
+        write_reports(self.reports(), f"{folder}/reports", format, self.keys)
         save_models(self.tree_ensembles.values(), self.params, self.best_curve, f"{folder}/models")
 
     def close(self) -> None:

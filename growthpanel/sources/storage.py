@@ -18,8 +18,17 @@ from growthpanel.sources.runstore import delete_path, file_system
 MANIFESTS = "manifests"
 
 
-def write_table(df: DataFrame, path: str, format: str = "csv", partition_by: Sequence[str] = ()) -> None:
-    """Write a table, replacing what is there; CSV gets a header."""
+def write_table(
+    df: DataFrame, path: str, format: str = "csv", partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()
+) -> None:
+    """Write a table, replacing what is there; CSV gets a header.
+
+    With ``cluster_by``, files hold ranges of these columns that do not overlap, sorted, so a reader of one key opens one
+    file, and parquet's statistics say which. A key's rows are one task's: cluster by keys whose groups are bounded, as
+    a series is by its weeks and models.
+    """
+    if cluster_by:
+        df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
     writer = df.write.mode("overwrite").format(format)
     if format == "csv":
         writer = writer.option("header", True)
@@ -31,12 +40,12 @@ def slug(name: str) -> str:
     return "-".join(re.findall("[a-z0-9]+", name.lower()))
 
 
-def write_reports(tables: dict[str, DataFrame], folder: str, format: str = "csv") -> list[str]:
-    """One folder per table."""
+def write_reports(tables: dict[str, DataFrame], folder: str, format: str = "csv", keys: Sequence[str] = ()) -> list[str]:
+    """One folder per table, clustered by those of ``keys`` that the table has."""
     paths = []
     for name, table in tables.items():
         path = f"{folder}/{slug(name)}"
-        write_table(table, path, format)
+        write_table(table, path, format, cluster_by=[k for k in keys if k in table.columns])
         paths.append(path)
     return paths
 

@@ -1,6 +1,7 @@
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -81,10 +82,10 @@ def test_a_save_that_breaks_off_leaves_the_old_version(spark, trained, tmp_path,
     storage.save_models(models[:1], trained.params, trained.best_curve, folder)
     first = storage.current_version(spark, folder)
 
-    def breaks(df, path, *more):
+    def breaks(df, path, *more, **options):
         if path.endswith("best_curve"):
             raise OSError("no room")
-        write(df, path, *more)
+        write(df, path, *more, **options)
 
     monkeypatch.setattr(storage, "write_table", breaks)
     with pytest.raises(OSError, match="no room"):
@@ -164,3 +165,56 @@ def test_top_importances_of_a_missing_model(spark):
     long = spark.createDataFrame([("Random Forest", "a", 0.7), ("Random Forest", "b", 0.3)], "model string, feature string, importance double")
     assert [r["feature"] for r in chartdata.top_importances(long, "Random Forest", 1).collect()] == ["a"]
     assert chartdata.top_importances(long, "Gradient Boosting").isEmpty()
+
+
+def test_reports_are_clustered_by_series(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 7).selectExpr("id * 7919 % 40 as sid", "id as pos", "concat('m', id % 4) as model")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        paths = storage.write_reports({"Own rows": rows, "models": rows.select("model").distinct()}, str(tmp_path), "parquet", ["sid"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [Path(p).name for p in paths] == ["own-rows", "models"]
+    ranges = []
+    for file in Path(paths[0]).glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        found = [meta.row_group(g).column(0).statistics for g in range(meta.num_row_groups)]
+        ranges.append((min(f.min for f in found), max(f.max for f in found)))
+        sids = pq.read_table(file).column("sid").to_pylist()
+        assert sids == sorted(sids)
+    ranges.sort()
+    assert len(ranges) > 3 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))  # one series, one file
+    assert spark.read.parquet(paths[0]).exceptAll(rows).isEmpty() and spark.read.parquet(paths[0]).count() == 4000
+    assert spark.read.parquet(paths[1]).count() == 4
+    storage.write_reports({"none": rows.where("false")}, str(tmp_path), "csv", ["sid"])
+    assert not list((tmp_path / "none").glob("*.csv")) or spark.read.option("header", True).csv(str(tmp_path / "none")).isEmpty()
+
+
+def test_density_adds_sums_before_rows_of_the_grid(spark):
+    rng = np.random.default_rng(1)
+    values = {"a": rng.normal(size=50), "b": rng.exponential(size=7), "flat": np.full(4, 2.0), "one": np.array([1.0])}
+    rows = [("s", m, float(v)) for m, vs in values.items() for v in vs]
+    resid = spark.createDataFrame(rows, "sid string, model string, residual double").repartition(3)
+    found = chartdata.residual_density(resid, ["sid"], grid=9)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Aggregate")
+    got = {(r["model"], r["point"]): (r["residual_at"], r["density"]) for r in found.collect()}
+    assert {m for m, _ in got} == {"a", "b"} and len(got) == 18
+    for model in ("a", "b"):
+        v = values[model]
+        h, grid = v.std(ddof=1) * len(v) ** -0.2, np.linspace(v.min(), v.max(), 9)
+        for point, at in enumerate(grid):
+            density = np.exp(-0.5 * ((at - v) / h) ** 2).mean() / (h * np.sqrt(2 * np.pi))
+            assert got[model, point] == pytest.approx((at, density), rel=1e-9)
+
+
+def test_roles_come_from_positions(spark):
+    folds = spark.createDataFrame([("s", 0, 10, 2, 3, 4, 7), ("s", 1, 10, 2, 6, 7, 10)], "sid string, fold int, n int, k int, train_end int, test_start int, test_end int")
+    rows = [(s, "m", None, p, float(p), 1.0, 0.5 * p) for s in ("s", "short") for p in range(10)]
+    preds = spark.createDataFrame(rows, "sid string, model string, date date, pos int, x double, y double, pred double")
+    split = {(r["sid"], r["pos"]): r["split"] for r in chartdata.observed_and_fitted(folds, preds, ["sid"]).collect()}
+    assert [split["s", p] for p in range(10)] == ["train"] * 6 + ["none"] + ["test"] * 3
+    assert {split["short", p] for p in range(10)} == {"train"}
+    own = chartdata.ensemble_diagnostics(folds, preds, ["sid"])
+    assert {(r["sid"], r["pos"]) for r in own.collect()} == {("s", 7), ("s", 8), ("s", 9)} | {("short", p) for p in range(10)}
+    assert not {"role", "no_folds"} & set(own.columns)
