@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from growthpanel.llm.boosting import Trees, boost
 
 #: most pages of the table that are learned from, taken by a hash, beside as many made-up layouts as said
-SAMPLE, LAYOUTS, SEED = 400, 600, 42
+SAMPLE, LAYOUTS, SEED = 400, 800, 42
 #: pages that are judged together
 BATCH = 256
 
@@ -42,6 +42,7 @@ _token = re.compile(
 )
 _attribute = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _letters = re.compile(r"[a-z]+")
+_block = re.compile(r"<(p|h1|h2|ul|blockquote|table|pre|div)>")
 
 TAGS = "body article main section div p heading list li table nav header footer aside form figure quote pre other".split()
 _TAG = {t: i for i, t in enumerate(TAGS)}
@@ -247,7 +248,23 @@ def features(page: Page) -> np.ndarray:
         previous[i] = last.get(p, 0.0)
         last[p] = links[i] / max(1.0, chars[i])
     density = links / np.maximum(1.0, chars)
+    # text of a node's own paragraphs, against the node with the most: the article's element, whatever its name
+    prose = own_chars * np.isin(kind, [_TAG["p"], _TAG["pre"], _TAG["quote"]]) * (links <= 0.5 * chars)
+    held = own_chars * np.isin(kind, [_TAG[t] for t in ("div", "section", "article", "main", "body", "table", "other")]) * (links <= 0.5 * chars)
+    np.add.at(held, np.maximum(parent, 0), prose * has)
+    held *= ~is_out
+    held /= max(1.0, held.max())
+    held_above = np.zeros(n)
+    for i, p in enumerate(page.parent):
+        if p >= 0:
+            held_above[i] = max(held_above[p], held[p])
+    held_below = held.copy()
+    for i in range(n - 1, 0, -1):
+        if parent[i] >= 0:
+            held_below[parent[i]] = max(held_below[parent[i]], held_below[i])
+    up = np.maximum(parent, 0)
     columns = [
+        held, held[up] * has, held_above, held_below, chars[up] / total * has, density[up] * has, np.log1p(paragraphs[up]) * has, kind[up] * has,
         kind, np.log1p(chars), np.log1p(own_chars), density, dots / np.maximum(1.0, words), np.log1p(words),
         chars / np.maximum(1.0, nodes), np.log1p(nodes), np.log1p(paragraphs), np.log1p(items), chars / total, order / total,
         depth, place, family, place / np.maximum(1.0, family), chars / np.maximum(1.0, parent_chars), (parent_chars - chars) / np.maximum(1.0, family - 1),
@@ -283,11 +300,17 @@ def silver_labels(page: Page) -> np.ndarray:
 
 
 def made_labels(page: Page) -> np.ndarray:
-    """Labels of a made-up layout: a node has its own mark, or its parent's; what holds text is text."""
+    """Labels of a made-up layout: a node has its own mark, or its parent's."""
     labels, marks = np.zeros(len(page.parent), bool), dict(m.split(":") for m in page.marks)
     for i, p in enumerate(page.parent):
         mark = marks.get(str(i))
         labels[i] = mark == "1" if mark else p >= 0 and labels[p]
+    return labels
+
+
+def with_ancestors(page: Page, labels: np.ndarray) -> np.ndarray:
+    """The labels to learn: what holds text is to be kept, too."""
+    labels = labels.copy()
     for i in range(len(labels) - 1, 0, -1):
         if labels[i] and page.parent[i] >= 0:
             labels[page.parent[i]] = True
@@ -295,7 +318,11 @@ def made_labels(page: Page) -> np.ndarray:
 
 
 def made_layout(rng: np.random.Generator) -> str:
-    """A page of a common layout with invented words; its parts are marked as text (1) or not (0)."""
+    """A page of a common layout with invented words; its parts are marked as text (1) or not (0).
+
+    The article stands in an element that names it, in one whose words also name something else, in a nameless one, in
+    a table's cell, or straight in its parent.
+    """
     pick = lambda options: options[int(rng.integers(len(options)))]
     word = lambda: "".join(pick(["ba", "do", "ki", "lu", "mer", "ston", "ti", "ra", "ven", "sho"]) for _ in range(rng.integers(1, 5)))
     line = lambda a, b: " ".join(word() + (pick([",", ".", ""]) if rng.random() < 0.15 else "") for _ in range(rng.integers(a, b)))
@@ -324,8 +351,13 @@ def made_layout(rng: np.random.Generator) -> str:
         "form": lambda: f'<form id="label-0" class="{token("form")}"><p>{line(2, 12)}</p><label>{word()}</label><input></form>',
     }
     some = lambda names, odds: "".join(noise[x]() for x in names if rng.random() < odds)
-    body = [f"<h{k}>{line(2, 10)}</h{k}>" for k in (1,)] if rng.random() < 0.8 else []
-    for _ in range(rng.integers(1, 12)):
+    shape = pick(["named"] * 6 + ["mixed", "mixed", "plain", "bare", "table", "table"])
+    title = f"<h1>{line(2, 10)}</h1>"
+    body = [title if rng.random() < 0.8 else f'<header id="label-1">{title}</header>'] if rng.random() < 0.8 else []
+    short = shape == "named" and rng.random() < 0.25
+    if short:
+        body.append(pick([lambda: f"<p>{line(1, 9)}</p>", lambda: f"<p><b>{line(1, 9)}<br>", lambda: line(1, 12)])())
+    for _ in range(0 if short else rng.integers(1, 12)):
         body.append(pick([
             lambda: f"<p>{line(1, 120)}</p>", lambda: f"<p>{line(20, 150)}</p>", lambda: f"<p>{line(5, 60)} {link()} {line(5, 40)}</p>", lambda: f"<p><b>{line(1, 20)}<br><p>{line(5, 60)}</p>",
             lambda: f"<h2>{line(1, 8)}</h2>", lambda: "<ul>" + "".join(f"<li>{line(2, 25)}</li>" for _ in range(rng.integers(2, 6))) + "</ul>",
@@ -337,9 +369,22 @@ def made_layout(rng: np.random.Generator) -> str:
     own = f'class="{token("text")}{pick(["", "-body", " wide"])}"' if rng.random() < 0.7 else ""
     tag = pick(["article", "main", "div", "section", "article"])
     own = own or ('class="content"' if tag in ("div", "section") else "")
+    if shape in ("mixed", "plain"):
+        tag, words = pick(["div", "section", "div"]), [token("text"), token(pick(["head", "side", "side", "foot", "more", "comment"]))]
+        own = pick(["", f'id="{word()}"', f'class="{word()} {word()}"'])
+        if shape == "mixed":
+            rng.shuffle(words)
+            own = f'{pick(["class", "id"])}="{pick(["-", " ", "-with-"]).join(words)}"'
     text = f'<{tag} {own} id="label-1">{"".join(body)}</{tag}>'
+    if shape == "bare":
+        text = "".join(b if 'id="label-0"' in b else _block.sub(r'<\1 id="label-1">', b) for b in body)
+    elif shape == "table":
+        aside = lambda odds: f'<td id="label-0">{pick([links, noise["menu"], noise["side"], lambda: "<br>".join(link() for _ in range(rng.integers(2, 7)))])()}</td>' if rng.random() < odds else ""
+        row = f'<tr>{aside(0.7)}<td {pick(["", "valign=top", own])} id="label-1">{"".join(body)}</td>{aside(0.3)}</tr>'
+        last = f'<tr><td id="label-0">&copy; {line(2, 12)}</td></tr>' if rng.random() < 0.4 else ""
+        text = f"<table>{row}{last}</table>"
     for _ in range(rng.integers(3)):
-        text = f'<{(t := pick(["div", "main", "div"]))} {pick(["", "class=wrapper", "id=page"])}>{some(["side", "ad", "more"], 0.15)}{text}{some(["comment", "side", "more"], 0.25)}</{t}>'
+        text = f'<{(t := pick(["div", "main", "div"]))} {pick(["", "class=wrapper", "id=page", f"id={token('head')}", f"class=has-{token('side')}"])}>{some(["side", "ad", "more"], 0.15)}{text}{some(["comment", "side", "more"], 0.25)}</{t}>'
     before, after = some(["notice", "head", "menu", "ad", "form", "side"], 0.45), some(["comment", "more", "side", "form", "ad", "notice", "foot"], 0.45)
     return f"<html><head><title>{line(2, 6)}</title></head><body>{before}{text}{after}</body></html>"
 
@@ -352,7 +397,7 @@ def learn(pages: list[str], layouts: int = LAYOUTS, seed: int = SEED) -> Trees:
         if page.parent:
             rows = features(page)
             x.append(rows)
-            y.append(label(page))
+            y.append(with_ancestors(page, label(page)))
             w.append(0.3 + np.minimum(rows[:, 1], 6.0) / 6)
     return boost(np.concatenate(x), np.concatenate(y).astype(float), np.concatenate(w))
 

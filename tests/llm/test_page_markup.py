@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from growthpanel.llm import page_text
@@ -84,3 +86,45 @@ def test_unclosed_scripts_reach_the_end():
 def test_ids_of_real_pages_keep_their_tokens():
     page = page_text.read_page('<div id="label-footer"><p>x</p></div>')
     assert not page.marks and page.groups[0] == (page_text._GROUP["footer"],)
+
+
+TITLE, MENU = "The title of the story", "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li><li><a href=/c>Sport</a></li></ul></nav>"
+SIDE = '<div class="sidebar"><h3>More</h3><ul><li><a href=/1>One thing</a></li><li><a href=/2>Another thing</a></li></ul></div>'
+WHOLE = f"<h1>{TITLE}</h1>{STORY}"
+
+
+@pytest.fixture(scope="module")
+def learned():
+    """Trees learned as the query learns them."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    return page_text.learn(pages)
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'{MENU}<div class="main-column">{WHOLE}</div>{SIDE}{FOOT}',
+        f'{MENU}<div id="top"><div class="story">{WHOLE}</div></div>{FOOT}',
+        f'{MENU}<div class="content-with-sidebar"><div class="post-body">{WHOLE}</div>{SIDE}</div>{FOOT}',
+        f"{MENU}<div>{WHOLE}</div>{SIDE}{FOOT}",
+        f'{MENU}<div id="x1"><div id="x2">{WHOLE}</div></div>{SIDE}{FOOT}',
+        f"{MENU}{WHOLE}{SIDE}{FOOT}",
+        f"<table><tr><td>{MENU}</td><td>{WHOLE}</td></tr></table>{FOOT}",
+        f"<table><tr><td><a href=/a>Home</a><br><a href=/b>News</a></td><td>{WHOLE}</td></tr><tr><td>&copy; 2020 someone</td></tr></table>",
+        f"{MENU}<article><header><h1>{TITLE}</h1></header>{STORY}</article>{FOOT}",
+    ],
+)
+def test_articles_without_a_telling_wrapper(learned, html):
+    assert page_text.main_texts([f"<html><body>{html}</body></html>"], learned) == ["\n\n".join([TITLE, *PARAGRAPHS])]
+
+
+def test_layouts_that_were_not_learned(learned):
+    rng, right, due, found = np.random.default_rng(777), 0, 0, 0
+    for _ in range(200):
+        page = page_text.read_page(page_text.made_layout(rng), marked=True)
+        labels, kept = page_text.made_labels(page), page_text.decode(page.parent, learned.odds(page_text.features(page)))
+        for node, text, _ in page.blocks:
+            right += len(text) * bool(labels[node] and kept[node])
+            due += len(text) * bool(labels[node])
+            found += len(text) * bool(kept[node])
+    assert right / due >= 0.95 and right / found >= 0.95
