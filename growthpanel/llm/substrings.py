@@ -143,45 +143,12 @@ def _anchors(window: int):
             first = np.zeros(len(anchor), bool)
             first[np.unique(_mix(anchor) ^ content, return_index=True)[1]] = True
             known |= ~first
-            if known.any():  # known rows need no company: they are dealt out evenly
-                spread = _mix(content[known] + np.flatnonzero(known).astype(np.uint64))
-                anchor[known] = spread
             columns = [anchor.view(np.int64), content.view(np.int64), doc, text_hash, start.astype(np.int32), count.astype(np.int32), known]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NAMES)
 
     return run
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, content and place: regions that repeat (open = false), and those that only overlap others."""
-
-    def judged(rows: list[np.ndarray]) -> pa.RecordBatch:
-        anchor, content, doc, text_hash, start, count, known = rows
-        new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        new_content = new_anchor | np.concatenate([[True], content[1:] != content[:-1]])
-        which = np.cumsum(new_anchor) - 1
-        contents = np.bincount(which, new_content & ~known)
-        # the same document twice in a table is one document
-        at = np.maximum.accumulate(np.where(new_content, np.arange(len(anchor)), 0))
-        same = (doc == doc[at]) & (text_hash == text_hash[at]) & (start == start[at])
-        again, open_ = known | ~same, (contents[which] > 1) & new_content & ~known
-        out = again | open_
-        columns = [doc[out], text_hash[out], start[out], count[out], open_[out] & ~again[out]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "text_hash", "start", "count", "open"])
-
-    held = None
-    for batch in batches:
-        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in _NAMES]
-        if held is not None:
-            rows = [np.concatenate([a, b]) for a, b in zip(held, rows)]
-        cut = int(np.searchsorted(rows[0], rows[0][-1], side="left")) if len(rows[0]) else 0
-        if cut:
-            yield judged([r[:cut] for r in rows])
-        held = [r[cut:] for r in rows]
-    if held is not None and len(held[0]):
-        yield judged(held)
-
-
 def _windows(window: int):
     """(hash_a, hash_b, doc, text_hash, start) of every window of the open regions of a document."""
 
@@ -234,27 +201,33 @@ def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, shelf: Shelf |
     the whole windows around it: runs equal in all words repeat but for the first, and only where an anchor has runs
     that differ are their windows compared one by one, by 128 bits. Longer repeats need no further level, as windows
     cover them. Within a batch of texts equal runs are reduced to the first before the shuffle, so a passage that a third of all
-    documents hold is one row per batch; windows are counted with a map-side combine and met by a join that
-    adaptive execution splits. The texts are shuffled twice, to meet open runs and to be cut.
+    documents hold is one row per batch; anchors, runs and windows are counted with a map-side combine and met by joins that
+    adaptive execution splits, so no anchor's rows need to fit into one task. The texts are shuffled twice, to meet open
+    runs and to be cut.
     """
     if window < 2 or window % 2:
         raise ValueError("a window has an even number of words")
     shelf = shelf or Shelf(docs.sparkSession)
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
-    found = keyed.select("doc", "text_hash", "text").mapInArrow(_anchors(window), _SCHEMA)
-    ordered = found.repartition("anchor").sortWithinPartitions("anchor", "content", "doc", "text_hash", "start")
-    judged = shelf.keep(ordered.mapInArrow(_judge, "doc long, text_hash long, start int, count int, open boolean"), "judged")
+    found = shelf.keep(keyed.select("doc", "text_hash", "text").mapInArrow(_anchors(window), _SCHEMA), "regions")
+    live, place = found.where("NOT known").drop("known"), F.struct("doc", "text_hash", "start")
+    counted = live.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("content") != F.max("content")).alias("open"))
+    repeated = shelf.keep(counted.where("n > 1").drop("n"), "anchors")
+    met = shelf.keep(live.join(repeated, "anchor"), "met")
+    earliest = met.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.min("count").alias("count"), F.max("open").alias("open"))
+    firsts = shelf.keep(earliest, "firsts")
+    again = met.join(firsts.select("anchor", "content", "first"), ["anchor", "content"]).where(place != F.col("first"))
 
     def spans(df: DataFrame) -> DataFrame:
         return df.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
 
-    open_ = spans(judged.where("open"))
+    open_ = spans(firsts.where("open").select("first.*", "count"))
     texts = keyed.where("text IS NOT NULL").select("doc", "text_hash", "text").join(open_, ["doc", "text_hash"])
     windows = shelf.keep(texts.select("doc", "text_hash", "text", "spans").mapInArrow(_windows(window), "hash_a long, hash_b long, doc long, text_hash long, start int"), "windows")
-    place = F.struct("doc", "text_hash", "start")
     first = windows.groupBy("hash_a", "hash_b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = windows.join(first, ["hash_a", "hash_b"]).where(place != F.col("first")).select("doc", "text_hash", "start", F.lit(1).alias("count"))
-    gone = shelf.keep(spans(judged.where("NOT open").select("doc", "text_hash", "start", "count").unionByName(later)), "gone")
+    span = ["doc", "text_hash", "start", "count"]
+    gone = shelf.keep(spans(found.where("known").select(span).unionByName(again.select(span)).unionByName(later)), "gone")
     met = keyed.join(gone, ["doc", "text_hash"], "left").select("doc_id", "text", "spans")
     return met.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, text string")
 
