@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from growthpanel.functions import curves as C
 from growthpanel.operators import trees
 from growthpanel.operators.folds import FULL, make_folds
 from growthpanel.plans.training import series_status
+from growthpanel.sources.runstore import packed
 
 OPTIONS = trees.TreeOptions(
     trees=3, forest_depth=3, boosting_depth=2, bins=32,
@@ -55,3 +58,38 @@ def test_every_fold_is_scored(panel, params):
 def test_series_too_short_for_folds_have_a_status(spark, panel, params):
     short = panel.where("pos < 3").withColumn("sid", F.lit("S")).unionByName(panel)
     assert {r["sid"]: r["status"] for r in series_status(short, params, ["sid"]).collect()}["S"] == "too_few_rows"
+
+
+def _tasks_during(spark, action):
+    """Tasks of all jobs that an action starts, by the status tracker."""
+    group = f"counted-{id(action)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        action()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    return sum(info.numTasks for info in map(tracker.getStageInfo, stages) if info is not None)
+
+
+def test_training_runs_as_many_tasks_as_the_rows_ask_for(spark, panel, params):
+    """Few rows in many partitions: before, each job had a task per partition, 3,123 and 4,577 in all."""
+    wide = panel.repartition(24, "sid", "pos").checkpoint()
+    folds = make_folds(panel, ["sid"])
+    options = replace(OPTIONS, models=(trees.BOOSTING,))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        assert _tasks_during(spark, lambda: trees.train_trees(wide, params, ["sid"], options)) < 1000
+        assert _tasks_during(spark, lambda: trees.tree_cv_metrics(wide, folds.where("fold = 1"), params, ["sid"], options).collect()) < 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_packed_rows_are_whole_and_in_few_partitions(spark):
+    rows = packed(spark.range(0, 12_000, 1, 40), None, "rows")
+    assert (rows.count(), rows.rdd.getNumPartitions()) == (12_000, 3)
+    assert packed(spark.range(0), None, "none").count() == 0
