@@ -86,3 +86,14 @@ def test_validation(spark):
         validate_panel(spark.range(1).selectExpr("1.0 as cumulative"))
     with pytest.raises(ValueError, match="no rows"):
         validate_panel(spark.range(0).selectExpr("1.0 as cumulative", "1.0 as time_idx"))
+
+
+def test_folds_are_not_broadcast(spark):
+    """There are several folds a series: before, they were sent to the driver, and groups by series shuffled afterwards."""
+    target = spark.range(2000).selectExpr("id % 40 AS sid", "cast(id div 40 AS int) AS pos", "1.0D AS x", "1.0D AS y", "'ok' AS status")
+    folds = make_folds(target, ["sid"]).checkpoint()
+    for rows in (fold_rows(target, folds, ["sid"]), last_fold_rows(target, folds, ["sid"])):
+        counted = rows.groupBy("sid", "role").count()
+        assert counted.count() == 80
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Broadcast" not in plan

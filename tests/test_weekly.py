@@ -1,8 +1,9 @@
 import datetime as dt
 
 import pandas as pd
+from pyspark.sql import functions as F
 
-from growthpanel.operators.weekly import fill_calendar, resample_weeks, weekly_panel
+from growthpanel.operators.weekly import add_calendar_columns, fill_calendar, resample_weeks, weekly_panel
 from growthpanel.sources.records import select_records
 
 SCHEMA = "sid string, ts timestamp, number double, cumulative double"
@@ -113,3 +114,26 @@ def test_raw_rows_are_combined_before_the_only_exchange(spark):
     plan = resample_weeks(records, ["sid"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "partial_sum" in plan.split("Exchange hashpartitioning")[1]
+
+
+def test_panel_equals_its_steps(spark):
+    """Counts and positions come from the weeks with records; the calendar's weeks are as if filled one by one."""
+    rows = [
+        ("a", "2024-01-01T00:00:00", 1.0, None), ("a", "2024-01-24T00:00:00", 2.0, 12.0), ("a", "2024-04-24T00:00:00", 2.0, None),
+        ("a", "2024-05-24T00:00:00", 3.0, 11.0), ("b", "2024-01-01T00:00:00", 7.0, 7.0), ("c", "2024-02-01T00:00:00", None, None),
+        ("c", "2024-03-01T00:00:00", 1.0, None),
+    ]
+    for records in (_records(spark, rows), _records(spark, rows).drop("cumulative")):
+        panel = weekly_panel(records, ["sid"])
+        steps = add_calendar_columns(fill_calendar(resample_weeks(records, ["sid"]), ["sid"]), ["sid"])
+        assert panel.schema == steps.schema
+        assert sorted(map(str, panel.collect())) == sorted(map(str, steps.collect()))
+
+
+def test_weeks_are_sorted_in_all_shuffle_partitions(spark):
+    """Few records make many weeks: before, adaptive execution put all these series into one task."""
+    records = spark.range(400).selectExpr("id % 200 AS sid", "timestamp'2000-01-01' + make_interval(0, 0, 52 * (id div 200) * 10) AS ts", "1.0D AS number")
+    panel = weekly_panel(records, ["sid"])
+    assert panel.count() == 200 * 521
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert panel.groupBy(F.spark_partition_id()).count().count() == parts
