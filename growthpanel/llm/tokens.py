@@ -15,14 +15,14 @@ from pyspark.sql import types as T
 from growthpanel.llm.shared import in_slices
 
 #: words and runs that a worker remembers: two generations of this many each, besides those of the texts at hand
-_KNOWN = 150_000
+_KNOWN = 400_000
 #: Latin-1 letters, where upper and lower case pair one to one
 _LATIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _plain = re.compile(r"[\t-\r -&(-~¡-ÿ]*")
 _gap = re.compile(r"[\t-\r ]")
 _BATCH = 2000
 #: characters of plain text looked at together; longer texts are cut at white space
-_WINDOW = 1 << 20
+_WINDOW = 2 << 20
 #: kind of every Latin-1 byte: 0 white space, 1 letter, 2 anything else
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
