@@ -31,8 +31,8 @@ LEAST, TOP = 30, 2000
 COVER = 80
 #: bits of the filter's positions: 2**26 bits are 8 MB
 FILTER_BITS = 26
-#: bytes of text parsed together
-_PART = 1 << 21
+#: bytes of text parsed together, and chunks whose phrases are summed together
+_PART, _GATHER = 1 << 21, 100_000
 
 #: kind of every byte: 0 ends a piece, 1 parts words, 2 belongs to a word
 _KIND = np.full(256, 2, np.uint8)
@@ -117,17 +117,29 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return bits[at >> 3] >> (at & 7) & 1 == 1
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``_GATHER``, none empty: the more are summed together, the fewer are handed on."""
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= _GATHER:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _grams(size: int, filter_: bytes | None):
-    """Counts (lang, phrase, f) of phrases of ``size`` words in chunks (lang, chunk, own, c), summed within a batch.
+    """Counts (lang, phrase, f) of phrases of ``size`` words in chunks (lang, chunk, own, c), summed within gathered batches.
 
     Phrases of which a part of size - 1 words fails the filter are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if filter_ is None else np.frombuffer(filter_, np.uint8)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _gathered(batches):
             column = batch.column(1)
             bounds = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
             lengths = np.diff(bounds)
@@ -154,9 +166,13 @@ def _grams(size: int, filter_: bytes | None):
             if not len(at):
                 continue
             key = langs.indices.to_numpy().astype(np.int64)[chunk[at]]
-            for k in range(size):  # exact: each step numbers the different keys anew
-                _, key = np.unique(key * len(words) + codes[at + k], return_inverse=True)
-            order = np.argsort(key, kind="stable")
+            bound = len(langs.dictionary)
+            for k in range(size):  # exact: different keys are numbered anew where the next word might pass 64 bits
+                if bound * len(words) >= 1 << 62:
+                    different, key = np.unique(key, return_inverse=True)
+                    bound = len(different)
+                key, bound = key * len(words) + codes[at + k], bound * len(words)
+            order = np.argsort(key)
             heads = np.flatnonzero(np.diff(key[order], prepend=-1))
             f = np.add.reduceat(batch.column(3).to_numpy()[chunk[at]][order], heads)
             at = at[order][heads]

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,19 @@ def test_odd_and_empty(odd, empty):
     docs = odd.withColumn("lang", F.col("source"))
     assert found(docs, least=2) == brute([(r.lang, r.text) for r in docs.collect()], 2, 2000)
     assert found(empty.withColumn("lang", F.lit("x"))) == []
+
+
+def test_phrases_are_summed_over_batches():
+    """Before, each batch of chunks handed on a row per phrase: 3 rows a word here."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"]), pa.array([b"a b a", b"a"]), pa.array([3, 1], pa.int32()), pa.array([2, 5])], names=["lang", "chunk", "own", "c"])
+    found = [r for b in collocations._grams(1, None)(iter([batch, batch.slice(0, 0), batch.slice(1), batch])) for r in b.to_pylist()]
+    assert sorted((r["lang"], r["phrase"], r["f"]) for r in found) == [("de", "a", 15), ("en", "a", 8), ("en", "b", 4)]
+
+
+def test_phrases_whose_numbers_pass_64_bits():
+    """Four words out of 70,000 in two languages are more than 2**62 keys."""
+    words = [b"w%d" % i for i in range(70_000)]
+    chunks = [b" ".join(words), b" ".join(words[::-1]), b" ".join(words[:10])]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de", "en"]), pa.array(chunks), pa.array([70_000, 70_000, 10], pa.int32()), pa.array([1, 1, 2])], names=["lang", "chunk", "own", "c"])
+    found = Counter({(r["lang"], r["phrase"]): r["f"] for b in collocations._grams(4, None)(iter([batch])) for r in b.to_pylist()})
+    assert len(found) == 2 * 69_997 and found["en", "w0 w1 w2 w3"] == 3 and found["en", "w7 w8 w9 w10"] == 1 and found["de", "w3 w2 w1 w0"] == 1
