@@ -16,6 +16,7 @@ words. Ids are dealt to the lanes in turn; all lanes advance together, and a lan
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -33,7 +34,7 @@ _WORD = np.uint64(32)
 SEGMENT, LANES, BLOCK = 1 << 18, 1024, 1 << 20
 END = 2
 #: bytes of text that one range of documents should hold
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 16 << 20
 
 
 class Table:
@@ -147,18 +148,21 @@ def _tokenize(path: str, end: int):
         counts = np.zeros(1 << 16, np.int64)
         schema = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
         for batch in batches:
-            found, places = [], []
-            for ids in known.encode_all(in_slices(batch.column(1).cast(pa.binary()))):
-                found.append(ids.astype("<u2").tobytes() + close)
-                places.append(before)
-                before += len(ids) + 1
-            n = len(found)
-            for i in range(0, n, 1024):
-                counts += np.bincount(np.frombuffer(b"".join(found[i : i + 1024]), "<u2"), minlength=1 << 16)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array(places, pa.int64()), batch.column(0).cast(pa.int64()), pa.array([len(x) // 2 for x in found], pa.int64()), pa.array(found, pa.binary()), pa.nulls(n, pa.binary())],
-                schema=schema,
-            )
+            encoded = known.encode_all(in_slices(batch.column(1).cast(pa.binary())))
+            for i in range(0, batch.num_rows, 1024):  # the ids of a batch are never held whole beside its texts
+                found, places = [], []
+                for ids in islice(encoded, 1024):
+                    found.append(ids.astype("<u2").tobytes() + close)
+                    places.append(before)
+                    before += len(ids) + 1
+                n = len(found)
+                counts += np.bincount(np.frombuffer(b"".join(found), "<u2"), minlength=1 << 16)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * n, pa.int32()), pa.array(places, pa.int64()), batch.column(0).slice(i, n).cast(pa.int64()), pa.array([len(x) // 2 for x in found], pa.int64()), pa.array(found, pa.binary()), pa.nulls(n, pa.binary())],
+                    schema=schema,
+                )
+            del batch, encoded
+            pa.default_memory_pool().release_unused()  # the worker stays, and waits with what it holds for its next range
         if before:
             sums = counts.astype("<i8").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([part, None, None, before, None, sums], schema.types)], schema=schema)
@@ -176,7 +180,7 @@ def _encode(ids: np.ndarray, frequencies: np.ndarray):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))], names=["part", "before", "payload"])
 
         for batch in batches:
-            for part, before, doc_id, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, before, doc_id, data in zip(*(in_slices(c) for c in batch.columns)):
                 if docs and (size >= BLOCK or part != first[0] or before != first[1] + size):
                     yield block()
                     docs, names, first, size = [], [], None, 0
@@ -194,7 +198,7 @@ def _decode(ids: np.ndarray, frequencies: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(ids, frequencies)
         for batch in batches:
-            for part, before, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, before, payload in zip(*(in_slices(c, 1) for c in batch.columns)):
                 names, documents = decode_block(payload, table)
                 n = [len(d) for d in documents]
                 starts = before + np.cumsum([0, *n[:-1]])

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ from growthpanel.llm.shared import in_slices
 
 #: words and runs that a worker remembers: two generations of this many each, besides those of the texts at hand
 _KNOWN = 400_000
+#: bytes of those pieces and their ids after which a generation ends, however few they are
+_KNOWN_BYTES = 24 << 20
 #: Latin-1 letters, where upper and lower case pair one to one
 _LATIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _plain = re.compile(r"[\t-\r -&(-~¡-ÿ]*")
@@ -36,24 +39,47 @@ def default_tokenizer() -> str:
 
 
 class _Memory:
-    """Ids by piece of text, in two generations: a full one becomes the old one, whose pieces come back when asked for."""
+    """Ids by piece of text, in two Arrow arrays: a piece takes its bytes and those of its ids, and no Python object.
+
+    When enough pieces were asked for, those not asked for since the last time are forgotten.
+    """
 
     def __init__(self):
-        self._new: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
+        self._pieces, self._ids, self._asked = pa.array([], pa.binary()), pa.array([], pa.binary()), np.zeros(0, bool)
 
-    def look_up(self, pieces: list[bytes], learn: Callable[[list[bytes]], Iterable[tuple[bytes, bytes]]]) -> list[bytes]:
+    def find(self, pieces: pa.Array, learn: Callable[[list[bytes]], Iterable[tuple[bytes, bytes]]]) -> pa.Array:
         """The ids of different pieces; those never seen, or long not, come from ``learn``."""
-        if len(self._new) > _KNOWN:
-            self._old, self._new = self._new, {}
-        found = list(map(self._new.get, pieces))
-        missing = [p for p, ids in zip(pieces, found) if ids is None]
-        if missing:
-            again = dict(zip(missing, map(self._old.get, missing)))
-            again.update(learn([p for p, ids in again.items() if ids is None]))
-            self._new.update(again)
-            found = [again[p] if ids is None else ids for p, ids in zip(pieces, found)]
-        return found
+        if np.count_nonzero(self._asked) > _KNOWN or self._pieces.nbytes + self._ids.nbytes > _KNOWN_BYTES:
+            keep = pa.array(self._asked)
+            self._pieces, self._ids = self._pieces.filter(keep), self._ids.filter(keep)
+            self._asked = np.zeros(len(self._pieces), bool)
+        # the table looked into is that of the pieces asked for, which is small; one of all pieces would be built each time
+        places = pc.index_in(self._pieces, value_set=pieces)
+        held = np.flatnonzero(places.is_valid().to_numpy(zero_copy_only=False))
+        at = np.full(len(pieces), -1, np.int32)
+        at[places.drop_null().to_numpy()] = held
+        missing = at < 0
+        unknown = pieces.filter(pa.array(missing))
+        if len(unknown):
+            learned, ids = zip(*learn(unknown.to_pylist()))
+            learned = pa.array(learned, pa.binary())
+            at[missing] = pc.index_in(unknown, value_set=learned).to_numpy() + len(self._pieces)
+            self._pieces = pa.concat_arrays([self._pieces, learned])
+            self._ids = pa.concat_arrays([self._ids, pa.array(ids, pa.binary())])
+            self._asked = np.concatenate([self._asked, np.zeros(len(learned), bool)])
+        self._asked[at] = True
+        return self._ids.take(pa.array(at))
+
+    def look_up(self, pieces: list[bytes], learn: Callable[[list[bytes]], Iterable[tuple[bytes, bytes]]]) -> list[bytes]:
+        """The same with lists."""
+        return self.find(pa.array(pieces, pa.binary()), learn).to_pylist()
+
+
+def _spread(ids: pa.Array, which: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of these pieces one after the other, and how many there are before each piece and in all."""
+    found = ids.take(which)
+    ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1) // 4
+    return np.frombuffer(found.buffers()[2] or b"", "<u4", ends[-1]), ends
 
 
 class Encoder:
@@ -114,44 +140,37 @@ class Encoder:
         inside = kind != 0
         offsets = np.concatenate([np.cumsum(inside, dtype=np.int32)[starts] - 1, [inside.sum()]]).astype(np.int32)
         runs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
-        which, known = runs.indices.to_numpy(), runs.dictionary
-        held, cuts = known.buffers()[2].to_pybytes(), np.frombuffer(known.buffers()[1], np.int32, len(known) + 1).tolist()
-        found = self._parts.look_up([held[a:b] for a, b in zip(cuts, cuts[1:])], self._learn)
-        flat = np.frombuffer(b"".join(found), "<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        lengths = sizes[which]
-        ends = np.cumsum(lengths)
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        ids, ends = _spread(self._parts.find(runs.dictionary, self._learn), runs.indices)
         borders = np.cumsum([len(t) + 1 for t in texts])
-        before = np.concatenate([[0], ends])[np.searchsorted(starts, borders)]
+        before = ends[np.searchsorted(starts, borders)]
         return ids, np.diff(before, prepend=0)
 
-    def _odd_ids(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        different = list(dict.fromkeys(words))
-        ids = dict(zip(different, self._words.look_up(different, self._learn_words)))
-        return np.frombuffer(b"".join([ids[w] for w in words]), "<u4")
+    def _odd_ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if not texts:
+            return
+        words = [text.split() for text in texts]
+        runs = pa.concat_arrays([pa.array(w, pa.binary()) for w in words]).dictionary_encode()
+        ids, ends = _spread(self._words.find(runs.dictionary, self._learn_words), runs.indices)
+        yield from np.split(ids, ends[np.cumsum([len(w) for w in words])[:-1]])
 
     def encode_all(self, texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers. Null texts count as empty."""
-        held: list[str | np.ndarray] = []
+        held: list[str | bytes] = []
         size = 0
         for text in texts:
             whole = (text or b"").decode()
-            if _plain.fullmatch(whole) and "<|" not in whole:
-                held.append(whole.lower())
-                size += len(whole)
-            else:
-                held.append(self._odd_ids(text))
+            held.append(whole.lower() if _plain.fullmatch(whole) and "<|" not in whole else text)
+            size += len(whole)
             if size >= _WINDOW or len(held) >= _BATCH:
                 yield from self._release(held)
                 held, size = [], 0
         yield from self._release(held)
 
-    def _release(self, held: list[str | np.ndarray]) -> Iterator[np.ndarray]:
+    def _release(self, held: list[str | bytes]) -> Iterator[np.ndarray]:
         found = iter(self._windows([t for t in held if isinstance(t, str)]))
+        odd = self._odd_ids([t for t in held if isinstance(t, bytes)])
         for text in held:
-            yield next(found) if isinstance(text, str) else text
+            yield next(found) if isinstance(text, str) else next(odd)
 
     def _windows(self, texts: list[str]) -> Iterator[np.ndarray]:
         short: list[str] = []
